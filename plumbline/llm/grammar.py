@@ -46,8 +46,15 @@ def compress(ids: np.ndarray, first_free: int, rounds: int = ROUNDS, rules: int
         if not len(kinds):
             break
         best = np.sort(kinds[np.argsort(-counts, kind="stable")[:rules]])
-        at = np.minimum(np.searchsorted(best, codes), len(best) - 1)
-        marked = best[at] == codes
+        # A table of 2^20 flags tells most other pairs apart before the search.
+        spread = lambda x: (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        flags = np.zeros(1 << 20, dtype=bool)
+        flags[spread(best)] = True
+        near = np.flatnonzero(flags[spread(codes)])
+        found = np.minimum(np.searchsorted(best, codes[near]), len(best) - 1)
+        same = best[found] == codes[near]
+        at, marked = np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
+        at[near], marked[near] = found, same
         # Marked pairs in a row overlap: every second is taken, from the left.
         place = np.arange(len(codes))
         begin = np.maximum.accumulate(np.where(marked & ~np.concatenate(([False], marked[:-1])), place, -1))
