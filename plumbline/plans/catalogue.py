@@ -1,11 +1,421 @@
-"""All registered queries."""
+"""The registered queries: each applies an operator to whole tables, with its DuckDB SQL beside it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.functions import draw
+from plumbline.functions.expr import Expression
+from plumbline.functions.real import Real as Exact
+from plumbline.operators import graphs
+from plumbline.operators.constraints import (
+    Alphabet, AtLeast, AtMost, Between, DistinctCharacters, DistinctElements, Element, Elements, Exactly, Length, Mod, OneOf, SimplePattern, Sorted, literal,
+)
+from plumbline.operators.coverage import covering_array
+from plumbline.operators.specs import Array, Integer, Real, String, Tuple, Variant, size_range
+from plumbline.plans.problem import Problem, merge_outputs
 
-def oracle_sql() -> dict:
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def counts(problem: Problem, df: DataFrame) -> DataFrame:
+    return problem.summary(df)
+
+
+def count_sql(source: str, tests: list[tuple[str, str, str]]) -> str:
+    """Violations by variable and constraint; the first broken constraint of a variable counts."""
+    parts = [f"select '{v}' as variable, '{c}' as constraint, count(*) as violations from {source} where {bad} having count(*) > 0" for v, c, bad in tests]
+    return " union all ".join(parts)
+
+
+NUMERIC = {
+    "l_quantity": Real(Between(2, 49)),
+    "l_discount": Real(Between(0, Exact(9, 100))),
+    "l_tax": Real(AtMost(Exact("0.065"))),
+    "l_linenumber": Integer(AtLeast(2)),
+}
+
+
+@register(count_sql("lineitem", [
+    ("l_quantity", "Between", "not (l_quantity between 2 and 49)"), ("l_discount", "Between", "not (l_discount between 0 and 0.09)"),
+    ("l_tax", "AtMost", "l_tax > 0.065"), ("l_linenumber", "AtLeast", "l_linenumber < 2"),
+]))
+def validate_numeric_bounds(spark, sf_dir):
+    return counts(Problem(NUMERIC), table(spark, sf_dir, "lineitem").select(*NUMERIC))
+
+
+@register(count_sql("orders", [("o_orderstatus", "OneOf", "o_orderstatus not in ('F', 'O')"), ("o_orderpriority", "OneOf", "o_orderpriority not in ('1-URGENT', '2-HIGH')")]))
+def validate_one_of(spark, sf_dir):
+    p = Problem({"o_orderstatus": String(OneOf(["F", "O"])), "o_orderpriority": String(OneOf(["1-URGENT", "2-HIGH"]))})
+    return counts(p, table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority"))
+
+
+@register(count_sql("orders", [("o_orderkey", "Mod", "((o_orderkey % 7) + 7) % 7 <> 3"), ("o_custkey", "Mod", "o_custkey % (o_orderkey % 5 + 2) <> 1")]))
+def validate_mod(spark, sf_dir):
+    p = Problem({"o_orderkey": Integer(Mod(3, 7)), "o_custkey": Integer(Mod(1, "o_orderkey % 5 + 2"))})
+    return counts(p, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+
+
+@register("""select p_partkey, 'p_size' as variable, 'Between' as "constraint", cast(p_size as varchar) as value from part
+where not (p_size between p_partkey % 10 + 1 and least(p_partkey % 50 + 1, 45))""")
+def validate_dependent_bounds(spark, sf_dir):
+    p = Problem({"p_size": Integer(Between("p_partkey % 10 + 1", "min(p_partkey % 50 + 1, 45)"))})
+    return p.violations(table(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"]).select("p_partkey", "variable", "constraint", "value")
+
+
+@register("""select l_orderkey, l_linenumber, l_quantity >= 10 and l_quantity <= 40 and l_linenumber in (1, 3, 5) as ok from lineitem
+where l_quantity >= 10 and l_quantity <= 40 and l_linenumber in (1, 3, 5)""")
+def filter_valid(spark, sf_dir):
+    p = Problem({"l_quantity": Real(Between(10, 40)), "l_linenumber": Integer(OneOf([1, 3, 5]))})
+    return p.valid(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", F.lit(True).alias("ok"))
+
+
+EXPRESSIONS = {
+    "arith": ("3 * l_partkey - (l_suppkey + 7) * -2", "3 * l_partkey - (l_suppkey + 7) * -2"),
+    "divided": ("(l_suppkey - l_partkey) / 7", "(l_suppkey - l_partkey) // 7"),
+    "rest": ("(l_suppkey - l_partkey) % 7", "(l_suppkey - l_partkey) % 7"),
+    "powered": ("(l_linenumber - 4) ^ 3 + 2 ^ l_linenumber", "(l_linenumber - 4) * (l_linenumber - 4) * (l_linenumber - 4) + (1::bigint << l_linenumber)"),
+    "signed": ("-l_linenumber ^ 2", "-(l_linenumber::bigint * l_linenumber)"),
+    "least": ("min(l_partkey, l_suppkey * 20, 500)", "least(l_partkey, l_suppkey * 20, 500)"),
+    "most": ("max(abs(l_suppkey - l_partkey), l_linenumber)", "greatest(abs(l_suppkey - l_partkey), l_linenumber)"),
+}
+
+
+@register("select l_orderkey, l_linenumber, " + ", ".join(f"cast({s} as bigint) as {n}" for n, (_, s) in EXPRESSIONS.items()) + " from lineitem")
+def expressions(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", *(Expression(e).column().alias(n) for n, (e, _) in EXPRESSIONS.items()))
+
+
+@register("""select l_orderkey, l_linenumber, 'l_quantity' as variable, case when l_quantity < 5 then 'AtLeast' else 'AtMost' end as "constraint" from lineitem where l_quantity < 5 or l_quantity > 45
+union all select l_orderkey, l_linenumber, 'l_suppkey', 'Mod' from lineitem where l_suppkey % 3 <> 1""")
+def violations_long(spark, sf_dir):
+    p = Problem({"l_quantity": Real(AtLeast(5), AtMost(45)), "l_suppkey": Integer(Mod(1, 3))})
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
+    return p.violations(df, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "variable", "constraint")
+
+
+_STYLED = "select d.doc_id, quality, toxic, n_chars from documents d left join labels l on d.doc_id = l.doc_id"
+
+
+@register(f"""with d as ({_STYLED}), v as (
+  select 'only_set_variables' as style, 'quality' as variable from d where quality = 0
+  union all select 'all_variables', 'quality' from d where quality is null or quality = 0
+  union all select 'all_variables', 'source_rank' from d
+  union all select 'only_set_values', 'quality' from d where quality = 0
+  union all select 'only_set_values', 'n_chars' from d union all select 'only_set_values', 'toxic' from d where toxic is not null
+  union all select 'everything', 'quality' from d where quality is null or quality = 0
+  union all select 'everything', 'source_rank' from d union all select 'everything', 'n_chars' from d union all select 'everything', 'toxic' from d where toxic is not null)
+select style, variable, count(*) as n from v group by 1, 2""")
+def validation_styles(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "n_chars", "quality", "toxic")
+    p = Problem({"quality": Integer(Exactly(1)), "source_rank": Integer(AtLeast(0))})
+    out = None
+    for style in ("none", "only_set_variables", "only_set_values", "all_variables", "everything"):
+        part = p.violations(docs, ["doc_id"], style).select(F.lit(style).alias("style"), "variable")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("style", "variable").agg(F.count("*").alias("n"))
+
+
+@register("""select 'text' as variable, 'Between' as "constraint", doc_id from documents where not (length(text) between 200 and n_chars)
+union all select 'lang', 'Alphabet', doc_id from documents where translate(lang, 'defr', '') <> ''""")
+def string_rules(spark, sf_dir):
+    p = Problem({"text": String(Length(Between(200, "n_chars"))), "lang": String(Alphabet("defr"))})
+    return p.violations(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", "lang"), ["doc_id"]).select("variable", "constraint", "doc_id")
+
+
+@register("select p_partkey, cast(len(list_distinct(string_split(p_brand, ''))) = length(p_brand) as boolean) as distinct_chars, translate(p_name, 'abcdefghijklmnopqrstuvwxyz ', '') = '' as plain from part")
+def string_characters(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    distinct, plain = DistinctCharacters(), Alphabet("abcdefghijklmnopqrstuvwxyz ")
+    return df.select("p_partkey", distinct.holds(F.col("p_brand")).alias("distinct_chars"), plain.holds(F.col("p_name")).alias("plain"))
+
+
+PATTERNS = {"c_name": ("Customer#[0-9]{8}[1-9]", "Customer#[0-9]{8}[1-9]"), "c_mktsegment": ("[A-Z]{1,8}", "[A-Z]{1,8}")}
+
+
+@register(" union all ".join(f"select c_custkey, '{c}' as variable from customer where not regexp_full_match({c}, '{r}')" for c, (_, r) in PATTERNS.items()))
+def pattern_match(spark, sf_dir):
+    p = Problem({c: String(SimplePattern(t)) for c, (t, _) in PATTERNS.items()})
+    return p.violations(table(spark, sf_dir, "customer").select("c_custkey", *PATTERNS), ["c_custkey"]).select("c_custkey", "variable")
+
+
+@register("select p_partkey, regexp_full_match(p_brand, 'Brand#[0-9]{' || (p_size % 2 + 1)::varchar || '}') as fits from part")
+def pattern_row_bounds(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", SimplePattern("Brand#[0-9]{p_size % 2 + 1}").holds(F.col("p_brand")).alias("fits"))
+
+
+@register("""select vec_id, len(embedding) between 10 and 64 as length_ok, len(list_filter(embedding, lambda x: not (x between -0.25 and 0.25))) = 0 as elements_ok,
+len(list_distinct(embedding)) = len(embedding) as distinct_ok, list_sort(embedding) = embedding as sorted_ok from embeddings""")
+def array_rules(spark, sf_dir):
+    a = F.col("embedding")
+    spec = Real(Between(Exact(-1, 4), Exact(1, 4)))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", Array(Real(), Length(Between(10, 64))).holds(a).alias("length_ok"), Elements(spec).holds(a.cast("array<double>")).alias("elements_ok"),
+        DistinctElements().holds(a).alias("distinct_ok"), Sorted().holds(a).alias("sorted_ok"),
+    )
+
+
+@register("""with a as (select l_orderkey, list(l_linenumber::bigint order by l_linenumber) as lines, list(l_suppkey order by l_linenumber, l_suppkey) as supps from lineitem group by 1)
+select l_orderkey, coalesce(list_position(list_transform(lines, lambda x: x > 5), true), 0) - 1 as first_bad, list_sort(supps) = supps as sorted_ok from a""")
+def array_first_violation(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey")))
+    df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rows.alias("r"))
+    df = df.select("l_orderkey", F.transform("r", lambda x: x["l_linenumber"].cast("long")).alias("lines"), F.transform("r", lambda x: x["l_suppkey"]).alias("supps"))
+    path = Array(Integer(AtMost(5))).violation(F.col("lines"))["path"]
+    first = F.coalesce(F.regexp_extract(path, "index ([0-9]+)", 1).cast("long"), F.lit(-1).cast("long"))
+    return df.select("l_orderkey", first.alias("first_bad"), Sorted().holds(F.col("supps")).alias("sorted_ok"))
+
+
+@register("""select o_orderkey, not (o_custkey <= 700) as custkey_bad, not (o_orderstatus in ('F', 'O')) as status_bad from orders where not (o_custkey <= 700 and o_orderstatus in ('F', 'O'))""")
+def tuple_elements(spark, sf_dir):
+    t = Tuple(Integer(AtMost(700)), String(OneOf(["F", "O"])))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_custkey").alias("_0"), F.col("o_orderstatus").alias("_1")).alias("t"))
+    bad = df.where(~t.holds(F.col("t")))
+    return bad.select("o_orderkey", (~Integer(AtMost(700)).holds(F.col("t._0"))).alias("custkey_bad"), (~String(OneOf(["F", "O"])).holds(F.col("t._1"))).alias("status_bad"))
+
+
+@register("""select event_id, event_type = 'click' as tagged from events where (event_type = 'click' and user_id % 2 <> 0) or (event_type <> 'click' and props like '%5%')""")
+def variant_elements(spark, sf_dir):
+    v = Variant(Integer(Mod(0, 2)), String(Alphabet("{}\"k: 012346789")), tags=("user", "props"))
+    tag = F.when(F.col("event_type") == "click", 0).otherwise(1)
+    value = F.struct(tag.alias("tag"), F.when(tag == 0, F.col("user_id")).alias("_0"), F.when(tag == 1, F.col("props")).alias("_1"))
+    df = table(spark, sf_dir, "events").select("event_id", value.alias("v"))
+    return df.where(~v.holds(F.col("v"))).select("event_id", (F.col("v.tag") == 0).alias("tagged"))
+
+
+_EDGES = "select l_orderkey % 100 as graph, l_partkey % 40 as u, l_suppkey % 40 as v from lineitem"
+
+
+def _edges(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("graph"), (F.col("l_partkey") % 40).alias("u"), (F.col("l_suppkey") % 40).alias("v"))
+
+
+@register(f"""with p as (select graph, least(u, v) as a, greatest(u, v) as b, count(*) as n from ({_EDGES}) group by 1, 2, 3)
+select graph, sum(n)::bigint as n_edges, sum(case when a = b then n else 0 end)::bigint as n_loops, sum(n - 1)::bigint as n_parallel,
+sum(case when a = b then n else 0 end) = 0 and sum(n - 1) = 0 as simple from p group by 1""")
+def graph_shape(spark, sf_dir):
+    return graphs.shape(_edges(spark, sf_dir))
+
+
+@register(f"select graph, least(u, v) as a, greatest(u, v) as b, count(*) as n from ({_EDGES}) group by 1, 2, 3 having count(*) > 1")
+def graph_parallel(spark, sf_dir):
+    return graphs.parallel(_edges(spark, sf_dir))
+
+
+@register(f"with e as ({_EDGES}) select graph, node, count(*) as degree from (select graph, u as node from e union all select graph, v from e where u <> v) group by 1, 2")
+def graph_degree(spark, sf_dir):
+    return graphs.degrees(_edges(spark, sf_dir))
+
+
+@register("""with recursive e as (select distinct s_nationkey % 5 as graph, s_suppkey as u, s_suppkey // 3 * 3 + 1 as v from supplier),
+n as (select graph, u as node from e union select graph, v from e), b as (select graph, u, v from e union select graph, v, u from e),
+r as (select graph, node, node as top from n union select r.graph, b.v, r.top from r join b on b.graph = r.graph and b.u = r.node)
+select graph, node, min(top) as component from r group by 1, 2""")
+def graph_components(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    e = s.select((F.col("s_nationkey") % 5).cast("int").alias("graph"), F.col("s_suppkey").alias("u"), (Expression("s_suppkey / 3 * 3 + 1").column()).alias("v")).distinct()
+    nodes = e.select("graph", F.col("u").alias("node")).unionByName(e.select("graph", F.col("v").alias("node"))).distinct()
+    return graphs.components(nodes, e).select("graph", "node", "component")
+
+
+@register("""with e as (select r_regionkey as graph, n_nationkey % 5 as u, n_regionkey as v from nation join region on true),
+b as (select graph, u, v from e union all select graph, v, u from e where u <> v), n as (select distinct graph, u as node from b),
+c as (select n.graph, n.node, o.node as other, (select count(*) from b where b.graph = n.graph and b.u = n.node and b.v = o.node) as k from n join n o on n.graph = o.graph)
+select graph, node, string_agg(k::varchar, ' ' order by other) as line from c group by 1, 2""")
+def write_matrix(spark, sf_dir):
+    e = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("graph")).join(
+        F.broadcast(table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 5).alias("u"), F.col("n_regionkey").alias("v"))), F.lit(True)
+    )  # 5 regions and 25 nations, whatever the scale
+    nodes = e.select("graph", F.col("u").alias("node")).unionByName(e.select("graph", F.col("v").alias("node"))).distinct()
+    return graphs.matrix(nodes, e)
+
+
+@register("select l_orderkey, string_agg(l_linenumber || ' ' || l_partkey || chr(10), '' order by l_linenumber, l_partkey) as text from lineitem group by 1")
+def write_multiline(spark, sf_dir):
+    from plumbline.sources.layout import Layout, Multiline, render
+
+    rows = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("a"), F.col("l_partkey").alias("b"))))
+    df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rows.alias("r"))
+    df = df.select("l_orderkey", F.size("r").cast("long").alias("N"), F.transform("r", lambda x: x["a"]).alias("A"), F.transform("r", lambda x: x["b"]).alias("B"))
+    p = Problem({"N": Integer(), "A": Array(Integer(), Length("N")), "B": Array(Integer(), Length("N"))})
+    return render(p, Layout((Multiline("N", "A", "B"),)), df, ["l_orderkey"])
+
+
+@register("select n_nationkey, n_name || ' ' || n_regionkey || ' end' || chr(10) as text from nation")
+def write_line(spark, sf_dir):
+    from plumbline.sources.layout import Layout, Line, Literal, render
+
+    p = Problem({"n_name": String(), "n_regionkey": Integer()})
+    return render(p, Layout((Line("n_name", "n_regionkey", Literal("end")),)), table(spark, sf_dir, "nation"), ["n_nationkey"])
+
+
+@register("""with l as (select o_orderkey, case when o_orderkey % 5 = 0 then '0' || o_custkey when o_orderkey % 7 = 0 then o_custkey || '  ' else o_custkey || ' ' || o_orderstatus end as value from orders)
+select o_orderkey, case when o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 then split_part(value, ' ', 1)::bigint end as N,
+case when o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 then split_part(value, ' ', 2) end as S, o_orderkey % 5 = 0 or o_orderkey % 7 = 0 as failed from l""")
+def read_lines(spark, sf_dir):
+    from plumbline.sources.layout import read_lines as read
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    line = F.when(k % 5 == 0, F.concat(F.lit("0"), c)).when(k % 7 == 0, F.concat(c, F.lit("  "))).otherwise(F.concat_ws(" ", c, "o_orderstatus"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("value"))
+    return read(df, Problem({"N": Integer(), "S": String()}), ["N", "S"]).select("o_orderkey", "N", "S", F.col("error").isNotNull().alias("failed"))
+
+
+# Generation: draws are hashes, so that SQL gives the same values.
+
+SEED = "plumb"
+
+
+def _keys(name: str, call: str = "o_orderkey", attempt: str = "0") -> str:
+    return f"'{SEED}|random|' || {call} || '|{name}|{attempt}'"
+
+
+def _draw_sql(key: str) -> str:
+    return f"('0x' || substr(md5({key}), 1, 15))::bigint"
+
+
+def generated(spark: SparkSession, sf_dir: str, variables: dict) -> DataFrame:
+    """One case for each order, keyed by it: values follow the key alone."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("random").alias("gen"), F.col("o_orderkey").alias("call"))
+    p = Problem(variables, seed=SEED)
+    for n in p.order():
+        orders = orders.withColumn(n, p.variables[n].generate(F.lit(SEED), F.col("gen"), F.col("call"), F.lit(n), F.lit(0)))
+    return orders.drop("gen", "call")
+
+
+@register(f"select o_orderkey, 10 + {_draw_sql(_keys('A'))} % 91 as A, 3 + 7 * ({_draw_sql(_keys('B'))} % 142) as B from orders")
+def gen_integers(spark, sf_dir):
+    return generated(spark, sf_dir, {"A": Integer(Between(10, 100)), "B": Integer(Between(1, 994), Mod(3, 7))})
+
+
+@register(f"with n as (select o_orderkey, 1 + {_draw_sql(_keys('N'))} % 20 as N from orders) select o_orderkey, N, N + {_draw_sql(_keys('X'))} % (2 * N + 1) as X from n")
+def gen_dependent(spark, sf_dir):
+    return generated(spark, sf_dir, {"X": Integer(Between("N", "3 * N")), "N": Integer(Between(1, 20))})
+
+
+@register(f"select o_orderkey, round(-1 + ({_draw_sql(_keys('R'))} >> 7)::double / 9007199254740992.0 * 3, 9) as R from orders")
+def gen_real(spark, sf_dir):
+    return generated(spark, sf_dir, {"R": Real(Between(-1, 2))}).withColumn("R", F.round("R", 9))
+
+
+def _list_sql(n: str, item: str) -> str:
+    return f"list_transform(range({n}), lambda i: {item})"
+
+
+@register(f"""with n as (select o_orderkey, {_draw_sql(_keys('S') + " || '|length'")} % 6 as n from orders)
+select o_orderkey, array_to_string({_list_sql('n', "substr('abcxyz', 1 + " + _draw_sql(_keys('S') + " || '|' || i") + " % 6, 1)")}, '') as S from n""")
+def gen_string(spark, sf_dir):
+    return generated(spark, sf_dir, {"S": String(Alphabet("abcxyz"), Length(Between(0, 5)))})
+
+
+@register(f"""with n as (select o_orderkey, 1 + {_draw_sql(_keys('A') + " || '|length'")} % 8 as n from orders)
+select o_orderkey, array_to_string(list_sort({_list_sql('n', "-50 + " + _draw_sql(_keys('A') + " || '|elem|' || i") + " % 101")}), ' ') as A from n""")
+def gen_array_sorted(spark, sf_dir):
+    out = generated(spark, sf_dir, {"A": Array(Integer(Between(-50, 50)), Length(Between(1, 8)), Sorted())})
+    return out.withColumn("A", F.array_join(F.transform("A", lambda x: x.cast("string")), " "))
+
+
+@register(f"""select o_orderkey, {_draw_sql(_keys('T') + " || '|<0>'")} % 10 as a, ['x', 'y', 'z'][1 + {_draw_sql(_keys('T') + " || '|<1>'")} % 3] as b,
+({_draw_sql(_keys('V') + " || '|tag'")} % 2)::int as tag, case when {_draw_sql(_keys('V') + " || '|tag'")} % 2 = 0 then 5 + {_draw_sql(_keys('V') + " || '|<0>'")} % 5 end as v from orders""")
+def gen_tuple_variant(spark, sf_dir):
+    out = generated(spark, sf_dir, {"T": Tuple(Integer(Between(0, 9)), String(OneOf(["x", "y", "z"]))), "V": Variant(Integer(Between(5, 9)), String(OneOf(["q"])), tags=("n", "s"))})
+    return out.select("o_orderkey", F.col("T._0").alias("a"), F.col("T._1").alias("b"), F.col("V.tag").alias("tag"), F.col("V._0").alias("v"))
+
+
+@register(f"""with i as (select o_orderkey, unnest(range(o_orderkey % 7)) as i from orders)
+select o_orderkey, i + 1 as child, {_draw_sql("'" + SEED + "|' || o_orderkey || '|' || i")} % (i + 1) as parent from i""")
+def gen_tree(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(draw.numbered(F.col("o_orderkey") % 7)).alias("i"))
+    return df.select("o_orderkey", (F.col("i") + 1).alias("child"), (draw.draw(SEED, F.col("o_orderkey"), F.col("i")) % (F.col("i") + 1)).alias("parent"))
+
+
+@register(f"""with i as (select o_orderkey, unnest(range(6)) as i from orders)
+select o_orderkey, string_agg(i::varchar, ' ' order by {_draw_sql("'" + SEED + "|' || o_orderkey || '|' || i")}, i) as p from i group by 1""")
+def gen_permutation(spark, sf_dir):
+    p = draw.permutation(F.lit(6).cast("long"), F.lit(0).cast("long"), SEED, F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(p, lambda x: x.cast("string")), " ").alias("p"))
+
+
+_SMALL = "case when n <= 100 then floor(sqrt(n))::bigint when n <= 300 then 30 when n <= 5000 then 100 when n <= 5000000 then 300 else 2000 end"
+_MEDIUM = f"case when n <= 100 then least(greatest(n // 2, {_SMALL}), n) when n <= 300 then 100 when n <= 5000 then 500 when n <= 5000000 then 5000 else 1000000 end"
+
+
+@register(f"""with t as (select p_partkey, p_partkey as n from part), s as (select *, {_SMALL} as small, {_MEDIUM} as medium from t)
+select p_partkey, 1::bigint as small_low, small::bigint as small_high, small::bigint as medium_low, medium::bigint as medium_high, medium::bigint as large_low, n as large_high,
+case when n <= 10 then medium else n // 10 * 9 end::bigint as huge_low from s""")
+def size_category_ranges(spark, sf_dir):
+    one, n = F.lit(1).cast("long"), F.col("p_partkey")
+    r = {s: size_range(one, n, s) for s in ("small", "medium", "large", "huge")}
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", r["small"][0].alias("small_low"), r["small"][1].alias("small_high"), r["medium"][0].alias("medium_low"), r["medium"][1].alias("medium_high"),
+        r["large"][0].alias("large_low"), r["large"][1].alias("large_high"), r["huge"][0].alias("huge_low"),
+    )
+
+
+@register("""select n.n_nationkey, s.s_suppkey, e from nation n join supplier s on s.s_nationkey = n.n_nationkey, unnest([1, 40, 2, 39, 20, 5, 6, 7]) as t(e)""")
+def edge_cases(spark, sf_dir):
+    values = [x for x in Integer(Between(1, 40)).edge_values()]
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey").join(s, "n_nationkey").select("n_nationkey", "s_suppkey", F.explode(F.array(*map(F.lit, values))).alias("e"))
+
+
+@register("""select p_partkey, a, b from part, unnest([0, 1, 2]) as x(a), unnest([0, 1]) as y(b)""")
+def covering_full(spark, sf_dir):
+    rows = F.array(*(literal(r) for r in covering_array([3, 2], 2)))
+    out = table(spark, sf_dir, "part").select("p_partkey", F.explode(rows).alias("r"))
+    return out.select("p_partkey", F.col("r._0").cast("int").alias("a"), F.col("r._1").cast("int").alias("b"))
+
+
+@register("select p_partkey, p_size between 10 and 30 and p_size in (12, 20, 28) as both from part")
+def merge_constraints(spark, sf_dir):
+    a, b = Integer(AtLeast(10), OneOf([5, 12, 20, 28])), Integer(AtMost(30), OneOf([12, 20, 28, 35]))
+    return table(spark, sf_dir, "part").select("p_partkey", a.merged(b).holds(F.col("p_size")).alias("both"))
+
+
+@register("""with o as (select o_orderkey, case when o_orderkey % 3 = 0 then null else o_custkey end as c, o_orderstatus as s from orders), x as (select o_orderkey, o_custkey + 1 as c, o_orderpriority as p from orders)
+select o.o_orderkey, coalesce(o.c, x.c) as c, s, p from o join x on o.o_orderkey = x.o_orderkey""")
+def merge_outputs_input_wins(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    left = df.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("c"), F.col("o_orderstatus").alias("s"))
+    right = df.select("o_orderkey", (F.col("o_custkey") + 1).alias("c"), F.col("o_orderpriority").alias("p"))
+    return merge_outputs(left, right, ["o_orderkey"])
+
+
+@register("""select l_returnflag, l_linestatus, count(*) as cases, min(l_quantity)::bigint as low, max(l_quantity)::bigint as high, sum(l_quantity)::bigint as total, count(distinct l_suppkey) as suppliers from lineitem group by 1, 2""")
+def analyze_stats(spark, sf_dir):
+    from plumbline.plans.problem import analyze
+
+    def by_flag(cases: DataFrame) -> DataFrame:
+        q: Column = F.col("l_quantity")
+        return cases.groupBy("l_returnflag", "l_linestatus").agg(
+            F.count("*").alias("cases"), F.min(q).cast("long").alias("low"), F.max(q).cast("long").alias("high"), F.sum(q).cast("long").alias("total"), F.count_distinct("l_suppkey").alias("suppliers"),
+        )
+
+    return analyze(Problem(NUMERIC), table(spark, sf_dir, "lineitem"), by_flag)[0]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
