@@ -10,11 +10,13 @@ Scale.  Equal sets share one node and so one row in a bucket; no group is expand
 pairs.  In a bucket, all nodes are compared with a few leaders.  A node is done with a
 bucket once it has led.  Pairs that are decided are not compared: nodes in one component
 already, and, by the triangle inequality of the Jaccard distance d, nodes A and B with
-|d(A, L) - d(B, L)| > 1/4 for the bucket's first leader L.  The others go to the next
+|d(A, L) - d(B, L)| > 1/4 for the bucket's first leader L.  Nor are pairs whose sketches (a bit
+of each of 2048 further coordinates) differ by more than a pair at the threshold does with a
+probability of 3e-6, well below that of the bands.  The others go to the next
 round with eight times as many leaders, from the third on those without any link first.
 A bucket whose nodes are all in one component is done.  Rounds end when nothing is open, so
-that no pair in a bucket stays undecided.  Each comparison is made once in a round, however
-many buckets ask for it.
+that no pair in a bucket stays undecided.  Each comparison is made once, however many
+buckets ask for it.
 
 Defined results: a text with fewer words is one shingle; null, empty and blank texts have no
 shingles, are linked with nothing and are kept.  Rows with equal doc_id are judged by their
@@ -24,6 +26,7 @@ texts and share an id.  Null ids belong to a group, but are not its smallest id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.text import WordHashes, blank_words, ngram_hashes, signed, stored, utf8
+from plumbline.llm.text import WordHashes, blank_words, mix, ngram_hashes, signed, stored, utf8
 
-SHINGLE, BANDS, ROWS, PLACES = 5, 40, 5, 1 << 20
+SHINGLE, BANDS, ROWS, PLACES, SKETCH = 5, 40, 5, 1 << 20, 32
 _STATE: dict = {}
 
 
@@ -105,19 +108,27 @@ def signed_sets(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>")
 
 
+def sketch(items: np.ndarray, longs: int = SKETCH) -> list[int]:
+    """One bit of each of 64 * longs further coordinates: differing bits of two sketches estimate (1 - J) / 2."""
+    low = signatures([mix(items + np.uint64(0x5E7C4))], 1, 64 * longs)[0]
+    return np.packbits((low & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(node, items): the whole sets of the wanted (doc_id, node) rows, hashed again from the texts."""
+    """(node, items, bits): the whole sets of the wanted (doc_id, node) rows, hashed again from the texts, and their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _STATE.setdefault("words", WordHashes())
         for batch in batches:
             sets = [shingles(blank_words(t.lower() if t else t), hashes, width) for t in utf8(batch.column("text"))]
-            nodes = batch.column("node").to_pylist()
-            good = [(n, signed(s)) for n, s in zip(nodes, sets, strict=True) if len(s) and _node(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in good], pa.int64()), pa.array([s for _, s in good], pa.list_(pa.int64()))], names=["node", "items"])
+            good = [(n, signed(s), sketch(s)) for n, s in zip(batch.column("node").to_pylist(), sets, strict=True) if len(s) and _node(s) == n]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, *_ in good], pa.int64()), pa.array([s for _, s, _ in good], pa.list_(pa.int64())), pa.array([b for *_, b in good], pa.list_(pa.int64()))],
+                names=["node", "items", "bits"],
+            )
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return texts.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, items array<long>, bits array<long>").dropDuplicates(["node"])
 
 
 def _leaders(active: DataFrame, k: int, lone_first: bool) -> DataFrame:
@@ -125,7 +136,16 @@ def _leaders(active: DataFrame, k: int, lone_first: bool) -> DataFrame:
     order = [F.col("tied")] * lone_first + [F.xxhash64("node"), F.col("node")]
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
     first = active.withColumn("rank", rank).where(F.col("rank") <= k)
-    return first.select("bucket", F.col("node").alias("leader"), F.col("c").alias("leader_c"), F.col("ds").alias("leader_ds"))
+    return first.select("bucket", *(F.col(c).alias(f"leader_{c}") for c in ("node", "c", "d", *BITS)))
+
+
+BITS = [f"s{i}" for i in range(SKETCH)]
+
+
+def most_bits(percent: int, bits: int) -> int:
+    """Differing bits that a pair at the threshold exceeds with a probability of 3e-6: 4.5 standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
 
 
 def links(docs: DataFrame, sig: DataFrame, percent: int = 75, width: int = SHINGLE) -> DataFrame:
@@ -133,35 +153,40 @@ def links(docs: DataFrame, sig: DataFrame, percent: int = 75, width: int = SHING
     spark = docs.sparkSession
     inside = sig.where("node is not null").select("node", F.explode("keys").alias("bucket"))
     shared = inside.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-    active = inside.join(shared, "bucket").select("bucket", "node").distinct()
-    active = stored(active.select("bucket", "node", F.col("node").alias("c"), F.lit(False).alias("tied"), F.expr("cast(array() as array<double>)").alias("ds")), "active")
+    members = stored(inside.join(shared, "bucket").select("bucket", "node").distinct(), "members")
     label = spark.createDataFrame([], "node long, component long")
-    if active.isEmpty():
+    if members.isEmpty():
         return label.toDF("a", "b")
-    wanted = sig.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = sig.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(shingle_sets(docs, wanted, width), "sets")
+    bits = sets.select("node", *(F.element_at("bits", i + 1).alias(c) for i, c in enumerate(BITS)))
+    start = {"c": F.col("node"), "tied": F.lit(False), "d": F.lit(None).cast("double")}
+    active = members.join(bits, "node").withColumns(start)
     margin, k, step = 1 - percent / 100 + 1e-9, 1, 0
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"leader_{c}"))) for c in BITS))
+    met = spark.createDataFrame([], "a long, b long")
     while True:
         leaders = _leaders(active, k, step >= 2)
-        apart = F.forall(F.arrays_zip("ds", "leader_ds"), lambda p: F.abs(p["ds"] - p["leader_ds"]) <= margin)
-        open_pair = (F.col("c") != F.col("leader_c")) & apart
-        asked = active.join(leaders, "bucket").where(open_pair)
-        pairs = asked.select("node", "leader").distinct()
-        both = pairs.join(sets.withColumnRenamed("items", "x"), "node").join(sets.select(F.col("node").alias("leader"), F.col("items").alias("y")), "leader")
+        near = (differ <= most_bits(percent, 64 * SKETCH)) & (F.coalesce(F.abs(F.col("d") - F.col("leader_d")), F.lit(0.0)) <= margin)
+        pivot = F.lit(step == 0)  # the first leader meets all: its distances filter the later rounds
+        asked = active.join(leaders, "bucket").where((F.col("c") != F.col("leader_c")) & (near | pivot))
+        pairs = asked.select(F.least("node", "leader_node").alias("a"), F.greatest("node", "leader_node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         either = F.size("x") + F.size("y") - F.col("common")
-        judged = both.withColumn("common", common).select("node", "leader", (1 - F.col("common") / either).alias("d"), (100 * F.col("common") >= percent * either).alias("linked"))
+        judged = both.withColumn("common", common).select("a", "b", (1 - F.col("common") / either).alias("d"), (100 * F.col("common") >= percent * either).alias("linked"))
         judged = stored(judged, "judged")
-        new = judged.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        label = components(new.unionByName(label.toDF("a", "b")))
-        # Leaders have met every open pair of theirs in the bucket.  The distances to the first leader stay as a filter.
-        left = active.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        met = met.unionByName(judged.select("a", "b"))
+        label = components(judged.where("linked").select("a", "b").unionByName(label.toDF("a", "b")))
+        # Leaders have met every open pair of theirs in the bucket.
+        left = active.join(leaders.select("bucket", F.col("leader_node").alias("node")), ["bucket", "node"], "left_anti")
         if step == 0:
-            one = leaders.select("bucket", "leader")
-            left = left.join(one, "bucket").join(judged.select("node", "leader", "d"), ["node", "leader"], "left").withColumn("ds", F.array("d")).drop("leader", "d")
-        left = left.drop("c", "tied").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"), F.col("component").isNotNull().alias("tied"), "ds")
+            one = leaders.select("bucket", "leader_node")
+            left = left.drop("d").join(one, "bucket").withColumns({"a": F.least("node", "leader_node"), "b": F.greatest("node", "leader_node")})
+            left = left.join(judged.select("a", "b", "d"), ["a", "b"], "left")
+        left = left.drop("c", "tied").join(label, "node", "left").withColumns({"c": F.coalesce("component", "node"), "tied": F.col("component").isNotNull()})
         mixed = left.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-        active = stored(left.join(mixed, "bucket").select("bucket", "node", "c", "tied", "ds"), "active")
+        active = stored(left.join(mixed, "bucket").select("bucket", "node", "c", "tied", "d", *BITS), "active")
         if active.isEmpty():
             return label.toDF("a", "b")
         k, step = 8 * k, step + 1
