@@ -142,7 +142,8 @@ def _merge(own: list) -> None:
 
 
 def identify(docs: DataFrame, model: Filter) -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,7 +179,8 @@ def repeated_words(h: np.ndarray) -> int:
 
 
 def judge(docs: DataFrame, field: Field, least_share: float = LEAST_SHARE) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept; columns of these names are replaced."""
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     state, step = field.state, field.step
 
