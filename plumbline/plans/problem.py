@@ -2,7 +2,7 @@
 
 Declaring is driver work on a few specs.  Everything on rows is one lazy plan: validation
 is a projection, generation a chain of projections over spark.range in the order that the
-variables depend on each other, with rejection in bounded vectorised rounds.
+variables depend on each other, with bounded rejection inside the row.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.errors import ConfigurationError, GenerationError, ValidationError, VariableNotFound
+from plumbline.errors import ConfigurationError, ValidationError, VariableNotFound
 from plumbline.operators import constraints as C
 from plumbline.operators.specs import Spec
 
@@ -121,44 +121,33 @@ class Problem:
 
     def generate(
         self, spark: SparkSession, calls: int = 1, generator: str = "random", local: dict[str, Spec] | None = None, names: Sequence[str] | None = None,
-        fixed: dict[str, Column] | None = None, seed: str | None = None, most_attempts: int = 64, partitions: int | None = None,
+        fixed: dict[str, Column] | None = None, seed: str | None = None, most_attempts: int = 1000, partitions: int | None = None,
     ) -> DataFrame:
         """calls rows (gen, call, idx, variables) that satisfy all constraints.
 
         A value is a function of seed, generator, call, variable and attempt: the same on any
-        number of partitions.  Rows whose values break a constraint (patterns with a length, custom
-        predicates, several remainders) are drawn again, all open rows at once, up to
-        most_attempts times.
+        number of partitions.  Values that the generator cannot aim at (custom predicates,
+        remainders, patterns with a length) are drawn again inside the row, up to most_attempts
+        times; a row for which none fits raises an error.
         """
         base = self.seed if seed is None else seed
         if base is None:
             raise ConfigurationError("a problem needs a seed to generate")
         own = self.merged(local or {})
-        order = own.needed(names or sorted(own.variables))
         rows = spark.range(0, calls, 1, partitions).select(F.lit(generator).alias("gen"), F.col("id").alias("call"), F.lit(1).alias("idx"))
-
-        def drawn(open_rows: DataFrame, attempt: int) -> DataFrame:
-            for n in order:
-                unique = own.variables[n].unique()
-                made = (fixed or {}).get(n)
-                if made is None:
-                    made = C.literal(unique) if unique is not None else own.variables[n].generate(F.lit(base), F.col("gen"), F.col("call"), F.lit(n), F.lit(attempt))
-                open_rows = open_rows.withColumn(n, made)
-            return open_rows
-
-        done = drawn(rows, 0)
-        risky = [n for n in order if own.variables[n].find((C.Custom, C.Mod)) or own.variables[n].find(C.SimplePattern) and own.variables[n].find((C.Length, C.DistinctCharacters))]
-        if not risky:
-            return done
-        ok = reduce(lambda a, b: a & b, (own.variables[n].holds(F.col(f"`{n}`")) for n in order))
-        kept, left, attempt = done.where(ok), done.where(~ok).select("gen", "call", "idx"), 0
-        while not left.isEmpty():
-            attempt += 1
-            if attempt >= most_attempts:
-                raise GenerationError(f"{left.count()} rows satisfy nothing after {attempt} attempts")
-            again = drawn(left, attempt)
-            kept, left = kept.unionByName(again.where(ok)), again.where(~ok).select("gen", "call", "idx")
-        return kept
+        for n in own.needed(names or sorted(own.variables)):
+            spec = own.variables[n]
+            unique = spec.unique()
+            draw = lambda attempt, n=n, spec=spec: spec.generate(F.lit(base), F.col("gen"), F.col("call"), F.lit(n), attempt)
+            aimed = not spec.find(C.Custom) and len(spec.find(C.Mod)) < 2 and not (spec.find(C.SimplePattern) and spec.find((C.Length, C.DistinctCharacters)))
+            if fixed and n in fixed:
+                made = fixed[n]
+            elif unique is not None:
+                made = C.literal(unique)
+            else:
+                made = draw(F.lit(0)) if aimed else _retried(spec, draw, most_attempts, n)
+            rows = rows.withColumn(n, made)
+        return rows
 
     def edge_case_product(self, spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
         """Every combination of the variables' edge cases: a cross product of literal lists, never of data."""
@@ -170,6 +159,17 @@ class Problem:
         return out
 
 
+def _retried(spec: Spec, draw: Callable[[Column], Column], most: int, name: str) -> Column:
+    """The first draw that satisfies the spec; later attempts are not evaluated."""
+
+    def step(found: Column, attempt: Column) -> Column:
+        value = draw(attempt)
+        return F.coalesce(found, F.when(spec.holds(value), value))
+
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(None).cast(spec.dtype), step)
+    return F.coalesce(first, F.raise_error(F.lit(f"no value for {name} after {most} attempts")).cast(spec.dtype))
+
+
 def merge_outputs(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of both by key; where both have a column, the input's value wins if it is set."""
     shared = [c for c in outputs.columns if c in inputs.columns and c not in keys]
