@@ -15,8 +15,8 @@ of each of 2048 further coordinates) differ by more than a pair at the threshold
 probability of 3e-6, well below that of the bands.  The others go to the next
 round with eight times as many leaders, from the third on those without any link first.
 A bucket whose nodes are all in one component is done.  Rounds end when nothing is open, so
-that no pair in a bucket stays undecided.  Each comparison is made once, however many
-buckets ask for it.
+that no pair in a bucket stays undecided.  Each comparison is made once: of the buckets that
+two nodes share and that one of them leads, the first alone asks for it.
 
 Defined results: a text with fewer words is one shingle; null, empty and blank texts have no
 shingles, are linked with nothing and are kept.  Rows with equal doc_id are judged by their
@@ -31,7 +31,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
@@ -142,6 +142,20 @@ def _leaders(active: DataFrame, k: int, lone_first: bool) -> DataFrame:
 BITS = [f"s{i}" for i in range(SKETCH)]
 
 
+def _places(active: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(node, own, leads): the open buckets of each node and those in which it leads, at most one a band."""
+    leads = leaders.select(F.col("leader_node").alias("node"), "bucket", F.lit(True).alias("led"))
+    both = active.select("node", "bucket", F.lit(False).alias("led")).unionByName(leads)
+    lists = [F.collect_list(F.when(F.col("led") == x, F.col("bucket"))).alias(name) for x, name in ((False, "own"), (True, "leads"))]
+    return both.groupBy("node").agg(*lists)
+
+
+def _asks_here() -> Column:
+    """Whether this bucket is the first in which the two nodes meet with either as a leader; of two leaders, the smaller asks."""
+    meet = F.concat(F.array_intersect("own", "leader_leads"), F.array_intersect("leads", "leader_own"))
+    return (F.col("bucket") == F.array_min(meet)) & ((F.col("node") < F.col("leader_node")) | ~F.array_contains("leads", F.col("bucket")))
+
+
 def most_bits(percent: int, bits: int) -> int:
     """Differing bits that a pair at the threshold exceeds with a probability of 3e-6: 4.5 standard deviations."""
     p = (1 - percent / 100) / 2
@@ -168,8 +182,13 @@ def links(docs: DataFrame, sig: DataFrame, percent: int = 75, width: int = SHING
     while True:
         leaders = _leaders(active, k, step >= 2)
         near = (differ <= most_bits(percent, 64 * SKETCH)) & (F.coalesce(F.abs(F.col("d") - F.col("leader_d")), F.lit(0.0)) <= margin)
-        pivot = F.lit(step == 0)  # the first leader meets all: its distances filter the later rounds
-        asked = active.join(leaders, "bucket").where((F.col("c") != F.col("leader_c")) & (near | pivot))
+        apart = F.col("c") != F.col("leader_c")
+        if step == 0:  # the first leader meets all: its distances filter the later rounds
+            asked = active.join(leaders, "bucket").where(apart)
+        else:
+            places = _places(active, leaders)
+            theirs = places.select(F.col("node").alias("leader_node"), F.col("own").alias("leader_own"), F.col("leads").alias("leader_leads"))
+            asked = active.join(places, "node").join(leaders.join(theirs, "leader_node"), "bucket").where(F.when(apart & near, _asks_here()))  # lists are met only for the few that are near
         pairs = asked.select(F.least("node", "leader_node").alias("a"), F.greatest("node", "leader_node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
