@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pass
     texts = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(describe(t)[0][:400], y) for b in batches for t, y in zip(utf8(b.column("text")), b.column("y").to_pylist(), strict=True)]
+        rows = [(describe(t)[0], y) for b in batches for t, y in zip(utf8(b.column("text")), b.column("y").to_pylist(), strict=True)]
         field, rng, k = Field(), np.random.Generator(np.random.PCG64(2)), 0
         rows = [x for x in rows if x[0]]
         for _ in range(passes):
