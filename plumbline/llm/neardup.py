@@ -15,8 +15,9 @@ of each of 2048 further coordinates) differ by more than a pair at the threshold
 probability of 3e-6, well below that of the bands.  The others go to the next
 round with eight times as many leaders, from the third on those without any link first.
 A bucket whose nodes are all in one component is done.  Rounds end when nothing is open, so
-that no pair in a bucket stays undecided.  Each comparison is made once: of the buckets that
-two nodes share and that one of them leads, the first alone asks for it.
+that no pair in a bucket stays undecided.  Each comparison is made once: after the
+first round, of the buckets that two nodes share and that one of them leads, the first alone
+asks; what the first round's buckets ask more than once, and later rounds again, is dropped.
 
 Defined results: a text with fewer words is one shingle; null, empty and blank texts have no
 shingles, are linked with nothing and are kept.  Rows with equal doc_id are judged by their
