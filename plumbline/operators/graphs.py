@@ -72,3 +72,21 @@ def matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     cells = nodes.join(all_nodes, "graph").join(counts, ["graph", "node", "other"], "left").select("graph", "node", "other", F.coalesce("n", F.lit(0)).alias("n"))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("other", "n"))), lambda c: c["n"].cast("string")), " ")
     return cells.groupBy("graph", "node").agg(line.alias("line"))
+
+
+def from_matrix(lines: DataFrame) -> DataFrame:
+    """(graph, node, line) rows of edge counts, nodes 0 to n - 1 -> (graph, u, v) with u <= v, one row for each edge.
+
+    A matrix that is not square, not symmetric or holds anything but counts raises an error.
+    """
+    rows = lines.select("graph", "node", F.split(F.coalesce("line", F.lit("")), " ", -1).alias("cells"))
+    sizes = rows.groupBy("graph").agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes"), F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.size("cells")).alias("least"), F.max(F.size("cells")).alias("most"))
+    square = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("nodes") == F.col("n")) & (F.col("least") == F.col("n")) & (F.col("most") == F.col("n"))
+    bad = sizes.where(~F.coalesce(square, F.lit(False))).select(F.col("graph").alias("g"), F.lit(True).alias("bad"))
+    cells = rows.join(bad, F.col("graph").eqNullSafe(F.col("g")), "left").select("graph", F.col("node").alias("u"), "bad", F.posexplode("cells").alias("v", "cell"))
+    fail = lambda why: F.raise_error(F.lit(why)).cast("int")
+    count = F.when(F.col("bad"), fail("the matrix is not square")).when(F.col("cell").rlike(r"\A(0|[1-9][0-9]{0,8})\z"), F.col("cell").try_cast("int")).otherwise(fail("a cell is not a count"))
+    cells = cells.select("graph", "u", F.col("v").cast("long").alias("v"), count.alias("n"))
+    pairs = cells.groupBy("graph", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("n").alias("n"), F.max("n").alias("other"))
+    same = F.when(F.col("n") == F.col("other"), F.col("n")).otherwise(fail("the matrix is not symmetric"))
+    return pairs.select("graph", "u", "v", F.explode(F.array_repeat(F.lit(0), same)).alias("_")).drop("_")

@@ -127,6 +127,19 @@ def test_graphs_as_edge_tables(spark):
     assert [tuple(r) for r in graphs.shape(edges).orderBy("graph").collect()] == [(0, 5, 0, 0, True), (1, 4, 1, 1, False)]
 
 
+def test_matrices_round_trip(spark):
+    nodes = spark.createDataFrame([(g, n) for g in (0, 1) for n in range(4)], "graph long, node long")
+    edges = [(0, 0, 1), (0, 0, 1), (0, 2, 2), (0, 1, 3)]
+    lines = graphs.matrix(nodes, spark.createDataFrame(edges, "graph long, u long, v long"))
+    assert [r["line"] for r in lines.where("graph = 0").orderBy("node").collect()] == ["0 2 0 0", "2 0 0 1", "0 0 1 0", "0 1 0 0"]
+    assert sorted(map(tuple, graphs.from_matrix(lines).collect())) == sorted(edges)
+    assert graphs.from_matrix(lines.where("false")).count() == 0
+    for bad in (["0 1", "0 0"], ["0", "0"], ["0 -1", "-1 0"], ["0 1 0", "1 0 0"], ["0  1", "1 0"], ["0 x", "x 0"], [None, "0 0"], ["0 1"]):
+        frame = spark.createDataFrame([(7, i, t) for i, t in enumerate(bad)], "graph long, node long, line string")
+        with pytest.raises(Exception, match="matrix|count"):
+            graphs.from_matrix(frame).collect()
+
+
 LAYOUT = L.Layout((L.Line("N"), L.Multiline("(N - 1) + 1", "A", "B")), header=(L.Line(L.Literal("start")),), footer=(L.Line(L.Literal("end")),), counted=True)
 CASES = Problem({"N": Integer(C.Between(1, 10)), "A": Array(Integer(), C.Length("N")), "B": Array(Integer(), C.Length("N"))}, input=LAYOUT, seed="s")
 
