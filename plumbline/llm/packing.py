@@ -1,14 +1,18 @@
 """Hierarchical packing into sequences of several context sizes.
 
 A document's ids are cut into as many full windows of the largest size as it has; its rest goes
-to the tier of the least size that holds it.  Each tier is packed by first-fit over a bounded
-buffer of rests, longest first; a gap in a long window is filled from shorter tiers, and
-where no rest fits it, with the start of one.  What is left at the end of a partition becomes
-windows of the lower tiers that are full, and one padded window.  Step groups hold the same
-number of ids: sequences of a tier are dealt to groups of `step_ids` ids.
+to the list of the tier of the least size that holds it.  While more than `buffer_ids` ids are
+held, the tier with the most of them makes a window from its own list, longest rest first; the
+gap is filled with the longest rest that fits, which shorter tiers have, and where none fits
+with the start of the shortest.  At the end of a partition each tier packs what its list has
+left; what no full window takes is one padded window of the lowest tier.
+
+Step groups hold the same number of ids: the sequences of a tier are numbered over all
+partitions and dealt to groups of `step_ids` ids; only the last group of a tier may hold fewer.
 
 Scale: each partition of the input packs its own documents in one pass, with a buffer of at most
-`buffer_ids` ids; nothing is shuffled, and a task that is run again gives the same sequences.
+`buffer_ids` ids, and a task that is run again gives the same sequences.  Pieces (no texts) are
+stored once; the numbers of earlier sequences are sums over a row for each partition and tier.
 At most one window a partition is padded.
 
 Defined results: a null text is empty and has the end id alone; every row is packed by itself,
@@ -24,21 +28,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from plumbline.llm.text import batches_of
+from plumbline.llm.text import batches_of, stored
 from plumbline.llm.tokens import encoder
 
 TIERS, BUFFER_IDS, STEP_IDS = (1024, 512, 256, 128), 1 << 20, 1 << 16
 
 
 class Packer:
-    """Of rests (size, order, document, start); sequences are lists of (document, start, length)."""
+    """Of rests (size, order, document, start), a list a tier; sequences are lists of (document, start, length)."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS, buffer_ids: int = BUFFER_IDS):
-        self.tiers, self.buffer_ids = tuple(sorted(tiers, reverse=True)), buffer_ids
-        self.rests: list[tuple[int, int, int, int]] = []
-        self.held = self.order = 0
+        self.tiers = tuple(sorted(tiers, reverse=True))
+        self.buffer_ids = max(buffer_ids, self.tiers[0])
+        self.rests: dict[int, list[tuple[int, int, int, int]]] = {t: [] for t in self.tiers}
+        self.held, self.total, self.order = dict.fromkeys(self.tiers, 0), 0, 0
 
     def add(self, document: int, size: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         top, start = self.tiers[0], 0
@@ -47,20 +53,34 @@ class Packer:
             start += top
         if size > start:
             self._keep(document, start, size - start)
-        while self.held > self.buffer_ids:
-            yield self._window(top)
+        while self.total > self.buffer_ids:
+            yield self._window(max(self.tiers, key=self.held.__getitem__))
 
     def _keep(self, document: int, start: int, size: int) -> None:
-        insort(self.rests, (size, self.order, document, start))
-        self.order, self.held = self.order + 1, self.held + size
+        tier = min(t for t in self.tiers if t >= size)
+        insort(self.rests[tier], (size, self.order, document, start))
+        self.order, self.total = self.order + 1, self.total + size
+        self.held[tier] += size
+
+    def _take(self, gap: int) -> tuple[int, int, int, int]:
+        """The longest rest of at most gap ids, or else the shortest of all."""
+        fits = [t for t in self.tiers if t < gap]
+        for tier in [min(t for t in self.tiers if t >= gap), *fits]:
+            at = bisect_left(self.rests[tier], (gap + 1,)) - 1
+            if at >= 0:
+                break
+        else:
+            tier, at = min(t for t in self.tiers if self.rests[t]), 0
+        rest = self.rests[tier].pop(at)
+        self.held[tier] -= rest[0]
+        self.total -= rest[0]
+        return rest
 
     def _window(self, room: int) -> tuple[int, list[tuple[int, int, int]]]:
         """A full window: the longest rest, then the longest that fit the gap, then the start of the shortest."""
         out, gap = [], room
         while gap:
-            at = bisect_left(self.rests, (gap + 1,)) - 1
-            size, _, document, start = self.rests.pop(max(at, 0))
-            self.held -= size
+            size, _, document, start = self._take(gap)
             used = min(size, gap)
             out.append((document, start, used))
             gap -= used
@@ -70,11 +90,14 @@ class Packer:
 
     def finish(self) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         for tier in self.tiers:
-            while self.held >= tier:
+            while self.rests[tier] and self.total >= tier:
+                yield self._window(tier)
+        for tier in self.tiers:  # rests of a tier that had not enough for its last window
+            while self.total >= tier:
                 yield self._window(tier)
-        if self.held:
-            yield self.tiers[0], [(d, s, n) for n, _, d, s in self.rests]
-            self.rests, self.held = [], 0
+        if self.total:
+            yield self.tiers[-1], [(d, s, n) for t in self.tiers for n, _, d, s in self.rests[t]]
+            self.__init__(self.tiers, self.buffer_ids)
 
 
 OUT = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -97,16 +120,16 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, buffer_ids: int = BUFF
         def place(sequences) -> None:
             nonlocal made
             for tier, pieces in sequences:
-                at, group = 0, dealt[tier] // max(1, step_ids // tier)
-                dealt[tier] += 1
+                at = 0
                 for number, start, length in pieces:
                     doc = known[number]
                     part = doc[1][start : start + length]
-                    rows.append((doc[0], start, length, zlib.crc32(part), len(doc[1]), base + made, at, tier, base + group * len(packer.tiers) + packer.tiers.index(tier)))
+                    rows.append((doc[0], start, length, zlib.crc32(part), len(doc[1]), base + made, at, tier, dealt[tier]))
                     at += length
                     doc[2] -= length
                     if not doc[2]:
                         del known[number]
+                dealt[tier] += 1
                 made += 1
 
         def flush() -> pa.RecordBatch:
@@ -129,4 +152,18 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, buffer_ids: int = BUFF
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT.format(id=kind.simpleString()))
+    packed = stored(docs.select("doc_id", "text").mapInArrow(run, OUT.format(id=kind.simpleString())), "packed")
+    return _grouped(packed, tiers, step_ids)
+
+
+def _grouped(packed: DataFrame, tiers: tuple[int, ...], step_ids: int) -> DataFrame:
+    """packed with step_group, there a sequence's number in its partition and tier, as a group of all partitions."""
+    packed = packed.withColumn("part", F.shiftright("sequence_id", 36))
+    each = packed.groupBy("part", "tier").agg((F.max("step_group") + 1).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = each.select("part", "tier", F.coalesce(earlier, F.lit(0)).alias("before"))
+    order = sorted(tiers, reverse=True)
+    place = F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(order) for x in (t, i)]), F.col("tier"))
+    most = F.element_at(F.create_map(*[F.lit(x) for t in order for x in (t, max(1, step_ids // t))]), F.col("tier"))
+    group = F.floor((F.col("before") + F.col("step_group")) / most).cast("long") * len(order) + place
+    return packed.join(F.broadcast(before), ["part", "tier"]).withColumn("step_group", group).select([x.split(" ")[0] for x in OUT.split(", ")])

@@ -294,6 +294,36 @@ def test_packing_covers_every_id_once(spark, docs):
     assert packing.pack(odd(spark)).select("doc_id").distinct().count() == len({x[0] for x in ODD}) and packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_packs_every_tier_in_the_pass():
+    rng, packer = random.Random(5), packing.Packer((64, 32, 16, 8), buffer_ids=1024)
+    sizes = [rng.choice([rng.randint(1, 8)] * 20 + [rng.randint(9, 16)] * 8 + [rng.randint(17, 32)] * 3 + [rng.randint(33, 64), 150]) for _ in range(8000)]
+    during = [s for i, n in enumerate(sizes) for s in packer.add(i, n)]
+    made = [*during, *packer.finish()]
+    count = {t: sum(x == t for x, _ in during) for t in packer.tiers}
+    assert min(count.values()) > 50, count
+    assert sum(sum(p[2] for p in pieces) < t for t, pieces in made) <= 1
+    for t, pieces in during:  # a window starts with a rest of its own tier, or a whole window of a long text
+        assert t // 2 < pieces[0][2] <= t or t == 8
+    left = {i: 0 for i in range(len(sizes))}
+    for i, start, n in sorted(p for _, pieces in made for p in pieces):
+        assert start == left[i]
+        left[i] += n
+    assert [left[i] for i in range(len(sizes))] == sizes
+
+
+def test_packing_step_groups_hold_equal_ids(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c"], k=rng.choice([rng.randint(0, 7)] * 20 + [rng.randint(8, 15)] * 8 + [rng.randint(16, 90)] * 4)))) for i in range(6000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tiers=(64, 32, 16, 8), buffer_ids=512, step_ids=256).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["step_group"], r["tier"]), set()).add(r["sequence_id"])
+    assert len({g for g, _ in groups}) == len(groups)
+    for tier in (64, 32, 16, 8):
+        held = [len(s) for (_, t), s in groups.items() if t == tier]
+        assert len(held) > 2 and sum(n * tier != 256 for n in held) <= 1 and max(held) * tier == 256
+
+
 def test_encoder_equals_the_library():
     coder = encoder()
     texts = ["", None, " a", "a ", "a  b", "a \n b", "x\x01 y", "\n", "don't  12,3 é", "a\u00a0 b", "日本 語"]
