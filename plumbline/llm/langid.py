@@ -1,16 +1,19 @@
 """Language by n-gram filters: one bit-sliced Bloom filter for all languages.
 
-A filter has m slots, and a slot one bit for each language.  A language's typical n-grams
-set its bit in k slots; the AND of an n-gram's k slots is the set of languages that contain
-it.  A text's n-grams are looked up together, each language's bits are counted, the count
-expected from false positives alone is taken off, and the largest rest wins.
+A filter has m slots, and a slot one bit for each language.  Every n-gram that a language's
+sample has `least` times sets the language's bit in k slots; the AND of an n-gram's k slots is
+the set of all languages that contain it.  A text's n-grams are looked up together, each
+language's bits are counted, the count expected from false positives alone is taken off, and
+the largest rest, in whole n-grams, wins.
 
-The filter is learnt from counts over a bounded sample of labelled rows (`sample_rows`, by
-hash, about) and is a broadcast of fixed size (m bytes a group of eight languages).
+The filter is learnt from counts over a bounded sample of labelled rows (about `language_rows`
+of each language, by hash; all rows of a language with fewer) and is a broadcast of fixed size
+(m bytes a group of eight languages).
 
 Defined results: null texts and texts without a letter are `und` with score 0; a text none of
 whose n-grams is known gets the most frequent language with score 1 / languages; ties go to
-the first language by name.  Rows without a language teach nothing.
+the language with more labelled rows, then to the first by name.  The score is the winner's part
+of all languages' counts.  Rows without a language teach nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.llm.text import mix, utf8
 
-SLOTS, PROBES, ORDERS, SAMPLE_ROWS = 1 << 22, 2, (3, 5), 20_000
+SLOTS, PROBES, ORDERS, LANGUAGE_ROWS, LEAST = 1 << 22, 2, (3, 5), 5_000, 3
 _LETTER = regex.compile(r"\p{L}")
 #: Letters lower-cased, all that separates words to a blank; UTF-8 tails stay.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -54,6 +57,8 @@ def slots(codes: np.ndarray, m: int, k: int) -> list[np.ndarray]:
 
 
 class Filter:
+    """Of languages, the most frequent first."""
+
     def __init__(self, languages: list[str], m: int = SLOTS, k: int = PROBES):
         self.languages, self.m, self.k = languages, m, k
         self.bits = np.zeros((max(1, -(-len(languages) // 8)), m), dtype=np.uint8)
@@ -84,20 +89,24 @@ class Filter:
     def predict(self, text: bytes | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text.decode()):
             return "und", 0.0
-        # A language's own share: what its filter holds and the mean of the others' does not.
-        got = self.counts(grams(text))
+        got = np.rint(self.counts(grams(text)))
         if not got.sum():
             return self.languages[0], 1 / len(self.languages)
         best = int(np.argmax(got))
         return self.languages[best], float(got[best] / got.sum())
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, share: float = 0.6, least: int = 3, m: int = SLOTS, k: int = PROBES) -> Filter:
-    """From docs (doc_id, text, lang).  An n-gram is typical of a language in which at least
-    `share` of its relative frequency lies, and that has it `least` times."""
+def fit(docs: DataFrame, language_rows: int = LANGUAGE_ROWS, least: int = LEAST, m: int = SLOTS, k: int = PROBES) -> Filter:
+    """From docs (doc_id, text, lang): the n-grams that each language's sample has `least` times."""
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    n = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(n, 1))))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
+    out = Filter(languages, m, k)
+    if not languages:
+        return out.close()
+    most = {x: int((1 << 30) * min(1.0, language_rows / sizes[x])) for x in languages}
+    below = F.element_at(F.create_map(*[F.lit(x) for pair in most.items() for x in pair]), F.col("lang"))
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list] = {}
@@ -114,21 +123,12 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, share: float = 0.6, lea
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
     each = rows.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    each = each.persist()
+    # The sample bounds the n-grams; those with few counts are left out before they reach the driver.
+    each = each.where(F.col("n") >= least).persist()
     try:
-        totals = {r["lang"]: r["n"] for r in each.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        languages = sorted(totals, key=lambda x: x)
-        out = Filter(languages, m, k)
-        if not languages:
-            return out.close()
-        rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals[lang]))]), F.col("lang"))
-        whole = each.withColumn("rate", rate).groupBy("code").agg(F.sum("rate").alias("all"), F.max(F.struct("rate", "n", "lang")).alias("top"))
-        typical = whole.where((F.col("top.rate") >= share * F.col("all")) & (F.col("top.n") >= least)).select(F.col("top.lang").alias("lang"), "code")
-        # The sample bounds the n-grams; those with few counts are left out before they reach the driver.
-        found = typical.toArrow()
-        langs, codes = np.array(found.column("lang").to_pylist()), found.column("code").to_numpy().view(np.uint64)
         for i, lang in enumerate(languages):
-            out.add(i, codes[langs == lang])
+            codes = each.where(F.col("lang") == lang).select("code").toArrow().column("code")
+            out.add(i, codes.to_numpy().view(np.uint64))
         return out.close()
     finally:
         each.unpersist()

@@ -243,6 +243,24 @@ def test_bloom_filter_has_no_false_negatives():
     assert f.close().counts(codes)[9] >= 0.99 * len(codes) and f.counts(codes)[:9].sum() == 0
 
 
+def test_language_filter_holds_all_languages_of_an_ngram(spark):
+    """b shares most words with a and has 30 rows of its own; z shares none and has 12."""
+    rng, shared = random.Random(4), ["".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(60)]
+    own = {"a": ["mnopqr", "nrqpom"], "b": ["kstuvw", "wkvuts"], "z": ["".join(random.Random(i).choices("xyz", k=7)) for i in range(20)]}
+    words = {"a": shared + own["a"] * 5, "b": shared + own["b"] * 5, "z": own["z"]}
+    rows = [(x, " ".join(rng.choices(words[x], k=40))) for x, n in (("b", 30), ("a", 600), ("z", 12)) for _ in range(n)]
+    model = langid.fit(spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string"), language_rows=100)
+    assert model.languages == ["a", "b", "z"]
+    codes = langid.grams(" ".join(shared).encode())
+    assert (model.counts(codes)[:2] > 0.6 * len(codes)).all() and model.counts(codes)[2] < 1
+    short = [model.predict(w.encode()) for w in shared]
+    assert sum(x == "a" for x, _ in short) >= 50 and all(x in "ab" and 0.4 < score < 0.7 for x, score in short)
+    for x in "abz":
+        texts = [" ".join(rng.choices(words[x], k=25) + own[x][:2] * 2) for _ in range(40)]
+        assert sum(model.predict(t.encode())[0] == x for t in texts) >= 38, x
+    assert model.predict("éé".encode()) == ("a", 1 / 3)
+
+
 def test_warc_round_trip(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
     long, short = "x" * 200, "y" * 99
