@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.text import alnum_words, utf8
+from plumbline.llm.text import alnum_words, stored, utf8
 
 BLOCK_BYTES = 1_000_000
 SCAN = {"n_words": T.LongType(), "hits": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
@@ -242,17 +243,58 @@ def digest(scanned: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the hit spans; documents with more than most_coverage of their words hit go.
 
-    Spans are removed again until none is left, as their neighbours may form a new hit.
+    A document is judged once, by the hits of all items on its text as it came.  Spans are
+    removed again until none is left, as their neighbours may form a new hit; with more than
+    one block the hits of all blocks are united before each removal, and only texts that
+    changed are scanned again.
     n_chars follows the text.  Documents without a hit come out as they went in.
     """
     blocks = item_blocks(items, block_bytes)
-    out = docs
-    for block in blocks:
-        out = _removed(out, block, window, most_coverage)
-    if len(blocks) > 1:  # what a later block removed may join a run of an earlier one
-        for block in blocks[:-1]:
-            out = _removed(out, block, window, most_coverage)
-    return out
+    if len(blocks) == 1:
+        return _removed(docs, blocks[0], window, most_coverage)
+    same = [F.xxhash64("text", F.reverse("text")).alias("k"), F.octet_length("text").alias("size")]
+    # One row for each text that is hit, with its key: (k, size, text, new); new is null if its documents go.
+    texts = docs.select("text").where("text is not null")
+    now = texts.select(*same, F.col("text"))
+    limit, done = most_coverage, None
+    while True:
+        found = reduce(DataFrame.unionByName, (_scanned(now, block, window, True) for block in blocks))
+        # Equal texts share their hits; a text that is hit comes once from each block.
+        found = found.select("k", "size", "text", "n_words", "hits").dropDuplicates(["k", "size", "hits"])
+        hit = found.groupBy("k", "size").agg(F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+        cut = stored(_cut_rows(hit, limit), "cut")
+        if cut.isEmpty():
+            break
+        if done is None:
+            done = cut
+        else:
+            later = cut.select("k", "size", F.col("new").alias("later"))
+            done = stored(done.join(later, ["k", "size"], "left").select("k", "size", F.coalesce("later", "new").alias("new")), "done")
+        now, limit = cut.where("new is not null").select("k", "size", F.col("new").alias("text")), None
+    if done is None:
+        return docs
+    changed = done.select(F.col("k").alias("__k"), F.col("size").alias("__size"), F.col("new").alias("__new"), F.lit(True).alias("__hit"))
+    rows = docs.withColumns({"__own": same[0], "__octets": same[1]})
+    rows = rows.join(changed, (F.col("__own") == F.col("__k")) & (F.col("__octets") == F.col("__size")), "left").where("__hit is null or __new is not null")
+    made = {"text": F.coalesce("__new", "text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("__hit"), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select([made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def _cut_rows(hit: DataFrame, most_coverage: float | None) -> DataFrame:
+    """(k, size, new): texts without their hits; null if more than most_coverage of the words are hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = []
+            for text, n, h in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "hits")), strict=True):
+                spans = united([*zip(h[::2], h[1::2], strict=True)])
+                gone = most_coverage is not None and sum(b - a for a, b in spans) > most_coverage * n
+                new.append(None if gone else _cut(text, spans))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("size"), pa.array(new, pa.string())], names=["k", "size", "new"])
+
+    return hit.mapInArrow(run, "k long, size int, new string")
 
 
 def _removed(docs: DataFrame, block: Block, window: int, most_coverage: float) -> DataFrame:

@@ -59,6 +59,23 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.scan(empty(spark), bench.where("false")).count() == 0
 
 
+def test_decontamination_is_the_same_for_any_blocks(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=12))) for i in range(8)]
+    words = [t.split() for _, t in items]
+    half = [" ".join([*words[i][:11], *rng.choices(vocabulary, k=n), *words[j][:11]]) for i in range(4) for j in range(4, 8) for n in (8, 14, 30)]
+    nested = [" ".join([*words[i][:6], *words[j], *words[i][6:], *rng.choices(vocabulary, k=40)]) for i in range(8) for j in range(8) if i != j]
+    deeper = [" ".join([*words[i][:6], *words[j][:6], *words[k], *words[j][6:], *words[i][6:], *rng.choices(vocabulary, k=60)]) for i, j, k in [(0, 1, 2), (2, 1, 0), (5, 6, 7), (7, 6, 5)]]
+    overlap = items + [("o", " ".join([*words[0][4:], *words[1][:6]]))]
+    texts = [*half, *nested, *deeper, " ".join([*words[0], *words[1], *rng.choices(vocabulary, k=40)]), "no hit here", "", half[0], None]
+    frame = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(overlap, "item_id string, text string")
+    one, many = ({r["doc_id"]: (r["text"], r["n_chars"]) for r in decontaminate.decontaminate(frame, bench, block_bytes=b).collect()} for b in (1_000_000, 30))
+    assert one == many and 0 < len(one) < len(texts)
+    assert all(decontaminate.brute_force(t, overlap)[1] == 0 and n == len(t or "") for t, n in many.values())
+
+
 def jaccard_components(rows):
     """doc_id -> (set size, least reachable id), comparing all pairs."""
     sets = {}
