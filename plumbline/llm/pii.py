@@ -38,7 +38,7 @@ LIKELY = {"email": "@", "ip": PATTERNS["ip"], "card": r"[0-9](?:[\x20-]?[0-9]){1
 BLANK = r"\x20\x09-\x0D"
 #: Identifier-like tokens: a digit or an "@", at a token's start.
 TOKEN = rf"(?<![^{BLANK}])[^{BLANK}]*[0-9@][^{BLANK}]*"
-LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SHARE, ROUNDS = 3, 0.8, 0.5, 3
+LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SHARE = 3, 0.8, 0.5
 SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
@@ -117,19 +117,20 @@ def instances(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "start", "end", "kind", "instance", lexical.alias("patterns"))
 
 
-def discover(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE, least_share: float = LEAST_SHARE, rounds: int = ROUNDS) -> DataFrame:
+def discover(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE, least_share: float = LEAST_SHARE) -> DataFrame:
     """New spans (doc_id, key, start, end, kind) that patterns of high confidence take.
 
     A pattern speaks for a kind if at least least_seeds different known instances of the kind
     stand in it, and they are at least least_confidence of its different known instances and
     at least least_share of all its different instances; an unknown instance takes the kind with the largest sum of
-    confidence over its patterns, and needs a digit run like an identifier's or an "@".
+    confidence over its patterns, and needs a digit run like an identifier's or an "@".  Rounds
+    end when one finds no new instance; each but the last adds some, so they are finite.
     """
     all_spans = stored(instances(docs), "instances")
     edges = stored(all_spans.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "edges")
     known = all_spans.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
     fit = F.col("instance").rlike(r"@|[0-9].*[0-9].*[0-9].*[0-9]")
-    for _ in range(rounds):
+    while True:
         seen = edges.join(known, "instance", "left").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
         each = seen.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("known"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("top"))
         good = each.where((F.col("top.n") >= least_seeds) & (F.col("top.n") >= least_confidence * F.col("known")) & (F.col("top.n") >= least_share * F.col("n")))

@@ -172,6 +172,16 @@ def test_personal_data_bootstrap(spark):
     assert pii.find(odd(spark)).count() == len(ODD) and pii.redact(empty(spark)).count() == 0
 
 
+def test_personal_data_bootstrap_runs_until_nothing_is_new(spark):
+    """Group g is known after g rounds: it stands in a pattern with group g - 1 alone."""
+    groups = [[f"some{i}@mail.org" for i in range(3)]] + [[f"zz{g}1234{i}" for i in range(3)] for g in range(1, 7)]
+    rows = [(f"mark p{'abcdefgh'[g]} {x} end here", x) for g in range(1, 7) for x in groups[g - 1] + groups[g]]
+    got = pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    for r in got:
+        text, x = rows[r["doc_id"]]
+        assert r["spans"] == f"email:{text.index(x)}:{text.index(x) + len(x)}"
+
+
 def test_token_files_round_trip(spark, docs):
     coder = encoder()
     rows = [(i, r["text"]) for i, r in enumerate(docs.select("text").collect())] + [(900, None), (901, ""), (902, "a  b\n c \t"), (903, "<|endoftext|>")]
