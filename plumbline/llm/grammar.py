@@ -2,7 +2,7 @@
 
 Texts are encoded, a shard is cut after about `shard_ids` ids of consecutive documents, and
 Re-Pair replaces frequent id pairs by nonterminals in rounds, many different pairs at a
-time.  A shard's row has the rules, the expansion length of every rule, the final symbols, the
+time, until no pair occurs `least_count` times.  A shard's row has the rules, the expansion length of every rule, the final symbols, the
 documents' id counts, and the number of ids before it: any range of ids is decoded from the
 symbols and lengths alone, without the rest.
 
@@ -22,21 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.text import batches_of, shared_path
 from plumbline.llm.tokens import encoder, ragged
 
-SHARD_IDS, ROUNDS, RULES, LEAST_COUNT = 1 << 20, 3, 4096, 8
+SHARD_IDS, RULES, LEAST_COUNT = 1 << 20, 4096, 8
 
 
-def compress(ids: np.ndarray, first_free: int, rounds: int = ROUNDS, rules: int = RULES, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first_free: int, rules: int = RULES, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, pairs): nonterminal first_free + i stands for pairs[i], a pair of earlier symbols."""
     seq, pairs = ids.astype(np.int64), np.zeros((0, 2), dtype=np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         codes = seq[:-1] << 32 | seq[1:]
         ordered = np.sort(codes)
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -165,10 +163,9 @@ def decode(spark, path: str) -> DataFrame:
     by_part = shards.select("part", count.alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     before = dict(zip((r["part"] for r in by_part), np.cumsum([0, *(r["n"] for r in by_part)]).tolist(), strict=False))
     kind = shards.schema["docs"].dataType.elementType
-    inside = shards.select("part", "shard", count.alias("n"))
-    earlier = inside.select("part", F.col("shard").alias("other"), F.col("n").alias("m"))
-    within = inside.join(earlier, "part").where("other < shard").groupBy("part", "shard").agg(F.sum("m").alias("skip"))
-    rows = shards.join(within, ["part", "shard"], "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
+    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    within = shards.select("part", "shard", count.alias("n")).select("part", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
+    rows = shards.join(within, ["part", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -205,6 +205,14 @@ def test_grammar_random_access():
             assert np.array_equal(grammar.unpack(row, a, 11), ids[a : a + 11])
 
 
+def test_grammar_rounds_run_until_no_pair_is_frequent():
+    ids = np.tile(np.random.default_rng(1).integers(0, 5000, 500).astype(np.int32), 200)
+    symbols, pairs = grammar.compress(ids, 50_257)
+    assert np.array_equal(grammar.expand(symbols, pairs, 50_257), ids)
+    assert np.unique(symbols[:-1] << 32 | symbols[1:], return_counts=True)[1].max() < grammar.LEAST_COUNT
+    assert len(symbols) < len(ids) // 100
+
+
 def test_urls_equal_direct_rules(spark):
     from plumbline.llm.queries import RULES
 
