@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.text import alnum_words, stored, utf8
+from plumbline.llm.text import alnum_words, kept, stored, utf8
 
 BLOCK_BYTES = 1_000_000
 SCAN = {"n_words": T.LongType(), "hits": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
@@ -145,14 +145,9 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_BUILT: dict = {}
-
-
 def _automaton(block, window: int) -> SuffixAutomaton:
     """Built once for each block in a Python worker; the last one is kept."""
-    if _BUILT.get("key") != (block.id, window):
-        _BUILT.update(key=(block.id, window), made=SuffixAutomaton([(n, alnum_words(t)) for n, t in block.value], window))
-    return _BUILT["made"]
+    return kept(f"automaton {block.id} {window}", lambda: SuffixAutomaton([(n, alnum_words(t)) for n, t in block.value], window))
 
 
 class Block:

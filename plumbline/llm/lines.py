@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.text import WordHashes, ngram_hashes, utf8
+from plumbline.llm.text import WordHashes, kept, ngram_hashes, utf8
 
 SAMPLE_ROWS, PASSES, LEAST_SHARE = 4_000, 4, 0.5
 SIGNS = b"#*$%&|<>"
@@ -29,7 +29,6 @@ SIGNS = b"#*$%&|<>"
 _NOT_COUNTED = bytes([32, *range(9, 14), *range(0x80, 0xC0)])
 _DIGITS, _UPPER, _ENDS = b"0123456789", bytes(range(65, 91)), (b".", b"!", b"?", b":", b'"')
 N_FEATURES = 16
-_STATE: dict = {}
 
 
 def line_features(line: bytes, n: int, words: list[bytes], seen: bool) -> list[int]:
@@ -185,7 +184,7 @@ def judge(docs: DataFrame, field: Field, least_share: float = LEAST_SHARE) -> Da
     state, step = field.state, field.step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, hashes = Field(state, step), _STATE.setdefault("words", WordHashes())
+        field, hashes = Field(state, step), kept("lines", WordHashes)
         for batch in batches:
             counts, shares = [], []
             for text in utf8(batch.column("text")):

@@ -20,13 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import mix, utf8
+from plumbline.llm.text import kept, mix, utf8
 
 BITS, SAMPLE_ROWS, PASSES = 18, 8_000, 3
 #: Signs that are words of their own.
 SIGNS = b"#*$%&|<>!?=+~^@{}[]\\"
 _SPLIT = [(bytes([c]), b" " + bytes([c]) + b" ") for c in SIGNS]
-_STATE: dict = {}
 
 
 def _shape(w: bytes) -> int:
@@ -161,7 +160,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, w = _STATE.setdefault("words", Words()), sent.value
+        words, w = kept("quality", Words), sent.value
         for batch in batches:
             scores = [float(sigmoid(w[at] @ x)) for at, x in (features(t, words, bits) for t in utf8(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])

@@ -15,21 +15,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_ENCODERS: dict = {}
+from plumbline.llm.text import kept
 
 
 def encoder(name: str = "byte_bpe_50k.json", folder: str | None = None) -> "Encoder":
-    """One encoder for each file in a Python worker; its memory of pieces lasts over tasks."""
-    if (name, folder) not in _ENCODERS:
+    """The encoder of a file, whose memory of pieces lasts over a Python worker's tasks."""
+
+    def make() -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if folder is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path(name)
-        else:
-            path = os.path.join(folder, name)
-        _ENCODERS[name, folder] = Encoder(path)
-    return _ENCODERS[name, folder]
+        if folder is not None:
+            return Encoder(os.path.join(folder, name))
+        import public_tokenizers
+
+        return Encoder(public_tokenizers.path(name))
+
+    return kept(f"tokens {folder} {name}", make)
 
 
 class Encoder:

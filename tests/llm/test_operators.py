@@ -124,6 +124,43 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+
+    def copy(*places):
+        return " ".join(f"x{i}{rng.random()}" if i in places else w for i, w in enumerate(base))
+
+    unique = " ".join(f"u{i}" for i in range(50))
+    # 3 and 4 are near only through the row without an id; 5 has a copy and a text of its own.
+    bridge = copy(20, 60)
+    words = bridge.split()
+    far = [" ".join(f"{side}{i}" if i in places else w for i, w in enumerate(words)) for side, places in (("l", (100, 120, 140)), ("r", (30, 160, 180)))]
+    rows = [(3, far[0]), (None, bridge), (4, far[1]), (5, far[0]), (5, unique), (None, "all alone here in this text"), (None, "all alone here in this text"), (None, None), (7, None), (7, None), (8, "  ")]
+    frame = spark.createDataFrame([(i, t, "k", "a") for i, t in rows], "doc_id long, text string, key string, row string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame).collect()]
+    none = lambda x: tuple(map(str, x))
+    want = [(3, 3, True), (None, 3, False), (4, 3, False), (5, 3, False), (5, 5, True), (None, None, True), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (8, 8, True)]
+    assert sorted(map(none, got)) == sorted(map(none, want))
+    left = neardup.deduplicate(frame)
+    assert left.columns == frame.columns
+    assert sorted(none(r[:2]) for r in left.collect()) == sorted(none(x) for x in [(3, far[0]), (5, unique), (None, "all alone here in this text"), (None, None), (7, None), (8, "  ")])
+
+
+def test_components_equal_union_find(spark):
+    from plumbline.llm.components import components
+
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 2000 + i) for i in range(50)] + [(500 - i, 499 - i) for i in range(40)] + [(rng.randint(3000, 3100), rng.randint(3000, 3100)) for _ in range(60)] + [(9, 9)]
+    top = {x: x for e in edges for x in e}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: t for x, t in top.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_quality_held_out(spark):
     from plumbline.llm.queries import op3_quality
 
