@@ -12,6 +12,10 @@ before its shuffle.
 
 Defined results: a null text is empty.  Repeated rows are judged by their texts alike; the
 spans of new identifiers join back by id and text.  A new span never overlaps a base span.
+Identifiers have LEAST_LENGTH characters at least and no NUL; neighbours are whole words that end
+within CONTEXT characters of the span.  An instance that is known as several kinds counts as the
+first of them as listed; a new one takes the kind with the largest sum of weights, the first
+as listed among equals.
 """
 
 from __future__ import annotations
@@ -38,23 +42,84 @@ LIKELY = {"email": "@", "ip": PATTERNS["ip"], "card": r"[0-9](?:[\x20-]?[0-9]){1
 BLANK = r"\x20\x09-\x0D"
 #: Identifier-like tokens: a digit or an "@", at a token's start.
 TOKEN = rf"(?<![^{BLANK}])[^{BLANK}]*[0-9@][^{BLANK}]*"
+#: Characters of an identifier at least; shorter ones are mostly plain numbers.
+LEAST_LENGTH = 6
+#: Characters before and after a span in which its neighbours are sought.
+CONTEXT, MASK = 200, "\x00"
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SHARE = 3, 0.8, 0.5
 SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: inside a function of array items it would be evaluated for each item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(items: Column, state: Column, step, kind: str) -> Column:
+    """An array of what step(state, item) -> (state, made) makes of each item in order; kind is the SQL type of made.
+
+    Items go in groups of about the root of their number: an array in a fold is copied whenever
+    it grows, which for n items in one fold would take the square of n.
+    """
+
+    def grouped(all_: Column, group: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(all_) / group).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), count), lambda k: F.slice(all_, (k - 1) * group + 1, group))
+
+    def add(s: Column, x: Column) -> Column:
+        after, made = step(s["state"], x)
+        return F.struct(after.alias("state"), F.concat(s["out"], F.array(made).cast(f"array<{kind}>")).alias("out"))
+
+    def add_group(whole: Column, some: Column) -> Column:
+        start = F.struct(whole["state"].alias("state"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+        return F.aggregate(some, start, add, lambda s: F.struct(s["state"].alias("state"), F.concat(whole["out"], F.array(s["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+    size = lambda all_: F.greatest(F.ceil(F.sqrt(F.size(all_))).cast("int"), F.lit(1))
+    groups = _let(items, lambda all_: _let(size(all_), lambda group: grouped(all_, group)))
+    return F.aggregate(groups, start, add_group, lambda s: F.flatten(s["out"]))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """start, end (code points) and text of all matches, from the lengths of what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    steps = F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("skip"), F.length(b).alias("size"), b.alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("out"))
 
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["skip"]
-        one = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), x["text"].alias("text"))
-        return F.struct((begin + x["size"]).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def pairs(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("skip"), F.length(b).alias("size"), b.alias("text")))
+
+    steps = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pairs)
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        end = at + x["skip"] + x["size"]
+        return end, F.struct((at + x["skip"]).alias("start"), end.alias("end"), x["text"].alias("text"))
+
+    return _scan(steps, F.lit(0), step, "struct<start:int,end:int,text:string>")
+
+
+PIECE = 1000
 
-    return F.aggregate(steps, start, add, lambda s: s["out"])
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters: a substring of the whole would be sought from its start each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters start ... end - 1 of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.greatest(F.ceil(end / PIECE).cast("int") - first, F.lit(0)))
+    return F.substring(F.array_join(some, ""), start - first * PIECE + 1, F.greatest(end - start, F.lit(0)))
+
+
+def _replaced(pieces: Column, length: Column, spans: Column, mark) -> Column:
+    """The text with mark(at, span) for each span in order of starts; at is the end of those before it."""
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(at, s["end"]), F.concat(_part(pieces, at, F.greatest(at, s["start"])), mark(at, s))
+
+    made = _scan(spans, F.lit(0), step, "string")
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.concat(F.array_join(made, ""), _let(F.coalesce(last, F.lit(0)), lambda at: _part(pieces, at, length)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -101,20 +166,30 @@ def _key() -> Column:
 
 def instances(docs: DataFrame) -> DataFrame:
     """Base spans and other identifier-like tokens with their neighbours: doc_id, key, start, end, kind (null: unknown), instance, patterns."""
-    rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).withColumn("base", base_spans(F.col("text")))
-    token = F.filter(_matches(F.col("text"), TOKEN), lambda t: (F.length(t["text"]) >= 6) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).select("doc_id", _key().alias("key"), "text", base_spans(F.col("text")).alias("base"), _pieces(F.col("text")).alias("pieces"))
+    # Base spans are masked, so that a token which overlaps one is told by its mask.
+    masked = F.when(F.size("base") > 0, _replaced(F.col("pieces"), F.length("text"), F.col("base"), lambda at, s: F.repeat(F.lit(MASK), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))))).otherwise(F.col("text"))
+    token = F.filter(_let(masked, lambda m: _matches(m, TOKEN)), lambda t: (F.length(t["text"]) >= LEAST_LENGTH) & ~F.contains(t["text"], F.lit(MASK)))
     other = F.transform(token, lambda t: F.struct(t["start"].alias("start"), F.lit(None).cast("int").alias("kind"), t["end"].alias("end"), t["text"].alias("text")))
-    spans = rows.select("doc_id", _key().alias("key"), "text", F.explode(F.concat("base", other.cast(SPAN))).alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.col("s.start") - 59, F.lit(1)), F.least(F.col("s.start"), F.lit(60)))
-    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(40))
-    word = F.lower(F.regexp_extract("before", rf"([^{BLANK}]+)[{BLANK}]*\z", 1))
-    two = F.lower(F.regexp_extract("before", rf"([^{BLANK}]+[{BLANK}]+[^{BLANK}]+)[{BLANK}]*\z", 1))
-    following = F.lower(F.regexp_extract("after", rf"\A[^{BLANK}]*[{BLANK}]+([^{BLANK}]+)[{BLANK}]", 1))
-    rows = spans.select("doc_id", "key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), F.lower("s.text").alias("instance"), before.alias("before"), after.alias("after"))
+
+    def around(s: Column, pieces: Column, size: Column) -> Column:
+        before = _part(pieces, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
+        after = _part(pieces, s["end"], F.least(s["end"] + CONTEXT, size))
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["text"].alias("text"), before.alias("before"), after.alias("after"), (s["start"] <= CONTEXT).alias("first"), (s["end"] + CONTEXT >= size).alias("last"))
+
+    found = lambda pieces, size: F.transform(F.concat("base", other.cast(SPAN)), lambda s: around(s, pieces, size))
+    each = _let(F.col("pieces"), lambda pieces: _let(F.length("text"), lambda size: found(pieces, size)))
+    spans = rows.select("doc_id", "key", F.explode(each).alias("s")).select("doc_id", "key", "s.*")
+    # A word that the edge of the context may have cut is no word: one must have a blank or the text's end on either side.
+    before = F.when(F.col("first"), F.concat(F.lit(" "), "before")).otherwise(F.col("before"))
+    after = F.when(F.col("last"), F.concat("after", F.lit(" "))).otherwise(F.col("after"))
+    word = F.lower(F.regexp_extract(before, rf"[{BLANK}]([^{BLANK}]+)[{BLANK}]*\z", 1))
+    two = F.lower(F.regexp_extract(before, rf"[{BLANK}]([^{BLANK}]+[{BLANK}]+[^{BLANK}]+)[{BLANK}]*\z", 1))
+    following = F.lower(F.regexp_extract(after, rf"\A[^{BLANK}]*[{BLANK}]+([^{BLANK}]+)[{BLANK}]", 1))
     # A pattern is two words before, or one before and one after; words with digits are no words.
     plain = F.array(F.when(two != "", F.concat(F.lit("2:"), two)), F.when((word != "") & (following != ""), F.concat_ws("\n", F.lit("1:"), word, following)))
     lexical = F.filter(F.array_compact(plain), lambda p: ~F.substring(p, F.lit(3), F.length(p)).rlike("[0-9@]"))
-    return rows.select("doc_id", "key", "start", "end", "kind", "instance", lexical.alias("patterns"))
+    return spans.select("doc_id", "key", "start", "end", "kind", F.lower("text").alias("instance"), lexical.alias("patterns"))
 
 
 def discover(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -146,45 +221,36 @@ def discover(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence:
     return unknown.join(known, "instance").select("doc_id", "key", "start", "end", "kind")
 
 
+def _with_spans(docs: DataFrame, settings: dict) -> DataFrame:
+    """row (the columns of docs), base and every: its base spans, and these with the new ones."""
+    one = F.struct("start", "kind", "end", F.lit("").alias("text"))
+    new = discover(docs, **settings).distinct().groupBy("doc_id", "key").agg(F.collect_list(one).cast(SPAN).alias("new"))
+    new = new.select(F.col("doc_id").alias("new_id"), F.col("key").alias("new_key"), "new")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), _key().alias("key"))
+    both = own.join(new, (F.col("key") == F.col("new_key")) & F.col("id").eqNullSafe(F.col("new_id")), "left")
+    both = both.select("row", base_spans(F.col("row.text")).alias("base"), "new")
+    return both.select("row", "base", F.array_sort(F.concat("base", F.coalesce("new", F.expr(f"cast(array() as {SPAN})")))).alias("every"))
+
+
 def find(docs: DataFrame, **settings) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of base spans), spans (all spans)."""
-    base = docs.select("doc_id", _key().alias("key"), base_spans(F.col("text")).alias("base"))
-    new = _new_spans(docs, settings)
-    out = base.join(new, (base.key == new.new_key) & base.doc_id.eqNullSafe(new.new_id), "left")
-    every = F.array_sort(F.concat("base", F.coalesce("new", F.expr(f"cast(array() as {SPAN})"))))
+    out = _with_spans(docs.select("doc_id", "text"), settings)
     kinds = F.transform("base", lambda s: s["kind"])
     count = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *count, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(every).alias("spans"))
-
-
-def _new_spans(docs: DataFrame, settings: dict) -> DataFrame:
-    one = F.struct("start", "kind", "end", F.lit("").alias("text"))
-    found = discover(docs, **settings).distinct()
-    return found.groupBy(F.col("doc_id").alias("new_id"), F.col("key").alias("new_key")).agg(F.collect_list(one).cast(SPAN).alias("new"))
+    return out.select("row.doc_id", *count, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("every")).alias("spans"))
 
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """docs with every span replaced by [KIND]; spans that overlap become one mark, of the first. n_chars follows."""
-    new = _new_spans(docs, settings)
-    own = docs.withColumn("__key", _key())
-    rows = own.join(new, (own["__key"] == new.new_key) & own["doc_id"].eqNullSafe(new.new_id), "left")
-    spans = F.array_sort(F.concat(base_spans(F.col("text")), F.coalesce("new", F.expr(f"cast(array() as {SPAN})"))))
+    rows = _with_spans(docs, settings)
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        out = F.when(fresh, F.concat(state["out"], gap, F.element_at(marks, s["kind"] + 1))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    rows = rows.withColumn("__spans", spans)
-    changed = F.size("__spans") > 0
-    text = F.when(changed, F.aggregate("__spans", start, add, rest)).otherwise(F.col("text"))
-    rows = rows.withColumn("__text", text)
-    made = {"text": F.col("__text")} | ({"n_chars": F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return rows.select([made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    text, changed = F.col("row.text"), F.size("every") > 0
+    new = _let(_pieces(text), lambda pieces: _replaced(pieces, F.length(text), F.col("every"), lambda at, s: F.when(s["start"] >= at, F.element_at(marks, s["kind"] + 1)).otherwise("")))
+    rows = rows.select("row", changed.alias("changed"), F.when(changed, new).otherwise(text).alias("new"))
+    made = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("changed"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select([made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def brute_force(text: str | None) -> list[tuple[int, int, int]]:
