@@ -2,8 +2,10 @@
 
 Each line with a word gets binary features (signs, capitals, repetition, length, digits,
 ends); the field has weights for (label, feature) and (label, next label), fitted by
-stochastic gradient on a bounded sample of documents whose quality is known, with the
-quality as the label of their lines.  Viterbi decoding marks each line as content or
+stochastic gradient on a bounded sample of documents whose quality is known.  Lines of bad
+documents are boilerplate; lines of good ones are content, but for those that repeat an
+earlier line.  Every second good document is learnt with a run of lines of a bad one
+put in at a random place, so that the field learns where labels change.  Viterbi decoding marks each line as content or
 boilerplate; a text is kept if the content lines hold at least `least_share` of its words.
 
 Base figures are counted beside it on whole texts.  Defined results: null and empty texts
@@ -21,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.text import WordHashes, kept, ngram_hashes, utf8
+from plumbline.llm.text import WordHashes, kept, labelled_sample, ngram_hashes, utf8
 
-SAMPLE_ROWS, PASSES, LEAST_SHARE = 4_000, 4, 0.5
+SAMPLE_ROWS, SAMPLE_BYTES, PASSES, LEAST_SHARE = 4_000, 20_000_000, 4, 0.5
 SIGNS = b"#*$%&|<>"
 #: Blanks and the tails of UTF-8 characters: without them, a byte is a character of a word.
 _NOT_COUNTED = bytes([32, *range(9, 14), *range(0x80, 0xC0)])
 _DIGITS, _UPPER, _ENDS = b"0123456789", bytes(range(65, 91)), (b".", b"!", b"?", b":", b'"')
-N_FEATURES = 16
+N_FEATURES, SEEN = 16, 12
 
 
 def line_features(line: bytes, n: int, words: list[bytes], seen: bool) -> list[int]:
@@ -61,7 +63,7 @@ def line_features(line: bytes, n: int, words: list[bytes], seen: bool) -> list[i
     if sum(a == b for a, b in zip(words, words[1:], strict=False)) * 4 > n:
         out.append(11)
     if seen:
-        out.append(12)
+        out.append(SEEN)
     if line.endswith(_ENDS):
         out.append(13)
     if b"|" in line:
@@ -115,8 +117,8 @@ class Field:
             out.append(b[out[-1]])
         return out[::-1]
 
-    def learn(self, lines: list[list[int]], label: int, rate: float) -> None:
-        """A gradient step on the log likelihood of one document: observed less expected counts."""
+    def learn(self, lines: list[list[int]], labels: list[int], rate: float) -> None:
+        """A gradient step on the log likelihood of one text's labels: observed less expected counts."""
         e = self.emissions(lines)
         n = len(e)
         fore, after = np.empty((n, 2)), np.zeros((n, 2))
@@ -127,33 +129,51 @@ class Field:
             after[i] = np.logaddexp.reduce(self.step + e[i + 1] + after[i + 1], axis=1)
         z = np.logaddexp.reduce(fore[-1])
         p = np.exp(fore + after - z)
-        expected = np.zeros((2, 2))
+        change = np.zeros((2, 2))
         for i in range(1, n):
-            expected += np.exp(fore[i - 1][:, None] + self.step + e[i] + after[i] - z)
+            change -= np.exp(fore[i - 1][:, None] + self.step + e[i] + after[i] - z)
+            change[labels[i - 1], labels[i]] += 1
         rate /= n
-        for i, f in enumerate(lines):
+        for i, (f, y) in enumerate(zip(lines, labels, strict=True)):
             self.state[:, f] -= rate * p[i][:, None]
-            self.state[label, f] += rate
-        self.step -= rate * expected
-        self.step[label, label] += rate * (n - 1)
+            self.state[y, f] += rate
+        self.step += rate * change
+
+
+def line_labels(lines: list[list[int]], y: int) -> list[int]:
+    """Of a document of quality y: all lines of a bad one are boilerplate, and repeated ones of a good one."""
+    return [int(y and SEEN not in f) for f in lines]
+
+
+def mixed(good: list[list[int]], bad: list[list[int]], rng: np.random.Generator) -> tuple[list[list[int]], list[int]]:
+    """A good text with a run of lines of a bad one, and its labels."""
+    at, first = int(rng.integers(len(good) + 1)), int(rng.integers(len(bad)))
+    run = bad[first : first + 1 + int(rng.integers(max(1, len(good))))]
+    own = line_labels(good, 1)
+    return [*good[:at], *run, *good[at:]], [*own[:at], *[0] * len(run), *own[at:]]
+
 
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, passes: int = PASSES) -> Field:
+    """From docs (doc_id, text) and labels (doc_id, quality), about as many documents of either quality.
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, passes: int = PASSES) -> Field:
-    """From docs (doc_id, text) and labels (doc_id, quality), as many documents of either quality."""
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    share = F.when(F.col("y") == 1, min(1.0, sample_rows / 2 / n.get(1, 1))).otherwise(min(1.0, sample_rows / 2 / n.get(0, 1)))
-    part = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < share * (1 << 30))
-    texts = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id")
+    One task learns from about `sample_rows` documents with `sample_bytes` of text at most.
+    """
+    texts = labelled_sample(docs, labels, sample_rows, sample_bytes, 9, balanced=True)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(describe(t)[0], y) for b in batches for t, y in zip(utf8(b.column("text")), b.column("y").to_pylist(), strict=True)]
         field, rng, k = Field(), np.random.Generator(np.random.PCG64(2)), 0
         rows = [x for x in rows if x[0]]
+        bad = [lines for lines, y in rows if not y]
         for _ in range(passes):
             for i in rng.permutation(len(rows)):
                 k += 1
-                field.learn(*rows[i], 0.5 / (1 + k / 4000))
+                lines, y = rows[i]
+                if y and bad and rng.random() < 0.5:
+                    lines, labels = mixed(lines, bad[int(rng.integers(len(bad)))], rng)
+                else:
+                    labels = line_labels(lines, y)
+                field.learn(lines, labels, 0.5 / (1 + k / 4000))
         yield pa.RecordBatch.from_arrays([pa.array([[*field.state.ravel(), *field.step.ravel()]], pa.list_(pa.float64()))], names=["w"])
 
     rows = texts.select("doc_id", "text", "y").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")

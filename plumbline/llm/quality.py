@@ -3,7 +3,7 @@
 Features of a text are its words, word pairs, and triples of word shapes, hashed to
 2^BITS places, with the square root of the relative frequency as value; a text is scored by
 the sparse dot product with the weights.  The model is fitted on a bounded sample of
-labelled rows (`sample_rows`, by hash of the id, about); every row is scored, in place, with
+labelled rows (by hash of the id; about `sample_rows` with `sample_bytes` of text at most, which one task learns from); every row is scored, in place, with
 the weights (4 bytes * 2^BITS) as a broadcast.
 
 Defined results: null and empty texts have the bias alone and get a score from it; rows
@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import kept, mix, utf8
+from plumbline.llm.text import kept, labelled_sample, mix, utf8
 
-BITS, SAMPLE_ROWS, PASSES = 18, 8_000, 3
+BITS, SAMPLE_ROWS, SAMPLE_BYTES, PASSES = 18, 8_000, 40_000_000, 3
 #: Signs that are words of their own.
 SIGNS = b"#*$%&|<>!?=+~^@{}[]\\"
 _SPLIT = [(bytes([c]), b" " + bytes([c]) + b" ") for c in SIGNS]
@@ -115,13 +115,9 @@ def sigmoid(v: float | np.ndarray) -> float | np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, passes: int = PASSES, bits: int = BITS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, passes: int = PASSES, bits: int = BITS) -> np.ndarray:
     """Weights, from docs (doc_id, text) and labels (doc_id, quality); the same sample gives the same weights."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    n = known.count()
-    part = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(n, 1))))
-    # The sample has about sample_rows narrow rows: its size is bounded whatever the labels' is.
-    texts = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("doc_id", "text", "y")
+    texts = labelled_sample(docs, labels, sample_rows, sample_bytes, 5)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -135,13 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pass
             )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(a.as_py(), np.array(x.as_py(), dtype=np.float64), y.as_py()) for b in batches for a, x, y in zip(b.column("at"), b.column("x"), b.column("y"), strict=True)]
+        rows = [(a.values.to_numpy(), x.values.to_numpy(), y.as_py()) for b in batches for a, x, y in zip(b.column("at"), b.column("x"), b.column("y"), strict=True)]
         model = FTRL(1 << bits)
         rng = np.random.Generator(np.random.PCG64(1))
         for _ in range(passes):
             for i in rng.permutation(len(rows)):
                 at, x, y = rows[i]
-                model.learn(np.array(at, dtype=np.int64), x, y)
+                model.learn(at.astype(np.int64), x.astype(np.float64), y)
         w = model.weights()
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at].astype(np.float32))], names=["at", "w"])

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z, and every ASCII byte that is no letter and no digit to a blank.
 ALNUM = bytes(
@@ -59,6 +60,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, seed: int, balanced: bool = False) -> DataFrame:
+    """(doc_id, text, y) of about `rows` documents with a quality of 0 or 1 and about `most_bytes` of text at most.
+
+    Rows are chosen by hash of the id, at one rate for all or, balanced, at a rate for each quality, that follows
+    from counts and bytes of all labelled rows.  A document with several labels has the largest.
+    """
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+    sized = docs.select("doc_id", F.octet_length("text").cast("long").alias("size")).join(known, "doc_id")
+    kinds = sized.groupBy(F.col("y") if balanced else F.lit(0).alias("y")).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).collect()
+    share, parts = F.lit(0.0), 2 if balanced else 1
+    for r in kinds:
+        rate = min(1.0, rows / parts / r["n"], most_bytes / parts / max(r["bytes"], 1))
+        share = F.when(F.col("y") == r["y"], rate).otherwise(share) if balanced else F.lit(rate)
+    part = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+    # About `rows` narrow rows: the broadcast's size is bounded whatever the labels' is.
+    return docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("doc_id", "text", "y")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -79,6 +98,7 @@ def kept(name: str, make: Callable):
     """What a Python worker remembers between tasks: of one operator at a time, so that the next one starts with free memory."""
     if name not in _KEPT:
         _KEPT.clear()
+        pa.default_memory_pool().release_unused()
         _KEPT[name] = make()
     return _KEPT[name]
 
