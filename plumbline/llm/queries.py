@@ -96,5 +96,34 @@ from d left join f on d.payload_digest = f.payload_digest and payload_bytes >= 1
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAKS_SQL = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+i as (select coalesce(item_id::varchar, 'null') as item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+k as (select item_id, w, least(10, len(w)) as k from i where len(w) > 0),
+item_windows as (select distinct item_id, k, list_slice(w, p, p + k - 1) as run from (select item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as p from k)),
+sizes as (select distinct k from item_windows),
+doc_windows as (select r, k, p, list_slice(w, p, p + k - 1) as run from (select r, w, k, unnest(generate_series(1, len(w) - k + 1)) as p from d, sizes where len(w) >= k)),
+hits as (select r, item_id, p, k from doc_windows join item_windows using (k, run)),
+words as (select r, count(distinct p + j) as n from (select r, p, unnest(generate_series(0, k - 1)) as j from (select distinct r, p, k from hits)) group by r),
+items as (select r, count(*) as n, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(words.n, 0)::bigint as n_hit, coalesce(items.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)
+"""
+
+# Compares whole sets; the query may miss a link with the probability that its docstring states.
+_NEAR_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+runs as (select distinct doc_id, list_slice(w, p, p + 4) as run from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from runs group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from runs a join runs b on a.run = b.run and a.doc_id <> b.doc_id group by 1, 2),
+edges as (select a, b from common join n as x on a = x.doc_id join n as y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from d union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+least_id as (select a, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from d left join n using (doc_id) join least_id on doc_id = a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": _URL_SQL, "op9_warc": _WARC_SQL}
+    return {"op1_decontamination": _LEAKS_SQL, "op2_near_duplicates": _NEAR_SQL, "op6_url_filters": _URL_SQL, "op9_warc": _WARC_SQL}
