@@ -1,8 +1,7 @@
 """Random draws as pure functions of a row's coordinates.
 
 A draw hashes seed, coordinates (generator, call, case), the path of the value and the attempt,
-so it does not depend on partitions, can be pruned, repeated and checked by SQL.  The
-exact engine, for small runs that must follow the standard 64-bit Mersenne twister, is below.
+so it does not depend on partitions, can be pruned, repeated and checked by SQL.
 """
 
 from __future__ import annotations
@@ -17,9 +16,26 @@ def draw(*keys: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def integer(low: Column, high: Column, *keys) -> Column:
-    """Uniform in [low, high]."""
-    return low + draw(*keys) % (high - low + 1)
+def wide(*keys) -> Column:
+    """Uniform in [0, 2^120), as a decimal."""
+    high, low = (draw(*keys, part).cast("decimal(19,0)") for part in ("high", "low"))
+    return (high * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("decimal(38,0)")
+
+
+def integer(low: Column, high: Column, *keys, narrow: bool = False) -> Column:
+    """Uniform in [low, high], up to the whole range of 64 bits; NULL if low is above high.
+
+    narrow says that there are known to be between 1 and 2^60 values.
+    """
+    if narrow:
+        return low + draw(*keys) % (high - low + 1)
+    low, high = low.cast("long"), high.cast("long")
+    span = F.try_add(F.try_subtract(high, low), F.lit(1).cast("long"))
+    few = low + draw(*keys) % F.greatest(span, F.lit(1).cast("long"))
+    # A span that does not fit 64 bits is NULL.
+    exact = (high.cast("decimal(38,0)") - low.cast("decimal(38,0)") + F.lit(1).cast("decimal(38,0)")).cast("decimal(38,0)")
+    many = (low.cast("decimal(38,0)") + (wide(*keys) % exact).cast("decimal(38,0)")).cast("long")
+    return F.when(low > high, F.lit(None).cast("long")).when(span <= 1 << 60, few).otherwise(many)
 
 
 def real(low: Column, high: Column, *keys) -> Column:
@@ -29,7 +45,9 @@ def real(low: Column, high: Column, *keys) -> Column:
 
 
 def element(options: Column, *keys) -> Column:
-    return F.element_at(options, (draw(*keys) % F.size(options) + 1).cast("int"))
+    """One of the options; NULL if there is none."""
+    n = F.size(options)
+    return F.when(n > 0, F.try_element_at(options, (draw(*keys) % F.greatest(n, F.lit(1)) + 1).cast("int")))
 
 
 def numbered(n: Column) -> Column:
@@ -67,68 +85,3 @@ def composition(n: Column, k: Column, low: Column, *keys) -> Column:
     ends = F.concat(bars, F.array((free + k).cast("long")))
     starts = F.concat(F.array(F.lit(0).cast("long")), bars)
     return F.zip_with(ends, starts, lambda b, a: b - a - 1 + low)
-
-
-class Twister:
-    """The 64-bit Mersenne twister of the C++ standard, seeded by the standard's seed sequence."""
-
-    def __init__(self, seed: list[int], discard: int = 1024):
-        words = [x & 0xFFFFFFFF for x in seed]
-        a = self._spread(words, 624)
-        self.state = [a[2 * i] | a[2 * i + 1] << 32 for i in range(312)]
-        if self.state[0] >> 31 == 0 and not any(self.state[1:]):
-            self.state[0] = 1 << 63
-        self.at = 312
-        for _ in range(discard):
-            self.next()
-
-    @staticmethod
-    def _spread(seed: list[int], n: int) -> list[int]:
-        """seed_seq::generate as the standard states it."""
-        mask, s = 0xFFFFFFFF, len(seed)
-        b = [0x8B8B8B8B] * n
-        t = 11 if n >= 623 else 7 if n >= 68 else 5 if n >= 39 else 3 if n >= 7 else (n - 1) // 2
-        p, m = (n - t) // 2, max(s + 1, n)
-        q = p + t
-        for k in range(m):
-            x = b[k % n] ^ b[(k + p) % n] ^ b[(k - 1) % n]
-            r1 = 1664525 * (x ^ x >> 27) & mask
-            r2 = r1 + (s if k == 0 else k % n + seed[k - 1] if k <= s else k % n) & mask
-            b[(k + p) % n] = b[(k + p) % n] + r1 & mask
-            b[(k + q) % n] = b[(k + q) % n] + r2 & mask
-            b[k % n] = r2
-        for k in range(m, m + n):
-            x = b[k % n] + b[(k + p) % n] + b[(k - 1) % n] & mask
-            r3 = 1566083941 * (x ^ x >> 27) & mask
-            r4 = r3 - k % n & mask
-            b[(k + p) % n] ^= r3
-            b[(k + q) % n] ^= r4
-            b[k % n] = r4
-        return b
-
-    def next(self) -> int:
-        if self.at == 312:
-            s = self.state
-            for i in range(312):
-                x = s[i] & 0xFFFFFFFF80000000 | s[(i + 1) % 312] & 0x7FFFFFFF
-                s[i] = s[(i + 156) % 312] ^ x >> 1 ^ (0xB5026F5AA96619E9 if x & 1 else 0)
-            self.at = 0
-        x = self.state[self.at]
-        self.at += 1
-        x ^= x >> 29 & 0x5555555555555555
-        x ^= x << 17 & 0x71D67FFFEDA60000
-        x ^= x << 37 & 0xFFF7EEE000000000
-        return x ^ x >> 43
-
-    def below(self, n: int) -> int:
-        """Uniform in [0, n): a mask for powers of two, else division and rejection."""
-        if n & (n - 1) == 0:
-            return self.next() & (n - 1)
-        scale = ((1 << 64) - 1) // n
-        while True:
-            x = self.next() // scale
-            if x < n:
-                return x
-
-    def between(self, low: int, high: int) -> int:
-        return low + self.below(high - low + 1)

@@ -7,7 +7,8 @@ comparisons reach the Parquet scan when a caller filters by `holds`.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,8 +21,23 @@ from plumbline.functions.real import Real
 
 VIOLATION = "struct<path:string,constraint:string,value:string,expected:string,details:string>"
 Bound = int | str | Real | Expression
+#: Columns that stand for variables while an expression is built; others are columns of their names.
 ROW: dict[str, Column] = {}
 
+
+@contextmanager
+def scope(known: dict[str, Column]) -> Iterator[None]:
+    """Expressions that are built inside read the variables in known from its columns."""
+    before = dict(ROW)
+    ROW.clear()
+    ROW.update(known)
+    try:
+        yield
+    finally:
+        ROW.clear()
+        ROW.update(before)
+
+
 #: Fixed alphabets by name.
 ALPHABETS = {
     "Letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
@@ -220,14 +236,17 @@ class SizeCategory(Constraint):
 
 
 class Custom(Constraint):
-    """check(value, *values of names) -> boolean Column; a pandas UDF fits too."""
+    """check(value, *values of names) -> boolean Column.
+
+    A pandas UDF fits for validation; generation takes built-in functions only, as it draws again inside a row.
+    """
 
     def __init__(self, name: str, check: Callable[..., Column], names: Sequence[str] = ()):
         self.name, self.check, self.names = name, check, tuple(sorted(names))
         self.given = tuple(names)
 
     def holds(self, value: Column) -> Column:
-        return self.check(value, *(F.col(f"`{n}`") for n in self.given))
+        return self.check(value, *(ROW.get(n, F.col(f"`{n}`")) for n in self.given))
 
     def violation(self, value: Column) -> Column:
         return broken(~self.holds(value), self.name, value, self.name)
@@ -362,10 +381,19 @@ class DistinctElements(Constraint):
 class Sorted(Constraint):
     """No neighbour is before(later, earlier) of key; ascending by default."""
 
-    def __init__(self, before: Callable[[Column, Column], Column] = lambda a, b: a < b, key: Callable[[Column], Column] = lambda x: x, descending: bool = False):
+    LESS = staticmethod(lambda a, b: a < b)
+    SAME = staticmethod(lambda x: x)
+
+    def __init__(self, before: Callable[[Column, Column], Column] | None = None, key: Callable[[Column], Column] | None = None, descending: bool = False):
+        before, key = before or Sorted.LESS, key or Sorted.SAME
+        self.plain = before is Sorted.LESS and key is Sorted.SAME
         self.before = (lambda a, b: b < a) if descending else before
         self.key, self.descending = key, descending
 
+    def compared(self, a: Column, b: Column) -> Column:
+        """-1, 0 or 1 for array_sort."""
+        return F.when(self.before(self.key(a), self.key(b)), -1).when(self.before(self.key(b), self.key(a)), 1).otherwise(0)
+
     def violation(self, value: Column) -> Column:
         bad = F.transform(value, lambda x, i: (i > 0) & self.before(self.key(x), self.key(F.element_at(value, F.greatest(i, F.lit(1))))))
         at = F.array_position(bad, F.lit(True)) - 1
@@ -409,22 +437,21 @@ class SimpleGraph(Constraint):
 
 
 class Connected(Constraint):
-    """For graphs held in a row: the reach of node 0 grows along the edges until it stops.
+    """For graphs held in a row: labels of nodes are merged along the edges, n - 1 times at most.
 
     No nodes are not connected, one is.  Graphs held as edge tables: operators.graphs.
     """
 
     def violation(self, value: Column) -> Column:
-        edges, n = value["edges"], value["num_nodes"]
-        start = F.array(F.lit(0).cast("long"))
+        n = value["num_nodes"]
+        start = F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-        def grow(reach: Column, _: Column) -> Column:
-            # One sweep over the edges; n - 1 sweeps reach everything that can be reached.
-            out = F.aggregate(edges, reach, lambda r, e: F.when(F.array_contains(r, e["u"]) & ~F.array_contains(r, e["v"]), F.array_append(r, e["v"])).when(F.array_contains(r, e["v"]) & ~F.array_contains(r, e["u"]), F.array_append(r, e["u"])).otherwise(r))
-            return F.when(F.size(reach) == n, reach).otherwise(out)
+        def merge(labels: Column, e: Column) -> Column:
+            a, b = (F.try_element_at(labels, (e[x] + 1).cast("int")) for x in ("u", "v"))
+            return F.when(a != b, F.transform(labels, lambda x: F.when(x == b, a).otherwise(x))).otherwise(labels)
 
-        reach = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), start, grow)
-        return broken((n < 1) | (F.size(reach) < n), "Connected", F.lit(None), "connected")
+        labels = F.aggregate(value["edges"], start, merge)
+        return broken((n < 1) | (F.size(F.array_distinct(labels)) > 1), "Connected", F.lit(None), "connected")
 
 
 class EdgeLabels(Constraint):

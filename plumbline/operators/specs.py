@@ -8,12 +8,13 @@ constraints read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.errors import GenerationError, ImpossibleToSatisfy, InvalidConstraint, TypeMismatch
+from plumbline.errors import GenerationError, ImpossibleToSatisfy, InvalidConstraint, PlumblineError, TypeMismatch
 from plumbline.functions import draw
 from plumbline.functions.expr import HIGH, LOW, Expression
 from plumbline.functions.real import Real as Exact
@@ -74,8 +75,34 @@ class Spec:
     def unique(self, known: dict | None = None):
         """The only value that is left, or None if that is not known."""
         options = self._options()
+        for c in self.find(C.OneOf):
+            if c.names:
+                try:
+                    values = [o.value(known) if isinstance(o, Expression) else _value(o) for o in c.options]
+                except PlumblineError:  # a variable is not known
+                    continue
+                options = values if options is None else [o for o in options if o in values]
         return options[0] if options is not None and len(options) == 1 else None
 
+    def aims(self) -> bool:
+        """Whether every value that generate makes satisfies the spec, unless none does."""
+        return not self.find(C.Custom)
+
+    def sound(self, *keys) -> Column:
+        """A value that satisfies the spec: drawn again until one fits, if generate cannot aim at it; NULL if none does."""
+        return self.generate(*keys) if self.aims() else self.retried(lambda attempt: self.generate(*keys, attempt))
+
+    def retried(self, draw: Callable[[Column], Column], most: int = 1000) -> Column:
+        """The first of most draws that satisfies the spec, or NULL; later attempts are not evaluated."""
+        for c in self.find(C.Custom):
+            if hasattr(c.check, "evalType"):
+                raise GenerationError(f"{c.name} is a Python function, which can be validated but not aimed at", retryable=False)
+
+        def step(found: Column, attempt: Column) -> Column:
+            return F.coalesce(found, F.element_at(F.transform(F.array(draw(attempt)), lambda v: F.when(self.holds(v), v)), 1))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(None).cast(self.dtype), step)
+
     def edge_cases(self) -> list["Spec"]:
         return []
 
@@ -85,13 +112,19 @@ class Spec:
     def __str__(self) -> str:
         return ", ".join(map(str, self.constraints)) or "no constraints"
 
-    def _choice(self, keys: tuple) -> Column | None:
+    def _choice(self, keys: tuple, also=lambda o: F.lit(True)) -> Column:
+        """One of the options that satisfy all other constraints, and also(option); NULL if none does."""
         options = self._options()
         if options is not None:
-            return draw.element(F.array(*map(C.literal, options)), *keys)
-        for c in self.find(C.OneOf):
-            return draw.element(F.array(*(o.column(C.ROW) if isinstance(o, Expression) else C.literal(_value(o)) for o in c.options)), *keys)
-        return None
+            made = F.array(*map(C.literal, options))
+        else:
+            made = F.array(*(o.column(C.ROW) if isinstance(o, Expression) else C.literal(_value(o)) for o in self.find(C.OneOf)[0].options))
+        fixed = [c for c in self.constraints if isinstance(c, C.OneOf) and not c.names]
+        lists = [c for c in self.constraints if isinstance(c, C.OneOf) and c.names]
+        rest = [c for c in self.constraints if c not in fixed] if options is not None else [c for c in self.constraints if c is not lists[0]]
+        made = made.cast(f"array<{self.dtype}>")
+        fits = F.filter(made, lambda o: reduce(lambda a, b: a & b, (c.holds(o) for c in rest), F.lit(True)) & also(o))
+        return draw.element(fits, *keys)
 
 
 def _value(o):
@@ -139,22 +172,36 @@ class Integer(_Number):
         return out.name
 
     def generate(self, *keys) -> Column:
+        return self.within(None, None, *keys)
+
+    def aims(self) -> bool:
+        return super().aims() and (len(self.find(C.Mod)) < 2 or bool(self.find(C.OneOf)))
+
+    def within(self, least: Column | None, most: Column | None, *keys) -> Column:
+        """A value of the spec that is also between least and most; NULL if there is none."""
         if self.find(C.OneOf):
-            return self._choice(keys)
+            inside = lambda o: reduce(lambda a, b: a & b, [*([o >= least] if least is not None else []), *([o <= most] if most is not None else [])], F.lit(True))
+            return self._choice(keys, inside)
         low, high = self.limits()
-        if low is None or high is None:
-            if self.find(C.Mod) and low is None and high is None:
-                raise GenerationError(f"no bounds: {self}", retryable=False)
-            low = F.lit(LOW).cast("long") if low is None else low
-            high = F.lit(HIGH).cast("long") if high is None else high
-        low, high = size_range(low, high, self.size())
+        a, b, open_bounds = self.fixed
         mods = self.find(C.Mod)
+        if low is None and high is None and mods and least is None and most is None:
+            raise GenerationError(f"no bounds: {self}", retryable=False)
+        narrow = not open_bounds and least is None and most is None and a is not None and b is not None and b - a < 1 << 60
+        low = F.lit(LOW).cast("long") if low is None else low
+        high = F.lit(HIGH).cast("long") if high is None else high
+        low, high = low if least is None else F.greatest(low, least), high if most is None else F.least(high, most)
+        if self.size() != "any":
+            low, high = size_range(low, high, self.size())
         if mods:
             m = mods[-1].modulus.column(C.ROW)
-            first = low + F.pmod(mods[-1].remainder.column(C.ROW) - low, m)
-            n = F.call_function("div", high - first, m) + 1
-            return first + m * (draw.draw(*keys) % n)
-        return draw.integer(low, high, *keys)
+            first = F.try_add(low, F.pmod(F.pmod(mods[-1].remainder.column(C.ROW), m) - F.pmod(low, m), m))
+            if narrow:
+                return F.when(first <= high, first + m * draw.integer(F.lit(0).cast("long"), F.call_function("div", high - first, m), *keys))
+            large = lambda c: c.cast("decimal(20,0)")
+            last = F.call_function("div", large(high) - large(first), F.greatest(m, F.lit(1)))
+            return F.when(first <= high, (large(first) + large(m) * large(draw.integer(F.lit(0).cast("long"), last, *keys))).cast("long"))
+        return draw.integer(low, high, *keys, narrow=narrow)
 
     def unique(self, known: dict | None = None):
         found = super().unique(known)
@@ -166,7 +213,7 @@ class Integer(_Number):
             for m in self.find(C.Mod):
                 r, k = m.remainder.value(known), m.modulus.value(known)
                 low, high = low + (r - low) % k, high - (high - r) % k
-        except Exception:  # a variable is not known, or there is no bound
+        except (PlumblineError, ValueError):  # a variable is not known, or there is no bound
             return None
         return low if low == high else None
 
@@ -286,6 +333,9 @@ class String(Spec):
         letter = lambda i: F.substring(F.lit(chars), (draw.draw(*keys, i) % len(chars) + 1).cast("int"), F.lit(1))
         return F.array_join(F.transform(draw.numbered(n), letter), "")
 
+    def aims(self) -> bool:
+        return super().aims() and not (self.find(C.SimplePattern) and self.find((C.Length, C.DistinctCharacters)) or len(self.find(C.SimplePattern)) > 1 or any(c.unit == "bytes" for c in self.find(C.Length)))
+
     def edge_cases(self) -> list["String"]:
         length = self.length()
         return [self.also(C.Length(x)) for x in (length.also(C.AtLeast(0)).edge_values() if length else [])]
@@ -319,27 +369,35 @@ class Array(Spec):
         length, element = self.length(), self._element()
         if length is None:
             raise GenerationError("an array needs a length", retryable=False)
-        n = length.generate(*keys, "length")
+        n = length.sound(*keys, "length")
         if self.find(C.DistinctElements):
             out = self._distinct(element, n, keys)
         else:
-            out = F.transform(draw.numbered(n), lambda i: element.generate(*keys, "elem", i))
+            out = F.transform(draw.numbered(n), lambda i: element.sound(*keys, "elem", i))
         for c in self.find(C.Sorted):
-            out = F.array_sort(out) if not c.descending else F.reverse(F.array_sort(out))
-        return out
+            if c.plain:
+                out = F.reverse(F.array_sort(out)) if c.descending else F.array_sort(out)
+            else:
+                out = F.array_sort(out, c.compared)
+        return F.when(n.isNotNull() & ~F.exists(out, lambda x: x.isNull()), out)
+
+    def aims(self) -> bool:
+        return super().aims() and len(self.find(C.Sorted)) < 2
 
     def _distinct(self, element: Spec, n: Column, keys: tuple) -> Column:
-        """Few values for many places: a shuffled range.  Else more draws than places, the first n different."""
-        if isinstance(element, Integer) and not element.find(C.Mod) and not element.find(C.OneOf):
-            low, high = element.limits()
-            a, b, open_bounds = element.fixed
-            if not open_bounds and a is not None and b is not None and b - a < 4096:
-                enough = F.when(n <= b - a + 1, n).otherwise(F.raise_error(F.lit("not enough different values")).cast("long"))
-                return draw.distinct_integers(F.lit(b - a + 1).cast("long"), enough, low, *keys, "elem")
-        # n H(n) + 14 n draws leave a place empty with a probability of less than 1 %.
+        """Different values, or NULL.  Of an integer range with few more values than places, a shuffled part; else the first n different draws."""
+        # n H(n) + 14 n draws leave a place empty with a probability of less than 1 %, even if there are no more values than places.
         budget = (n * (F.log(n.cast("double") + 1) + 15)).cast("long")
-        drawn = F.array_distinct(F.transform(draw.numbered(budget), lambda i: element.generate(*keys, "elem", i)))
-        return F.when(F.size(drawn) >= n, F.slice(drawn, F.lit(1), n.cast("int"))).otherwise(F.raise_error(F.lit("not enough different values")).cast(self.dtype))
+        drawn = F.array_distinct(F.transform(draw.numbered(budget), lambda i: element.sound(*keys, "elem", i)))
+        out = F.element_at(F.transform(F.array(drawn), lambda d: F.when(F.size(d) >= n, F.slice(d, F.lit(1), n.cast("int")))), 1)
+        if isinstance(element, Integer) and not element.find(C.Mod) and not element.find(C.OneOf) and element.aims():
+            low, high = element.limits()
+            if low is not None and high is not None:
+                count = F.try_add(F.try_subtract(high, low), F.lit(1).cast("long"))
+                # Fewer than 16 values a place: the range itself is not much longer than the result.
+                few = F.when(n <= count, draw.distinct_integers(count, n, low, *keys, "elem"))
+                out = F.when(count < 16 * F.greatest(n, F.lit(1)), few).otherwise(out)
+        return out
 
     def edge_cases(self) -> list["Array"]:
         length = self.length()
@@ -367,7 +425,8 @@ class Tuple(Spec):
     def generate(self, *keys) -> Column:
         if self.find(C.OneOf):
             return self._choice(keys)
-        return F.struct(*(self._part(i).generate(*keys, f"<{i}>").alias(f"_{i}") for i in range(len(self.parts))))
+        made = [self._part(i).sound(*keys, f"<{i}>") for i in range(len(self.parts))]
+        return F.when(reduce(lambda a, b: a & b, (m.isNotNull() for m in made), F.lit(True)), F.struct(*(m.alias(f"_{i}") for i, m in enumerate(made))))
 
 
 class Nothing(Spec):
@@ -397,8 +456,9 @@ class Variant(Tuple):
 
     def generate(self, *keys) -> Column:
         tag = (draw.draw(*keys, "tag") % len(self.parts)).cast("int")
-        made = [F.lit(None).cast("int") if isinstance(p, Nothing) else F.when(tag == i, self._part(i).generate(*keys, f"<{i}>")) for i, p in enumerate(self.parts)]
-        return F.struct(tag.alias("tag"), *(c.alias(f"_{i}") for i, c in enumerate(made)))
+        made = [F.lit(None).cast("int") if isinstance(p, Nothing) else F.when(tag == i, self._part(i).sound(*keys, f"<{i}>")) for i, p in enumerate(self.parts)]
+        full = reduce(lambda a, b: a | b, ((tag == i) & (F.lit(True) if isinstance(p, Nothing) else made[i].isNotNull()) for i, p in enumerate(self.parts)))
+        return F.when(full, F.struct(tag.alias("tag"), *(c.alias(f"_{i}") for i, c in enumerate(made))))
 
 
 class Graph(Spec):
@@ -427,29 +487,35 @@ class Graph(Spec):
         loops = not self.find((C.Loopless, C.SimpleGraph))
         parallel = not self.find((C.NoParallelEdges, C.SimpleGraph))
         connected = bool(self.find(C.Connected))
-        n = (nodes.also(C.AtLeast(1)) if connected else nodes).generate(*keys, "num_nodes")
-        low, high = edges.limits()
-        low, high = F.lit(0).cast("long") if low is None else low, high
-        if high is None:
+        n = nodes.within(F.lit(1).cast("long") if connected else None, None, *keys, "num_nodes")
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        # Pairs of different nodes, and the loops.
+        most = F.call_function("div", n * (n + 1 if loops else n - 1), F.lit(2).cast("long"))
+        if edges.limits()[1] is None and not edges.find(C.OneOf) and parallel:
             raise GenerationError("the number of edges has no upper bound", retryable=False)
-        if connected:
-            low = F.greatest(low, n - 1)
-        if not parallel:
-            high = F.least(high, F.call_function("div", n * (n + 1 if loops else n - 1), F.lit(2).cast("long")))
-        m = F.when(n > 0, draw.integer(low, high, *keys, "num_edges")).otherwise(F.lit(0).cast("long"))
+        top = F.when((n > 0) if loops else (n > 1), F.lit(HIGH).cast("long")).otherwise(zero) if parallel else most
+        m = edges.within(F.greatest(n - 1, zero) if connected else None, top, *keys, "num_edges")
         edge = lambda u, v: F.struct(u.cast("long").alias("u"), v.cast("long").alias("v"))
         none = F.expr("cast(array() as array<struct<u:bigint,v:bigint>>)")
-        tree = F.transform(draw.numbered(F.greatest(n - 1, F.lit(0))), lambda i: edge(draw.draw(*keys, "tree", i) % (i + 1), i + 1)) if connected else none
+        tree = F.transform(draw.numbered(F.greatest(n - 1, zero)), lambda i: edge(draw.draw(*keys, "tree", i) % (i + 1), i + 1)) if connected else none
+        rest = F.greatest(m - (F.greatest(n - 1, zero) if connected else zero), zero)
+
+        def far(i: Column) -> Column:
+            u, w = draw.draw(*keys, "u", i) % F.greatest(n, one), draw.draw(*keys, "v", i)
+            return edge(u, w % F.greatest(n, one) if loops else F.pmod(u + 1 + w % F.greatest(n - 1, one), F.greatest(n, one)))
+
         if parallel:
-            far = lambda i: (lambda u: edge(u, draw.draw(*keys, "v", i) % n) if loops else edge(u, F.pmod(u + 1 + draw.draw(*keys, "v", i) % F.greatest(n - 1, F.lit(1)), n)))(draw.draw(*keys, "u", i) % n)
-            rest = F.transform(draw.numbered(F.greatest(m - F.size(tree), F.lit(0))), far)
-            out = F.concat(tree, rest)
+            out = F.concat(tree, F.transform(draw.numbered(rest), far))
         else:
-            # All pairs that are not in the tree, by number, in a scrambled order.
+            ordered = lambda e: edge(F.least(e["u"], e["v"]), F.greatest(e["u"], e["v"]))
+            # Many of all pairs: those, by number, in a scrambled order.  Few: random pairs until enough differ.
             pairs = F.flatten(F.transform(draw.numbered(n), lambda u: F.transform(draw.numbered(u + 1 if loops else u), lambda v: edge(v, u))))
-            free = F.array_except(pairs, tree)
-            out = F.concat(tree, F.slice(draw.shuffled(free, *keys, "edges"), F.lit(1), F.greatest(m - F.size(tree), F.lit(0)).cast("int")))
+            dense = draw.shuffled(F.array_except(pairs, tree), *keys, "edges")
+            sparse = F.array_except(F.transform(draw.numbered(4 * m + 64), lambda i: ordered(far(i))), tree)
+            free = F.when(most <= 8 * m + 64, dense).otherwise(sparse)
+            out = F.concat(tree, F.slice(free, F.lit(1), rest.cast("int")))
+        out = F.when(m.isNotNull(), out)
         if self.edge_label:
-            out = F.transform(out, lambda e, i: F.struct(e["u"].alias("u"), e["v"].alias("v"), self.edge_label.generate(*keys, "edge_label", i).alias("label")))
-        extra = [F.transform(draw.numbered(n), lambda i: self.node_label.generate(*keys, "node_label", i)).alias("node_labels")] if self.node_label else []
-        return F.struct(n.alias("num_nodes"), out.alias("edges"), *extra)
+            out = F.transform(out, lambda e, i: F.struct(e["u"].alias("u"), e["v"].alias("v"), self.edge_label.sound(*keys, "edge_label", i).alias("label")))
+        extra = [F.transform(draw.numbered(n), lambda i: self.node_label.sound(*keys, "node_label", i)).alias("node_labels")] if self.node_label else []
+        return F.when(m.isNotNull(), F.struct(n.alias("num_nodes"), out.alias("edges"), *extra))

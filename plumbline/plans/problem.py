@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.errors import ConfigurationError, ValidationError, VariableNotFound
+from plumbline.functions.printer import shown
 from plumbline.operators import constraints as C
 from plumbline.operators.specs import Spec
 
@@ -110,73 +111,126 @@ class Problem:
         return df.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
     def require_valid(self, df: DataFrame, keys: Sequence[str], style: str = "only_set_variables") -> DataFrame:
-        """df, or a ValidationError with the first bad row in key order."""
-        bad = self.violations(df, keys, style).orderBy(*keys, "variable").limit(1).collect()
+        """df, or a ValidationError with the first bad row in key order, or if there is no row."""
+        if df.isEmpty():
+            raise ValidationError("there are no cases")
+        own = df.select(*keys, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__all"), *(F.col(f"`{c}`") for c in df.columns if c not in keys))
+        bad = self.violations(own, [*keys, "__all"], style).orderBy(*keys, "variable").limit(1).collect()
         if bad:
             row = bad[0].asDict()
-            raise ValidationError(f"Case {', '.join(str(row[k]) for k in keys)} invalid: `{row['variable']}` {row['path']} is {row['value']}, expected {row['expected']} {row['details']}".rstrip())
+            all_ = row["__all"].asDict()
+            whole = f" in {shown(all_[row['variable']])}" if row["path"] and row["variable"] in all_ else ""
+            raise ValidationError(f"Case {', '.join(str(row[k]) for k in keys)} invalid: `{row['variable']}` {row['path']} is {row['value']}, expected {row['expected']} {row['details']}".rstrip() + whole)
         return df
 
     # Generation
 
     def generate(
         self, spark: SparkSession, calls: int = 1, generator: str = "random", local: dict[str, Spec] | None = None, names: Sequence[str] | None = None,
-        fixed: dict[str, Column] | None = None, seed: str | None = None, most_attempts: int = 1000, partitions: int | None = None,
+        fixed: dict[str, Column] | None = None, seed: str | None = None, most_attempts: int = 1000, most_cases: int = 100, partitions: int | None = None,
     ) -> DataFrame:
-        """calls rows (gen, call, idx, variables) that satisfy all constraints.
+        """calls rows (gen, call, idx, variables) that satisfy all constraints; every row is checked at the end.
 
         A value is a function of seed, generator, call, variable and attempt: the same on any
-        number of partitions.  Values that the generator cannot aim at (custom predicates,
+        number of partitions.  Values that the generator cannot aim at (custom predicates, several
         remainders, patterns with a length) are drawn again inside the row, up to most_attempts
-        times; a row for which none fits raises an error.
+        times.  Where a variable has no value for those that it reads, as in an empty range, it and all
+        that it is tied to by reading are drawn again, up to most_cases times; a row for which nothing
+        fits raises an error.
         """
         base = self.seed if seed is None else seed
         if base is None:
             raise ConfigurationError("a problem needs a seed to generate")
         own = self.merged(local or {})
+        order, fixed = own.needed(names or sorted(own.variables)), fixed or {}
         rows = spark.range(0, calls, 1, partitions).select(F.lit(generator).alias("gen"), F.col("id").alias("call"), F.lit(1).alias("idx"))
-        for n in own.needed(names or sorted(own.variables)):
+
+        def made(n: str, case: Column | None = None) -> Column:
             spec = own.variables[n]
-            unique = spec.unique()
-            draw = lambda attempt, n=n, spec=spec: spec.generate(F.lit(base), F.col("gen"), F.col("call"), F.lit(n), attempt)
-            aimed = not spec.find(C.Custom) and len(spec.find(C.Mod)) < 2 and not (spec.find(C.SimplePattern) and spec.find((C.Length, C.DistinctCharacters)))
-            if fixed and n in fixed:
-                made = fixed[n]
-            elif unique is not None:
-                made = C.literal(unique)
-            else:
-                made = draw(F.lit(0)) if aimed else _retried(spec, draw, most_attempts, n)
-            rows = rows.withColumn(n, made)
-        return rows
-
-    def edge_case_product(self, spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
-        """Every combination of the variables' edge cases: a cross product of literal lists, never of data."""
-        out = None
-        for n in sorted(names or self.variables):
-            values = self.variables[n].edge_values()
-            part = spark.range(1).select(F.explode(F.array(*map(C.literal, values))).alias(n))
+            keys = F.lit(base), F.col("gen"), F.col("call"), F.lit(n)
+            if n in fixed:
+                return fixed[n]
+            if (unique := spec.unique()) is not None:
+                return C.literal(unique)
+            if spec.aims():
+                return spec.generate(*keys, F.lit(0) if case is None else case)
+            return spec.retried(lambda a: spec.generate(*keys, *([] if case is None else [case]), a), most_attempts)
+
+        for n in order:
+            rows = rows.withColumn(n, made(n))
+            rows = rows.withColumn(n, F.when(own.variables[n].holds(F.col(f"`{n}`")), F.col(f"`{n}`")))
+        for group in own._tied(order):
+            columns = [F.col(f"`{n}`") for n in group]
+            whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in columns))
+            kind = "struct<" + ",".join(f"`{n}`:{own.variables[n].dtype}" for n in group) + ">"
+            step = lambda found, t: F.coalesce(found, own._case(group, lambda n: made(n, F.concat(F.lit("case "), t.cast("string"))), kind))  # noqa: B023, E731
+            again = F.aggregate(F.sequence(F.lit(1), F.lit(most_cases)), F.lit(None).cast(kind), step)
+            rows = rows.withColumn("__case", F.when(whole, F.struct(*columns).cast(kind)).otherwise(again))
+            rows = rows.withColumns({n: F.col(f"__case.`{n}`") for n in group}).drop("__case")
+        error = lambda n: F.raise_error(F.lit(f"no value for {n}: {own.variables[n]}")).cast(own.variables[n].dtype)
+        return rows.select("gen", "call", "idx", *(F.coalesce(F.col(f"`{n}`"), error(n)).alias(n) for n in order))
+
+    def _tied(self, order: list[str]) -> list[list[str]]:
+        """Variables of order that read one another, directly or through others, in groups of two at least."""
+        group = {n: {n} for n in order}
+        for n in order:
+            for r in self.variables[n].names:
+                both = group[n] | group[r]
+                group.update(dict.fromkeys(both, both))
+        return [[n for n in order if n in g] for g in {id(g): g for g in group.values()}.values() if len(g) > 1]
+
+    def _case(self, order: list[str], made: Callable[[str], Column], kind: str) -> Column:
+        """All variables of one row as a struct, each drawn with those before it in scope; NULL if one has no value."""
+
+        def after(known: dict[str, Column]) -> Column:
+            if len(known) == len(order):
+                return F.struct(*(known[n].alias(n) for n in order)).cast(kind)
+            n = order[len(known)]
+            with C.scope(known):
+                value = made(n)
+
+            def bound(v: Column) -> Column:
+                with C.scope(known):
+                    good = self.variables[n].holds(v)
+                return F.when(v.isNotNull() & good, after({**known, n: v}))
+
+            return F.element_at(F.transform(F.array(value), bound), 1)
+
+        return after({})
+
+    def edge_case_product(self, spark: SparkSession, names: Sequence[str] | None = None, seed: str | None = None) -> DataFrame:
+        """Every combination of the variables' edge cases: a cross product of short literal lists, never of data.
+
+        A variable without edge cases has one value.  Values that read others come after them; a
+        combination for which a variable has no value has NULL there.
+        """
+        base = seed or self.seed or ""
+        order, out = self.needed(names or sorted(self.variables)), None
+        cases = {n: self.variables[n].edge_cases() or [self.variables[n]] for n in order}
+        for i, n in enumerate(order):
+            part = spark.range(len(cases[n])).select(F.col("id").alias(f"__{i}"))
             out = part if out is None else out.crossJoin(part)
-        return out
-
-
-def _retried(spec: Spec, draw: Callable[[Column], Column], most: int, name: str) -> Column:
-    """The first draw that satisfies the spec; later attempts are not evaluated."""
-
-    def step(found: Column, attempt: Column) -> Column:
-        value = draw(attempt)
-        return F.coalesce(found, F.when(spec.holds(value), value))
-
-    first = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(None).cast(spec.dtype), step)
-    return F.coalesce(first, F.raise_error(F.lit(f"no value for {name} after {most} attempts")).cast(spec.dtype))
+        for i, n in enumerate(order):
+            which, value = F.col(f"__{i}"), F.lit(None).cast(self.variables[n].dtype)
+            for j, spec in enumerate(cases[n]):
+                unique = spec.unique()
+                one = C.literal(unique) if unique is not None else spec.sound(F.lit(base), F.lit("edge"), F.lit(n), F.lit(j))
+                value = F.when(which == j, one).otherwise(value)
+            out = out.withColumn(n, value)
+            out = out.withColumn(n, F.when(self.variables[n].holds(F.col(f"`{n}`")), F.col(f"`{n}`")))
+        return out.select(*(F.col(f"`{n}`") for n in (names or sorted(self.variables))))
 
 
 def merge_outputs(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of both by key; where both have a column, the input's value wins if it is set."""
+    """Rows of both by key; where both have a column, the input's value wins if it is set.  A key that one side lacks is an error."""
     shared = [c for c in outputs.columns if c in inputs.columns and c not in keys]
-    renamed = outputs.select(*keys, *(F.col(c).alias(f"__{c}" if c in shared else c) for c in outputs.columns if c not in keys))
-    both = inputs.join(renamed, list(keys))
-    cols = [F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in shared else F.col(c) for c in inputs.columns]
-    return both.select(*cols, *(c for c in outputs.columns if c not in inputs.columns))
+    renamed = outputs.select(*(F.col(f"`{k}`").alias(f"__key_{k}") for k in keys), F.lit(True).alias("__out"), *(F.col(f"`{c}`").alias(f"__{c}" if c in shared else c) for c in outputs.columns if c not in keys))
+    same = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"`__key_{k}`")) for k in keys))
+    both = inputs.withColumn("__in", F.lit(True)).join(renamed, same, "full_outer")
+    lacks = F.raise_error(F.concat(F.lit("inputs and outputs differ: no "), F.when(F.col("__in").isNull(), "input").otherwise("output"), F.lit(" for key "), F.concat_ws(", ", *(F.coalesce(F.col(f"`{k}`").cast("string"), F.col(f"`__key_{k}`").cast("string")) for k in keys))))
+    both = both.where(F.when(F.col("__in") & F.col("__out"), True).otherwise(lacks.cast("boolean")))
+    cols = [F.coalesce(F.col(f"`{c}`"), F.col(f"`__{c}`")).alias(c) if c in shared else F.col(f"`{c}`") for c in inputs.columns]
+    return both.select(*cols, *(F.col(f"`{c}`") for c in outputs.columns if c not in inputs.columns))
 
 
 def analyze(problem: Problem, cases: DataFrame, *functions: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:

@@ -8,6 +8,7 @@ length depends on values read before are parsed file by file inside executors.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -87,10 +88,33 @@ def real_text(value: Column, digits: int) -> Column:
     return show(value)
 
 
+def real_depth(spec: Spec) -> int:
+    """Arrays around a real; 0 for any other spec."""
+    if isinstance(spec, Array):
+        inner = 1 if isinstance(spec.element, Real) else real_depth(spec.element)
+        return inner + (not isinstance(spec.element, Real)) * (inner > 0)
+    return 0
+
+
+def real_items(spec: Array, value: Column) -> Column:
+    """The texts of an array's items, where these are reals or arrays of reals: a Python function takes whole arrays, as none can stand inside an array's function."""
+
+    def text(s: Spec, x) -> str:
+        return format(x, f".{s.format.digits}f") if isinstance(s, Real) else s.separator.join(text(s.element, y) for y in x)
+
+    @F.pandas_udf("array<string>")
+    def show(v):
+        return v.map(lambda xs: None if xs is None else [text(spec.element, x) for x in xs])
+
+    return show(value)
+
+
 def text_of(spec: Spec, value: Column) -> Column:
     """One value as text; arrays and tuples are joined by their separators."""
     if isinstance(spec, Real):
         return real_text(value, spec.format.digits)
+    if real_depth(spec):
+        return F.array_join(real_items(spec, value), spec.separator)
     if isinstance(spec, Array):
         return F.array_join(F.transform(value, lambda x: text_of(spec.element, x)), spec.separator)
     if isinstance(spec, Variant):
@@ -112,6 +136,8 @@ def pieces_of(spec: Spec, value: Column) -> Column:
         return F.transform(value["edges"], lambda e: F.concat_ws(" ", *cells(e)))
     if not isinstance(spec, Array):
         raise ConfigurationError("only arrays and graphs fill several lines")
+    if real_depth(spec):
+        return real_items(spec, value)
     return F.transform(value, lambda x: text_of(spec.element, x))
 
 
@@ -145,10 +171,10 @@ def _once(parts: tuple) -> str:
 
 
 def write_cases(problem: Problem, cases: DataFrame, folder: str, pattern: str = "{gen}_{call}_{idx}") -> DataFrame:
-    """A file for each case, .in and, where all output values are set, .ans; returns the names.
+    """Writes a file for each case, .in and, where all output values are set, .ans; returns the names (file).
 
-    Files are written by the tasks that hold the cases, through a temporary name; folder must be
-    seen by all executors.
+    Files are written by the tasks that hold the cases, once, each attempt through a temporary name of
+    its own; folder must be seen by all executors.  The names are kept beside them, in _names.
     """
     keys = [c for c in ("gen", "call", "idx") if c in cases.columns]
     parts = [F.lit(_once(problem.input.header)), F.lit("1\n" if problem.input.counted else ""), case_text(problem, problem.input), F.lit(_once(problem.input.footer))]
@@ -167,22 +193,23 @@ def write_cases(problem: Problem, cases: DataFrame, folder: str, pattern: str =
         fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
         for frame in batches:
-            names = []
+            names, attempt = [], uuid.uuid4().hex
             for row in frame.itertuples(index=False):
                 stem = pattern.format(**{k: getattr(row, k) for k in keys})
                 for end, text in ((".in", row.input), (".ans", row.answer)):
                     if isinstance(text, str):
                         if "/" in stem:
                             fs.create_dir(f"{top}/{stem.rpartition('/')[0]}", recursive=True)
-                        with fs.open_output_stream(f"{top}/{stem}{end}.part") as f:
+                        with fs.open_output_stream(f"{top}/{stem}{end}.{attempt}") as f:
                             f.write(text.encode())
-                        fs.move(f"{top}/{stem}{end}.part", f"{top}/{stem}{end}")
+                        fs.move(f"{top}/{stem}{end}.{attempt}", f"{top}/{stem}{end}")
                         names.append(stem + end)
             import pandas as pd
 
             yield pd.DataFrame({"file": names})
 
-    return rows.mapInPandas(put, "file string")
+    rows.mapInPandas(put, "file string").write.mode("overwrite").parquet(f"{folder}/_names")
+    return cases.sparkSession.read.schema("file string").parquet(f"{folder}/_names")
 
 
 # Reading
@@ -207,6 +234,13 @@ class Cursor:
             self.line, self.token, self.line_start = self.line + 1, 1, self.at + 1
         self.at += 1
 
+    def peek(self) -> str | None:
+        """The token that starts here, without taking it; None at white space and at the end."""
+        end = self.at
+        while end < len(self.text) and not self.text[end].isspace():
+            end += 1
+        return self.text[self.at : end] or None
+
     def word(self) -> str:
         while self.flexible and self.at < len(self.text) and self.text[self.at].isspace():
             self._step()
@@ -346,10 +380,12 @@ def parse(text: str, problem: Problem, layout: Layout, cases: int = 1) -> list[d
     return out
 
 
-def read_cases(spark: SparkSession, path: str, problem: Problem, layout: Layout, cases: int = 1, strict: bool = True) -> DataFrame:
+def read_cases(spark: SparkSession, path: str, problem: Problem, layout: Layout, cases: int = 1, strict: bool = True, style: str = "only_set_variables") -> DataFrame:
     """(file, case, variables, error): a row for each case, files in parallel.
 
-    With strict=False a file that does not follow the layout gives one row with its error.
+    Values are validated by the problem's constraints, in the given style.  With strict=False a file
+    that does not follow the layout gives one row with its error, and an invalid case keeps its
+    values beside its error; else either stops the job.
     """
     names = layout.names()
     kinds = ", ".join(f"`{n}` {problem.variables[n].dtype}" for n in names)
@@ -370,7 +406,17 @@ def read_cases(spark: SparkSession, path: str, problem: Problem, layout: Layout,
                 rows += got
             yield pd.DataFrame(rows, columns=["file", "case", *names, "error"])
 
-    return texts.mapInPandas(run, f"file string, case long, {kinds}, error string")
+    rows = texts.mapInPandas(run, f"file string, case long, {kinds}, error string")
+    checks = problem.checks(names, style)
+    if not checks:
+        return rows
+    first = rows.withColumn("__bad", F.when(F.col("error").isNull(), F.coalesce(*checks)))
+    bad = F.col("__bad")
+    why = F.concat(F.lit("Case "), F.col("case").cast("string"), F.lit(" invalid: `"), bad["variable"], F.lit("` "), bad["path"], F.lit(" is "), F.coalesce(bad["value"], F.lit("unset")), F.lit(", expected "), bad["expected"], F.lit(" "), bad["details"])
+    why = F.when(bad.isNotNull(), F.rtrim(why))
+    if strict:
+        return first.where(F.when(why.isNull(), True).otherwise(F.raise_error(why).cast("boolean"))).select(rows.columns)
+    return first.withColumn("error", F.coalesce("error", why)).select(rows.columns)
 
 
 def read_lines(lines: DataFrame, problem: Problem, names: list[str]) -> DataFrame:

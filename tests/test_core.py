@@ -6,14 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.errors import ConfigurationError, ExpressionEvaluationError, ExpressionParseError, ImpossibleToSatisfy, PatternParseError, ReadError, ValidationError
-from plumbline.functions.draw import Twister
 from plumbline.functions.expr import Expression
 from plumbline.functions.pattern import Pattern
 from plumbline.functions.real import Real as Exact
 from plumbline.operators import constraints as C
 from plumbline.operators import coverage, graphs
 from plumbline.operators.specs import Array, Graph, Integer, Nothing, Real, String, Tuple, Variant
-from plumbline.plans.problem import Problem
+from plumbline.functions.printer import shown
+from plumbline.plans import generators
+from plumbline.plans.problem import Problem, merge_outputs
 from plumbline.sources import layout as L
 
 GOOD = {
@@ -106,17 +107,66 @@ def test_edge_cases_and_coverage(spark):
     assert Problem({"a": Integer(C.Between(1, 2)), "b": Integer(C.Between(3, 4))}).edge_case_product(spark).count() == 4
 
 
-def test_engine_golden_values():
-    """The first draws of a standard engine are known: the 10000th output for the default seed is fixed by the C++ standard."""
-    t = Twister.__new__(Twister)
-    state = [5489]
-    for i in range(1, 312):
-        state.append((6364136223846793005 * (state[-1] ^ state[-1] >> 62) + i) & (2**64 - 1))
-    t.state, t.at = state, 312
-    for _ in range(9999):
-        t.next()
-    assert t.next() == 9981545732273789042
-    assert all(3 <= Twister([1, 117, 1337]).between(3, 9) <= 9 for _ in range(3))
+PROBES = {
+    "one of and bounds": Integer(C.OneOf([3, 40, 5, 77]), C.AtMost(9)),
+    "one of and length": String(C.OneOf(["a", "bcd", "efghi"]), C.Length(C.Between(2, 3))),
+    "sorted by a key": Array(Integer(C.Between(-20, 20)), C.Length(6), C.Sorted(key=F.abs)),
+    "custom elements": Array(Integer(C.Between(0, 99), C.Custom("even", lambda x: x % 2 == 0)), C.Length(5)),
+    "pattern and length in a tuple": Tuple(String(C.SimplePattern("[a-c]{1,6}"), C.Length(4)), Integer(C.Between(1, 2))),
+    "distinct of many": Array(Integer(C.Between(1, 10**12)), C.Length(20), C.DistinctElements()),
+    "distinct of as many": Array(Integer(C.Between(1, 5000)), C.Length(5000), C.DistinctElements()),
+    "whole range": Integer(C.Between(-(2**63 - 1), 2**63 - 1)),
+    "no bound": Integer(),
+    "half bound": Integer(C.AtLeast(2**62)),
+    "multiple of a wide range": Integer(C.Between(-(2**63 - 1), 2**63 - 1), C.Mod(5, 7)),
+    "exact edges": Graph(C.NumNodes(5), C.NumEdges(4), C.SimpleGraph()),
+    "connected in as many edges as needed": Graph(C.NumNodes(C.Between(2, 9)), C.NumEdges(C.Between(0, 8)), C.Connected()),
+    "one node without loops": Graph(C.NumNodes(1), C.NumEdges(C.Between(0, 5)), C.Loopless()),
+    "sparse": Graph(C.NumNodes(2000), C.NumEdges(30), C.SimpleGraph()),
+}
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_generated_values_satisfy_their_constraints(spark, name):
+    p = Problem({"X": PROBES[name]}, seed="probe")
+    out = p.generate(spark, 40, partitions=2).cache()
+    assert p.violations(out, ["call"]).count() == 0 and out.where("X is not null").count() == 40
+
+
+def test_wide_draws_reach_both_ends(spark):
+    out = Problem({"X": Integer()}, seed="w").generate(spark, 400).select(F.min("X"), F.max("X"), F.sum((F.col("X") % 2 == 0).cast("int"))).first()
+    assert out[0] < -(2**62) and out[1] > 2**62 and 150 < out[2] < 250
+
+
+def test_impossible_values_are_errors_and_rows_are_drawn_again(spark):
+    p = Problem({"N": Integer(C.Between(1, 10)), "X": Integer(C.Between(8, "N")), "A": Array(Integer(C.Between(1, "X")), C.Length("N"), C.Sorted())}, seed="r")
+    out = p.generate(spark, 60).cache()
+    assert p.violations(out, ["call"]).count() == 0 and {r["N"] for r in out.select("N").collect()} == {8, 9, 10}
+    for bad in (Integer(C.OneOf([1, 2]), C.AtLeast(5)), Graph(C.NumNodes(5), C.NumEdges(C.AtMost(2)), C.Connected()), Array(Integer(C.Between(1, 3)), C.Length(4), C.DistinctElements())):
+        with pytest.raises(Exception, match="no value for X"):
+            Problem({"X": bad}, seed="r").generate(spark, 3).collect()
+
+
+def test_unique_values_follow_known_ones():
+    assert Integer(C.Exactly("N + 1")).unique({"N": 4}) == 5 and Integer(C.Exactly("N")).unique() is None
+    assert Array(Integer(), C.Length("2 * N")).length().unique({"N": 3}) == 6
+    assert Integer(C.OneOf(["N", 7]), C.OneOf([7, 9])).unique({"N": 2}) == 7
+
+
+def test_edge_case_product_of_all_kinds(spark):
+    p = Problem({"N": Integer(C.Between(1, 3)), "S": String(C.Alphabet("ab"), C.Length(C.Between(1, 2))), "A": Array(Integer(C.Between(5, 6)), C.Length(C.Between(0, 3))), "R": Real(C.Between(0, 1))}, seed="e")
+    out = p.edge_case_product(spark).cache()
+    assert out.count() == 3 * 2 * 4 and out.select("N", F.length("S"), F.size("A")).distinct().count() == 24
+    assert p.violations(out, ["N"]).count() == 0 and out.where("S is null or A is null or R is null").count() == 0
+
+
+def test_merge_needs_the_same_cases(spark):
+    left, right = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "case long, N long"), spark.createDataFrame([(1, 50), (2, 60)], "case long, X long")
+    with pytest.raises(Exception, match="no output for key 3"):
+        merge_outputs(left, right, ["case"]).collect()
+    assert sorted(map(tuple, merge_outputs(left.where("case < 3"), right, ["case"]).collect())) == [(1, 5, 50), (2, 6, 60)]
+    with pytest.raises(ValidationError, match="no cases"):
+        Problem({"N": Integer()}).require_valid(left.where("false"), ["case"])
 
 
 def test_graphs_as_edge_tables(spark):
@@ -140,23 +190,65 @@ def test_matrices_round_trip(spark):
             graphs.from_matrix(frame).collect()
 
 
-LAYOUT = L.Layout((L.Line("N"), L.Multiline("(N - 1) + 1", "A", "B")), header=(L.Line(L.Literal("start")),), footer=(L.Line(L.Literal("end")),), counted=True)
-CASES = Problem({"N": Integer(C.Between(1, 10)), "A": Array(Integer(), C.Length("N")), "B": Array(Integer(), C.Length("N"))}, input=LAYOUT, seed="s")
+LAYOUT = L.Layout((L.Line("K"), L.Multiline("K + 1", "P", "Q")), header=(L.Line(L.Literal("top"), L.Literal("line")),), footer=(L.Line(L.Literal("bottom")),), counted=True)
+CASES = Problem({"K": Integer(C.Between(0, 8)), "P": Array(Integer(), C.Length("K + 1")), "Q": Array(Integer(C.AtMost(900)), C.Length("K + 1"))}, input=LAYOUT, seed="s")
 
 
 def test_layouts_round_trip(spark, tmp_path):
-    text = "start\n2\n3\n1 11\n2 22\n3 33\n1\n5 6\nend\n"
-    assert L.parse(text, CASES, LAYOUT) == [{"N": 3, "A": [1, 2, 3], "B": [11, 22, 33]}, {"N": 1, "A": [5], "B": [6]}]
-    for bad in (text + "x", text.replace("1 11", "1  11"), text.replace("2\n3", "3\n3"), text.replace("11", "+11"), text.replace("33", "033"), text[:-4]):
+    text = "top line\n2\n1\n-4 70\n15 8\n0\n600 0\nbottom\n"
+    assert L.parse(text, CASES, LAYOUT) == [{"K": 1, "P": [-4, 15], "Q": [70, 8]}, {"K": 0, "P": [600], "Q": [0]}]
+    for bad in (text + "x", text.replace("-4 70", "-4  70"), text.replace("2\n1", "3\n1"), text.replace("70", "+70"), text.replace("15", "015"), text[:-4]):
         with pytest.raises(ReadError):
             L.parse(bad, CASES, LAYOUT)
     (tmp_path / "a.in").write_text(text)
-    (tmp_path / "b.in").write_text("start\nx\n")
+    (tmp_path / "b.in").write_text("top line\nx\n")
+    (tmp_path / "c.in").write_text(text.replace("600 0", "600 901"))
     rows = L.read_cases(spark, str(tmp_path), CASES, LAYOUT, strict=False).orderBy("file", "case").collect()
-    assert [(r["case"], r["N"], r["error"] is None) for r in rows] == [(1, 3, True), (2, 1, True), (0, None, False)]
-    df = spark.createDataFrame([("g", 0, 1, 2, [1, 2], [3, 4])], "gen string, call long, idx long, N long, A array<bigint>, B array<bigint>")
+    assert [(r["case"], r["K"], r["error"] is None) for r in rows] == [(1, 1, True), (2, 0, True), (0, None, False), (1, 1, True), (2, 0, False)]
+    assert "Case 2 invalid: `Q` index 0 is 901" in rows[-1]["error"]
+    with pytest.raises(Exception, match="Case 2 invalid"):
+        L.read_cases(spark, str(tmp_path / "c.in"), CASES, LAYOUT).collect()
+    df = spark.createDataFrame([("g", 0, 1, 1, [1, 2], [3, 4])], "gen string, call long, idx long, K long, P array<bigint>, Q array<bigint>")
     assert [r["file"] for r in L.write_cases(CASES, df, f"file://{tmp_path}/out").collect()] == ["g_0_1.in"]
-    assert (tmp_path / "out/g_0_1.in").read_text() == "start\n1\n2\n1 3\n2 4\nend\n"
+    assert (tmp_path / "out/g_0_1.in").read_text() == "top line\n1\n1\n1 3\n2 4\nbottom\n"
+
+
+def test_sizes_that_were_read_before(spark):
+    p = Problem({"N": Integer(C.Between(1, 9)), "A": Array(Integer(), C.Length("N")), "M": Integer(), "G": Graph(C.NumNodes("N"), C.NumEdges("M"))})
+    layout = L.Layout((L.Line("N", "M"), L.Line("A"), L.Multiline("M", "G")))
+    assert L.parse("3 2\n5 6 7\n0 1\n2 2\n", p, layout) == [{"N": 3, "M": 2, "A": [5, 6, 7], "G": {"num_nodes": 3, "edges": [{"u": 0, "v": 1}, {"u": 2, "v": 2}]}}]
+    cursor = L.Cursor("ab c")
+    assert (cursor.peek(), cursor.word(), cursor.peek()) == ("ab", "ab", None)
+
+
+def test_arrays_of_reals_are_written(spark):
+    p = Problem({"R": Array(Real(digits=2)), "S": Array(Array(Real(digits=1)))})
+    df = spark.createDataFrame([(1, [0.125, -2.0], [[0.25, 1.0], [3.14]])], "k long, R array<double>, S array<array<double>>")
+    assert L.render(p, L.Layout((L.Line("R"), L.Multiline("2", "S"))), df, ["k"]).first()["text"] == "0.12 -2.00\n0.2 1.0\n3.1\n"
+
+
+def test_generators_with_arguments(spark):
+    p = Problem({"N": Integer(C.Between(3, 50)), "A": Array(Integer(C.Between(1, 9)), C.Length("N"))}, seed="g")
+
+    def ends(d):
+        return [{"N": d.least("N")}, {"N": d.greatest("N")}, {"N": d.value("N", C.AtMost(d.arg("top", int, low=1)))}]
+
+    out = generators.run(spark, p, [generators.Generator("ends", ends, 4, {"top": "5"}), generators.Generator("plain", lambda d: {"A": d.shuffled(F.array(*map(F.lit, range(1, 8))).cast("array<bigint>")), "N": 7}, 2)]).cache()
+    assert p.violations(out, ["gen", "call", "idx"]).count() == 0 and out.count() == 14
+    assert {r["N"] for r in out.where("gen = 'ends' and idx = 1").collect()} == {3} and {r["N"] for r in out.where("gen = 'ends' and idx = 2").collect()} == {50}
+    assert {r["N"] for r in out.where("gen = 'ends' and idx = 3").collect()} <= {3, 4, 5} and sorted(out.where("gen = 'plain'").first()["A"]) == list(range(1, 8))
+    for bad in ({}, {"top": "x"}, {"top": "0"}):
+        with pytest.raises(ConfigurationError):
+            generators.run(spark, p, [generators.Generator("ends", ends, 1, bad)])
+    with pytest.raises(Exception, match="no value for N"):
+        generators.run(spark, p, [generators.Generator("bad", lambda d: {"N": 99})]).collect()
+
+
+def test_values_are_shown_in_short():
+    assert shown([1, 2, 3]) == "[1, 2, 3]" and shown(None) == "unset" and shown("a\nb") == "`a[ASCII 10]b`"
+    assert len(shown("x" * 500)) < 110 and shown(list(range(1000))).endswith("more)]") and len(shown(list(range(1000)))) < 130
+    assert shown({"tag": 1, "_0": None, "_1": 5}) == "(alternative 1) 5" and shown({"_0": 1, "_1": "q"}) == "<1, `q`>"
+    assert shown({"num_nodes": 2, "edges": [{"u": 0, "v": 1}]}) == "Graph(n=2, m=1, edges=[0-1])"
 
 
 def test_codecs(spark):
