@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.errors import ConfigurationError
+
 
 def loops(edges: DataFrame) -> DataFrame:
     return edges.where("u = v")
@@ -36,6 +41,22 @@ def shape(edges: DataFrame) -> DataFrame:
     return out.withColumn("simple", (F.col("n_loops") == 0) & (F.col("n_parallel") == 0))
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; unset in local mode, a temporary one.  A cluster without it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path in that folder."""
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, node, component): the least node that is reachable.
 
@@ -46,9 +67,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     labels = nodes.select("graph", "node", F.col("node").alias("component"))
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     while True:
         sent = near.join(labels.withColumnRenamed("node", "other"), ["graph", "other"]).groupBy("graph", "node").agg(F.min("component").alias("least"))
         new = labels.join(sent, ["graph", "node"], "left").select("graph", "node", F.col("component").alias("was"), F.least("component", F.coalesce("least", "component")).alias("component"))

@@ -12,10 +12,10 @@ from plumbline.functions.expr import Expression
 from plumbline.functions.real import Real as Exact
 from plumbline.operators import graphs
 from plumbline.operators.constraints import (
-    Alphabet, AtLeast, AtMost, Between, DistinctCharacters, DistinctElements, Element, Elements, Exactly, Length, Mod, OneOf, SimplePattern, Sorted, literal,
+    Alphabet, AtLeast, AtMost, Between, Custom, DistinctCharacters, DistinctElements, Element, Elements, Exactly, Length, Mod, NumEdges, NumNodes, OneOf, SimpleGraph, SimplePattern, Sorted, literal,
 )
 from plumbline.operators.coverage import covering_array
-from plumbline.operators.specs import Array, Integer, Real, String, Tuple, Variant, size_range
+from plumbline.operators.specs import Array, Graph, Integer, Real, String, Tuple, Variant, size_range
 from plumbline.plans.problem import Problem, merge_outputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,14 +237,13 @@ def graph_components(spark, sf_dir):
     return graphs.components(nodes, e).select("graph", "node", "component")
 
 
-@register("""with e as (select r_regionkey as graph, n_nationkey % 5 as u, n_regionkey as v from nation join region on true),
+@register("""with e as (select l_orderkey as graph, l_linenumber % 4 as u, l_suppkey % 4 as v from lineitem),
 b as (select graph, u, v from e union all select graph, v, u from e where u <> v), n as (select distinct graph, u as node from b),
-c as (select n.graph, n.node, o.node as other, (select count(*) from b where b.graph = n.graph and b.u = n.node and b.v = o.node) as k from n join n o on n.graph = o.graph)
+k as (select graph, u, v, count(*) as k from b group by all),
+c as (select n.graph, n.node, o.node as other, coalesce(k, 0) as k from n join n o on n.graph = o.graph left join k on k.graph = n.graph and k.u = n.node and k.v = o.node)
 select graph, node, string_agg(k::varchar, ' ' order by other) as line from c group by 1, 2""")
 def write_matrix(spark, sf_dir):
-    e = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("graph")).join(
-        F.broadcast(table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 5).alias("u"), F.col("n_regionkey").alias("v"))), F.lit(True)
-    )  # 5 regions and 25 nations, whatever the scale
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), (F.col("l_linenumber") % 4).cast("long").alias("u"), (F.col("l_suppkey") % 4).alias("v"))
     nodes = e.select("graph", F.col("u").alias("node")).unionByName(e.select("graph", F.col("v").alias("node"))).distinct()
     return graphs.matrix(nodes, e)
 
@@ -260,12 +259,29 @@ def write_multiline(spark, sf_dir):
     return render(p, Layout((Multiline("N", "A", "B"),)), df, ["l_orderkey"])
 
 
-@register("select n_nationkey, n_name || ' ' || n_regionkey || ' end' || chr(10) as text from nation")
+@register("select c_custkey, c_name || ' ' || c_nationkey || ' end' || chr(10) as text from customer")
 def write_line(spark, sf_dir):
     from plumbline.sources.layout import Layout, Line, Literal, render
 
-    p = Problem({"n_name": String(), "n_regionkey": Integer()})
-    return render(p, Layout((Line("n_name", "n_regionkey", Literal("end")),)), table(spark, sf_dir, "nation"), ["n_nationkey"])
+    p = Problem({"c_name": String(), "c_nationkey": Integer()})
+    return render(p, Layout((Line("c_name", "c_nationkey", Literal("end")),)), table(spark, sf_dir, "customer"), ["c_custkey"])
+
+
+@register("""select c_nationkey, count(*) as N, string_agg(c_custkey::varchar, ' ' order by c_custkey) as A, string_agg((c_custkey % 7)::varchar, ' ' order by c_custkey) as B from customer group by 1""")
+def read_sections(spark, sf_dir):
+    """A file for each nation, written and read back: a count, a line of as many values, as many lines."""
+    from plumbline.sources.layout import Layout, Line, Multiline, read_cases, write_cases
+
+    layout = Layout((Line("N"), Line("A"), Multiline("N", "B")), header=())
+    p = Problem({"N": Integer(AtLeast(1)), "A": Array(Integer(AtLeast(0)), Length("N"), Sorted()), "B": Array(Integer(Between(0, 6)), Length("N"))}, input=layout)
+    keys = F.array_sort(F.collect_list("c_custkey"))
+    cases = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("call")).agg(keys.alias("A"))
+    cases = cases.select("call", F.size("A").cast("long").alias("N"), "A", F.transform("A", lambda x: x % 7).alias("B"))
+    folder = graphs.shared_folder(spark, "sections")
+    write_cases(p, cases, folder, "{call}")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    got = read_cases(spark, f"{folder}/*.in", p, layout)
+    return got.select(F.regexp_extract("file", r"([0-9]+)\.in$", 1).cast("int").alias("c_nationkey"), "N", text("A"), text("B"))
 
 
 @register("""with l as (select o_orderkey, case when o_orderkey % 5 = 0 then '0' || o_custkey when o_orderkey % 7 = 0 then o_custkey || '  ' else o_custkey || ' ' || o_orderstatus end as value from orders)
@@ -293,12 +309,15 @@ def _draw_sql(key: str) -> str:
     return f"('0x' || substr(md5({key}), 1, 15))::bigint"
 
 
-def generated(spark: SparkSession, sf_dir: str, variables: dict) -> DataFrame:
-    """One case for each order, keyed by it: values follow the key alone."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("random").alias("gen"), F.col("o_orderkey").alias("call"))
+def generated(spark: SparkSession, sf_dir: str, variables: dict, given: dict | None = None) -> DataFrame:
+    """One case for each order, keyed by it: values follow the key and what is given alone; NULL where none fits."""
+    given = given or {}
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("random").alias("gen"), F.col("o_orderkey").alias("call"), *(c.alias(n) for n, c in given.items()))
     p = Problem(variables, seed=SEED)
     for n in p.order():
-        orders = orders.withColumn(n, p.variables[n].generate(F.lit(SEED), F.col("gen"), F.col("call"), F.lit(n), F.lit(0)))
+        spec, keys = p.variables[n], (F.lit(SEED), F.col("gen"), F.col("call"), F.lit(n))
+        if n not in given:
+            orders = orders.withColumn(n, spec.generate(*keys, F.lit(0)) if spec.aims() else spec.sound(*keys))
     return orders.drop("gen", "call")
 
 
@@ -341,6 +360,26 @@ def gen_tuple_variant(spark, sf_dir):
     return out.select("o_orderkey", F.col("T._0").alias("a"), F.col("T._1").alias("b"), F.col("V.tag").alias("tag"), F.col("V._0").alias("v"))
 
 
+@register(f"""select o_orderkey, [3, 40, 5][1 + {_draw_sql(_keys('A'))} % 3] as A, case when n = 0 then null else fits[1 + {_draw_sql(_keys('B'))} % n] end as B
+from (select *, len(fits) as n from (select *, list_filter([2, 9, 4, 30], lambda x: x <= o_custkey % 40) as fits from orders))""")
+def gen_one_of_bounded(spark, sf_dir):
+    return generated(spark, sf_dir, {"A": Integer(OneOf([3, 40, 5, 77]), AtMost(60)), "B": Integer(OneOf([2, 9, 4, 30]), AtMost("M")), "M": Integer()}, {"M": F.col("o_custkey") % 40}).drop("M")
+
+
+@register(f"""with t as (select o_orderkey, list_filter(list_transform(range(200), lambda a: {_draw_sql(_keys('E', attempt="' || a || '"))} % 1000), lambda x: x % 7 = 3) as fits from orders) select o_orderkey, fits[1] as E from t""")
+def gen_retry(spark, sf_dir):
+    return generated(spark, sf_dir, {"E": Integer(Between(0, 999), Custom("third of seven", lambda x: x % 7 == 3))})
+
+
+@register(f"""with p as (select o_orderkey, u, v, {_draw_sql(_keys('G') + " || '|edges|' || i")} as d, i from orders, (values (0, 0, 1), (1, 0, 2), (2, 1, 2), (3, 0, 3), (4, 1, 3), (5, 2, 3), (6, 0, 4), (7, 1, 4), (8, 2, 4), (9, 3, 4)) t(i, u, v)),
+r as (select *, row_number() over (partition by o_orderkey order by d, i) as n from p)
+select o_orderkey, 5::bigint as nodes, string_agg(u || '-' || v, ' ' order by n) as edges from r where n <= 4 group by 1""")
+def gen_graph(spark, sf_dir):
+    out = generated(spark, sf_dir, {"G": Graph(NumNodes(5), NumEdges(4), SimpleGraph())})
+    edges = F.array_join(F.transform("G.edges", lambda e: F.concat_ws("-", e["u"].cast("string"), e["v"].cast("string"))), " ")
+    return out.select("o_orderkey", F.col("G.num_nodes").alias("nodes"), edges.alias("edges"))
+
+
 @register(f"""with i as (select o_orderkey, unnest(range(o_orderkey % 7)) as i from orders)
 select o_orderkey, i + 1 as child, {_draw_sql("'" + SEED + "|' || o_orderkey || '|' || i")} % (i + 1) as parent from i""")
 def gen_tree(spark, sf_dir):
