@@ -78,14 +78,14 @@ def features(text: bytes | None, words: Words, bits: int = BITS) -> tuple[np.nda
     again = np.concatenate(([False], h[1:] == h[:-1]))  # a word said again at once is one word to all texts
     h, s = np.where(again, np.uint64(7), h), np.where(again, np.uint64(99), s)
     with np.errstate(over="ignore"):
-        kinds = [mix(h + np.uint64(1))]
+        kinds = [(0.5, mix(h + np.uint64(1)))]
         if len(h) > 1:
-            kinds.append(mix(h[1:] * np.uint64(3) + h[:-1] * np.uint64(0x9E3779B97F4A7C15)))
-        kinds.append(mix(s + np.uint64(0x51ED27)))
+            kinds.append((0.5, mix(h[1:] * np.uint64(3) + h[:-1] * np.uint64(0x9E3779B97F4A7C15))))
+        kinds.append((1, mix(s + np.uint64(0x51ED27))))
         if len(h) > 2:
-            kinds.append(mix((s[2:] * np.uint64(1009) + s[1:-1]) * np.uint64(1009) + s[:-2] + np.uint64(0xABCDEF)))
+            kinds.append((1, mix((s[2:] * np.uint64(1009) + s[1:-1]) * np.uint64(1009) + s[:-2] + np.uint64(0xABCDEF))))
     places, values = [np.zeros(1, np.int64)], [np.ones(1)]
-    for kind, weight in zip(kinds, (0.5, 0.5, 1, 1), strict=False):
+    for weight, kind in kinds:
         at, n = np.unique((kind >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
         places.append(np.maximum(at, 1))
         values.append(weight * np.sqrt(n / n.sum()))

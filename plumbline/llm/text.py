@@ -6,8 +6,6 @@ class that contains all non-ASCII characters can be split with byte operations a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.graphs import shared_folder
+
 #: A-Z to a-z, and every ASCII byte that is no letter and no digit to a blank.
 ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
@@ -39,18 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests, local
-    runs) a temporary folder is made and recorded in the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return shared_folder(spark, what)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
