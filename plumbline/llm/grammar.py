@@ -1,17 +1,17 @@
 """Token-id shards compressed by Re-Pair grammars.
 
 Texts are encoded, a shard is cut after about `shard_ids` ids of consecutive documents, and
-Re-Pair replaces frequent id pairs by nonterminals in rounds, many different pairs at a
-time, until no pair occurs `least_count` times.  A shard's row has the rules, the expansion length of every rule, the final symbols, the
-documents' id counts, and the number of ids before it: any range of ids is decoded from the
-symbols and lengths alone, without the rest.
+Re-Pair replaces frequent id pairs by nonterminals in rounds, all frequent pairs at a time,
+until no pair occurs `least_count` times.  A shard's row has the rules, the expansion length
+of every rule, the final symbols, the documents' id counts, and the number of ids before it in its partition: any range of ids is
+decoded from the symbols and lengths alone, without the rest.
 
 Scale: one shuffle orders texts by id; each partition writes its shards as it goes.  Files
 are rows of Parquet, written and committed by Spark, so that a lost executor's shards are
 written again.  Ids before a shard come from the counts of the partitions (one row each).
 
 Defined results: a null text is empty and has the end id alone; rows with equal doc_id stay
-separate, in the order of their texts; a null doc_id comes first.
+separate, in the order of their texts' hashes; a null doc_id comes first.
 """
 
 from __future__ import annotations
@@ -22,47 +22,56 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.text import batches_of, shared_path
 from plumbline.llm.tokens import encoder, ragged
 
-SHARD_IDS, RULES, LEAST_COUNT = 1 << 20, 4096, 8
+SHARD_IDS, LEAST_COUNT = 1 << 20, 8
 
 
-def compress(ids: np.ndarray, first_free: int, rules: int = RULES, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, pairs): nonterminal first_free + i stands for pairs[i], a pair of earlier symbols."""
-    seq, pairs = ids.astype(np.int64), np.zeros((0, 2), dtype=np.int64)
+def _slots(codes: np.ndarray) -> np.ndarray:
+    """A hash of 20 bits."""
+    return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+
+
+def compress(ids: np.ndarray, first_free: int, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, pairs): nonterminal first_free + i stands for pairs[i], a pair of earlier symbols.
+
+    A round replaces all pairs that occur least_count times, from the left where occurrences
+    overlap; a pair of which no two occurrences could be replaced makes no rule.
+    """
+    seq, rules, made = ids.astype(np.int64), [np.zeros((0, 2), dtype=np.int64)], 0
     while len(seq) > 1:
         codes = seq[:-1] << 32 | seq[1:]
-        ordered = np.sort(codes)
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.concatenate((edge, [len(ordered)])))
-        often = counts >= least_count
-        kinds, counts = ordered[edge[often]], counts[often]
+        # Counts of hashes tell most rare pairs apart before the sort.
+        slots = _slots(codes)
+        near = np.flatnonzero((np.bincount(slots, minlength=1 << 20) >= least_count)[slots])
+        some = codes[near]
+        kinds, counts = np.unique(some, return_counts=True)
+        kinds = kinds[counts >= least_count]
         if not len(kinds):
             break
-        best = np.sort(kinds[np.argsort(-counts, kind="stable")[:rules]])
-        # A table of 2^20 flags tells most other pairs apart before the search.
-        spread = lambda x: (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        flags = np.zeros(1 << 20, dtype=bool)
-        flags[spread(best)] = True
-        near = np.flatnonzero(flags[spread(codes)])
-        found = np.minimum(np.searchsorted(best, codes[near]), len(best) - 1)
-        same = best[found] == codes[near]
-        at, marked = np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
-        at[near], marked[near] = found, same
-        # Marked pairs in a row overlap: every second is taken, from the left.
-        place = np.arange(len(codes))
-        begin = np.maximum.accumulate(np.where(marked & ~np.concatenate(([False], marked[:-1])), place, -1))
-        taken = marked & ((place - begin) % 2 == 0)
-        base = first_free + len(pairs)
-        pairs = np.concatenate((pairs, np.column_stack((best >> 32, best & 0xFFFFFFFF))))
-        new = seq.copy()
-        new[:-1][taken] = base + at[taken]
-        seq = new[np.concatenate(([True], ~taken))]
-    return seq, pairs
+        rule = np.minimum(np.searchsorted(kinds, some), len(kinds) - 1)
+        same = kinds[rule] == some
+        at, rule = near[same], rule[same]
+        # Pairs at places in a row overlap: every second is taken, from the left.
+        order = np.arange(len(at))
+        begin = np.maximum.accumulate(np.where(np.concatenate(([True], at[1:] != at[:-1] + 1)), order, 0))
+        taken = (order - begin) % 2 == 0
+        used = np.bincount(rule[taken], minlength=len(kinds)) > 1
+        if not used.any():
+            break
+        taken &= used[rule]
+        at, rule = at[taken], (np.cumsum(used) - 1)[rule[taken]]
+        seq[at] = first_free + made + rule
+        stay = np.ones(len(seq), dtype=bool)
+        stay[at + 1] = False
+        seq, kinds = seq[stay], kinds[used]
+        rules.append(np.column_stack((kinds >> 32, kinds & 0xFFFFFFFF)))
+        made += len(kinds)
+    return seq, np.concatenate(rules)
 
 
 def lengths_of(pairs: np.ndarray, first_free: int) -> np.ndarray:
@@ -74,17 +83,25 @@ def lengths_of(pairs: np.ndarray, first_free: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, pairs: np.ndarray, first_free: int) -> np.ndarray:
-    """The ids of symbols: all rules of the largest number that is left are replaced until none is."""
+    """The ids of symbols: the rules that occur are expanded once each, and copied."""
     seq = symbols.astype(np.int64)
-    while len(pairs) and len(seq) and seq.max() >= first_free:
-        rule = seq >= first_free
-        at = np.cumsum(1 + rule) - 1 - rule
-        out = np.empty(len(seq) + int(rule.sum()), dtype=np.int64)
-        out[at[~rule]] = seq[~rule]
-        both = pairs[seq[rule] - first_free]
-        out[at[rule]], out[at[rule] + 1] = both[:, 0], both[:, 1]
-        seq = out
-    return seq.astype(np.int32)
+    rule = seq >= first_free
+    if not rule.any():
+        return seq.astype(np.int32)
+    kinds, which = np.unique(seq[rule], return_inverse=True)
+    table, owner = kinds, np.arange(len(kinds))
+    while (deep := table >= first_free).any():
+        twice = 1 + deep
+        at = np.cumsum(twice) - twice
+        both, owner = pairs[table[deep] - first_free], np.repeat(owner, twice)
+        out = np.empty(len(owner), dtype=np.int64)
+        out[at[~deep]] = table[~deep]
+        out[at[deep]], out[at[deep] + 1] = both[:, 0], both[:, 1]
+        table = out
+    each = np.bincount(owner, minlength=len(kinds))
+    sizes, starts = np.ones(len(seq), dtype=np.int64), np.arange(len(seq)) + len(table)
+    sizes[rule], starts[rule] = each[which], (np.cumsum(each) - each)[which]
+    return np.concatenate((table, seq)).astype(np.int32)[ragged(starts, sizes)]
 
 
 def pack(ids: np.ndarray, first_free: int, **settings) -> dict:
@@ -112,21 +129,21 @@ def unpack(row: dict, start: int = 0, count: int | None = None) -> np.ndarray:
     return expand(s[a:b], pairs, free)[start - before : start - before + count]
 
 
-SHARD = "part int, shard int, docs array<{id}>, sizes array<int>, first_free int, width int, symbols binary, rules binary, expansions binary"
+SHARD = "part int, skip long, docs array<{id}>, sizes array<int>, first_free int, width int, symbols binary, rules binary, expansions binary"
 
 
 def encode(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, tokenizer: str = "byte_bpe_50k.json", folder: str | None = None, **settings) -> str:
     """Writes docs (doc_id, text) as shards in ascending doc_id order to path."""
     kind = docs.schema["doc_id"].dataType
-    ordered = docs.select("doc_id", "text").repartitionByRange(_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(_partitions(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, shard = encoder(tokenizer, folder), TaskContext.get().partitionId(), 0
+        coder, part, skip = encoder(tokenizer, folder), TaskContext.get().partitionId(), 0
         free, held, ids, sizes, total = len(coder.id_bytes), [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(ids)
-            row = {"part": part, "shard": shard, "docs": held, "sizes": np.concatenate(sizes).tolist(), **pack(flat, free, **settings)}
+            row = {"part": part, "skip": skip, "docs": held, "sizes": np.concatenate(sizes).tolist(), **pack(flat, free, **settings)}
             return pa.RecordBatch.from_pylist([row], schema=layout)
 
         for whole in batches:
@@ -137,14 +154,14 @@ def encode(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, tokenizer: st
                 sizes.append(n)
                 if total >= shard_ids:
                     yield flush()
-                    shard, held, ids, sizes, total = shard + 1, [], [], [], 0
+                    skip, held, ids, sizes, total = skip + total, [], [], [], 0
         if held:
             yield flush()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     layout = pa.schema([
-        ("part", pa.int32()), ("shard", pa.int32()), ("docs", pa.list_(to_arrow_type(kind))), ("sizes", pa.list_(pa.int32())), ("first_free", pa.int32()),
+        ("part", pa.int32()), ("skip", pa.int64()), ("docs", pa.list_(to_arrow_type(kind))), ("sizes", pa.list_(pa.int32())), ("first_free", pa.int32()),
         ("width", pa.int32()), ("symbols", pa.binary()), ("rules", pa.binary()), ("expansions", pa.binary()),
     ])
     ordered.mapInArrow(run, SHARD.format(id=kind.simpleString())).write.parquet(path)
@@ -163,9 +180,6 @@ def decode(spark, path: str) -> DataFrame:
     by_part = shards.select("part", count.alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     before = dict(zip((r["part"] for r in by_part), np.cumsum([0, *(r["n"] for r in by_part)]).tolist(), strict=False))
     kind = shards.schema["docs"].dataType.elementType
-    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    within = shards.select("part", "shard", count.alias("n")).select("part", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
-    rows = shards.join(within, ["part", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +195,7 @@ def decode(spark, path: str) -> DataFrame:
                     ], names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, **settings) -> DataFrame:

@@ -47,7 +47,7 @@ def _shape(w: bytes) -> int:
 class Words:
     """Hash and shape of each word, remembered up to a bound."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.place, self.hash, self.shape = most, {}, [], []
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -96,7 +96,7 @@ def kept(name: str, make: Callable):
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 250_000):
         self.seed, self.most, self.known = seed, most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

@@ -4,7 +4,8 @@ The file's pre-tokenizer always starts a new piece at a blank between two charac
 that are no white space.  So a text is split there, each different piece is encoded once
 (many together in one call) and remembered, and the ids of a text are its pieces' ids in
 order: the same ids as from one call with the whole text.  Texts for which that
-boundary rule might not hold (other white space beside a blank) are encoded whole.
+boundary rule might not hold (other white space beside a blank, a special token spelt out)
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(str(path))
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for piece, i in vocabulary.items():
@@ -53,8 +54,8 @@ class Encoder:
 
     def _learn(self, groups: list[list[str]]) -> None:
         """Encode groups of new pieces, each group as one text; split its ids by their byte lengths."""
-        for at in range(0, len(groups), 256):
-            part = groups[at : at + 256]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
             for group, got in zip(part, self.tokenizer.encode_batch_fast(["".join(g) for g in part], add_special_tokens=False), strict=True):
                 ids = np.array(got.ids, dtype=np.int32)
                 ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum([len(p.encode()) for p in group]), side="left") + 1
@@ -75,20 +76,28 @@ class Encoder:
         """Ids of all texts in one array, and each text's number of ids; end is appended to each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring(texts, "\x01").to_numpy(zero_copy_only=False)
+        for token in self.special:
+            whole = whole | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         pieces = pc.split_pattern(pc.replace_substring(texts, " ", "\x01 "), "\x01")
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pieces.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         if self.pieces + len(words) > self.most_pieces:
             self._forget()
         place = self.place
         new = [w for w in words if w not in place]
         if new:
             # Pieces with more white space at their ends may depend on their neighbours: place -1.
-            inner = [w for w in new if w[:1] == " " and w != " " and w[1:].strip() == w[1:]]
-            first = [w for w in new if w[:1] != " " and w and w.strip() == w]
-            place.update(dict.fromkeys(new, -1))
-            self._learn([inner[i : i + 200] for i in range(0, len(inner), 200)] + [[w] for w in first])
+            inner, first = [], []
+            for w in new:
+                if w and not w[-1].isspace():
+                    if w[0] != " ":
+                        first.append(w)
+                    elif not w[1].isspace():
+                        inner.append(w)
+                        continue
+                place[w] = -1
+            self._learn([inner[i : i + 2000] for i in range(0, len(inner), 2000)] + [[w] for w in first])
         at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))[codes] if words else np.zeros(0, np.int64)
         bounds = np.concatenate(([0], np.cumsum(counts)))
         if (at < 0).any():
