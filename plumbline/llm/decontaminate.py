@@ -165,7 +165,7 @@ class Block:
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Block]:
     """Items (item_id, text) in broadcasts of about block_bytes; the number follows a count of their size."""
     spark = items.sparkSession
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     out = []
@@ -206,7 +206,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int =
     first, *more = item_blocks(items, block_bytes)
     if not more:
         return _scanned(docs, first, window, False)
-    key = F.xxhash64("text", F.reverse("text"))
+    key = F.unhex(F.md5("text"))
     found = _scanned(docs, first, window, True)
     for block in more:
         found = found.unionByName(_scanned(docs, block, window, True))
@@ -247,7 +247,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_cove
     blocks = item_blocks(items, block_bytes)
     if len(blocks) == 1:
         return _removed(docs, blocks[0], window, most_coverage)
-    same = [F.xxhash64("text", F.reverse("text")).alias("k"), F.octet_length("text").alias("size")]
+    same = [F.unhex(F.md5("text")).alias("k"), F.octet_length("text").alias("size")]
     # One row for each text that is hit, with its key: (k, size, text, new); new is null if its documents go.
     texts = docs.select("text").where("text is not null")
     now = texts.select(*same, F.col("text"))
@@ -289,7 +289,7 @@ def _cut_rows(hit: DataFrame, most_coverage: float | None) -> DataFrame:
                 new.append(None if gone else _cut(text, spans))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("size"), pa.array(new, pa.string())], names=["k", "size", "new"])
 
-    return hit.mapInArrow(run, "k long, size int, new string")
+    return hit.mapInArrow(run, "k binary, size int, new string")
 
 
 def _removed(docs: DataFrame, block: Block, window: int, most_coverage: float) -> DataFrame:
