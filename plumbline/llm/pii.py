@@ -221,20 +221,19 @@ def discover(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence:
     return unknown.join(known, "instance").select("doc_id", "key", "start", "end", "kind")
 
 
-def _with_spans(docs: DataFrame, settings: dict) -> DataFrame:
-    """row (the columns of docs), base and every: its base spans, and these with the new ones."""
+def _with_spans(docs: DataFrame, columns: list[str], settings: dict) -> DataFrame:
+    """row (the columns of docs that are asked for), base and every: its base spans, and these with the new ones."""
     one = F.struct("start", "kind", "end", F.lit("").alias("text"))
     new = discover(docs, **settings).distinct().groupBy("doc_id", "key").agg(F.collect_list(one).cast(SPAN).alias("new"))
     new = new.select(F.col("doc_id").alias("new_id"), F.col("key").alias("new_key"), "new")
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), _key().alias("key"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").alias("id"), _key().alias("key"), base_spans(F.col("text")).alias("base"))
     both = own.join(new, (F.col("key") == F.col("new_key")) & F.col("id").eqNullSafe(F.col("new_id")), "left")
-    both = both.select("row", base_spans(F.col("row.text")).alias("base"), "new")
     return both.select("row", "base", F.array_sort(F.concat("base", F.coalesce("new", F.expr(f"cast(array() as {SPAN})")))).alias("every"))
 
 
 def find(docs: DataFrame, **settings) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of base spans), spans (all spans)."""
-    out = _with_spans(docs.select("doc_id", "text"), settings)
+    out = _with_spans(docs, ["doc_id"], settings)
     kinds = F.transform("base", lambda s: s["kind"])
     count = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return out.select("row.doc_id", *count, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("every")).alias("spans"))
@@ -242,7 +241,7 @@ def find(docs: DataFrame, **settings) -> DataFrame:
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """docs with every span replaced by [KIND]; spans that overlap become one mark, of the first. n_chars follows."""
-    rows = _with_spans(docs, settings)
+    rows = _with_spans(docs, docs.columns, settings)
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text, changed = F.col("row.text"), F.size("every") > 0
     new = _let(_pieces(text), lambda pieces: _replaced(pieces, F.length(text), F.col("every"), lambda at, s: F.when(s["start"] >= at, F.element_at(marks, s["kind"] + 1)).otherwise("")))
