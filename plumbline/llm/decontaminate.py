@@ -6,8 +6,9 @@ at least `window` words, or a whole item that is shorter, is a hit.
 
 Scale: the items are read in blocks of bounded size, one automaton each, sent to the
 executors as a broadcast of at most about `block_bytes` (or one item).  Texts are scanned
-where they lie, without a shuffle.  With more than one block the (few) hits are joined to
-the texts by key.
+where they lie, without a shuffle.  With more than one block, texts are scanned once for windows of any
+item, by a Bloom filter of bounded size, and the automata scan those that may be hit, a different text once;
+their hits are joined to the documents by key.
 
 Defined results: null or empty texts have no words and no hits; null items and items without
 words have no windows; equal items are listed under each of their ids, a null id as "null";
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.text import alnum_words, kept, stored, utf8
+from plumbline.llm.order import spread_join
+from plumbline.llm.repeats import run_hashes
+from plumbline.llm.text import WordHashes, alnum_words, kept, mix, stored, utf8
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES, FILTER_BYTES, PIECE = 1_000_000, 1 << 26, 1 << 16
 SCAN = {"n_words": T.LongType(), "hits": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -200,26 +203,93 @@ def _scanned(docs: DataFrame, block: Block, window: int, only_hits: bool) -> Dat
     return docs.mapInArrow(run, schema)
 
 
+class Windows:
+    """A Bloom filter of the items' windows: texts that pass it may be hit, others cannot."""
+
+    def __init__(self, bits: np.ndarray, lengths: list[int]):
+        self.bits, self.lengths = bits, lengths
+
+    def meets(self, words: np.ndarray) -> bool:
+        return any(self._set(run_hashes(words, k)).any() for k in self.lengths)
+
+    def _set(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), dtype=bool)
+        for at in bloom_places(h, 8 * len(self.bits)):
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def bloom_places(h: np.ndarray, m: int) -> list[np.ndarray]:
+    return [(part % np.uint64(m)).astype(np.int64) for part in (h, mix(h), mix(h ^ np.uint64(0x5BD1E995)))]
+
+
+def item_windows(items: DataFrame, window: int, total_bytes: int, filter_bytes: int = FILTER_BYTES) -> Windows:
+    """Made by Spark, a piece for each run of bits: two bits a byte of the items, and filter_bytes at most; more windows let more texts pass."""
+    m = min(filter_bytes, max(PIECE, -(-(total_bytes // 4) // PIECE) * PIECE))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(21)
+        for batch in batches:
+            for text in utf8(batch.column("text")):
+                words = hashes(alnum_words(text))
+                k = min(window, len(words))
+                if k:
+                    at = np.unique(np.concatenate(bloom_places(run_hashes(words, k), 8 * m)))
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array(at)], names=["k", "at"])
+
+    spots = stored(items.select("text").mapInArrow(places, "k int, at long").distinct(), "windows")
+    lengths = sorted(r[0] for r in spots.select("k").distinct().collect())
+
+    def piece(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(8 * PIECE, dtype=np.uint8)
+        bits[table.column("at").to_numpy() - key[0].as_py() * 8 * PIECE] = 1
+        return pa.table({"n": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    bits = np.zeros(m, dtype=np.uint8)
+    for n, got in spots.withColumn("n", F.floor(F.col("at") / (8 * PIECE))).groupBy("n").applyInArrow(piece, "n long, bits binary").toLocalIterator():
+        bits[n * PIECE : (n + 1) * PIECE] = np.frombuffer(got, dtype=np.uint8)
+    return Windows(bits, lengths)
+
+
+def _sieved(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """Adds n_words and maybe, false where no window of any item is in the text, to rows with a text."""
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    sent = docs.sparkSession.sparkContext.broadcast(item_windows(items, window, total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, windows = WordHashes(21), sent.value
+        for batch in batches:
+            words = [alnum_words(t) for t in utf8(batch.column("text"))]
+            maybe = [bool(w) and windows.meets(hashes(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array(maybe, pa.bool_())], names=[*batch.schema.names, "n_words", "maybe"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("maybe", T.BooleanType())]))
+
+
+def same_text() -> list:
+    """Columns k and size, equal for equal texts."""
+    return [F.unhex(F.md5("text")).alias("k"), F.octet_length("text").alias("size")]
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (doc_id, text) with n_words, hits (word spans) and items (ids of items hit)."""
+    """docs (doc_id, text) with n_words, hits (word spans) and items (ids of items hit).
+
+    With several blocks, the few texts that may be hit are kept in a table, and the automata scan that.
+    """
     docs = docs.select("doc_id", "text")
-    first, *more = item_blocks(items, block_bytes)
-    if not more:
-        return _scanned(docs, first, window, False)
-    key = F.unhex(F.md5("text"))
-    found = _scanned(docs, first, window, True)
-    for block in more:
-        found = found.unionByName(_scanned(docs, block, window, True))
+    blocks = item_blocks(items, block_bytes)
+    if len(blocks) == 1:
+        return _scanned(docs, blocks[0], window, False)
+    sieved = _sieved(docs, items, window)
+    maybe = stored(sieved.where("maybe").select("doc_id", "text", "n_words", *same_text()), "maybe")
+    texts = stored(maybe.groupBy("k", "size").agg(F.first("text").alias("text"), F.count("*").alias("n")), "texts")
     # Hits depend on the text alone: equal texts share them, one row a text and block.
-    found = (
-        found.select(key.alias("k"), F.octet_length("text").alias("size"), "hits", "items").distinct()
-        .groupBy("k", "size").agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("more_items"))
-    )
-    counted = _scanned(docs, Block(docs.sparkSession, []), window, False)
-    return (
-        counted.withColumns({"k": key, "size": F.octet_length("text")}).join(found, ["k", "size"], "left")
-        .select("doc_id", "text", "n_words", F.coalesce("more_hits", "hits").alias("hits"), F.coalesce("more_items", "items").alias("items"))
-    )
+    found = reduce(DataFrame.unionByName, (_scanned(texts, block, window, True).select("k", "size", "n", "hits", "items") for block in blocks))
+    found = found.groupBy("k", "size").agg(F.first("n").alias("n"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hit = spread_join(maybe, stored(found, "hits"), ["k", "size"], "left")
+    none = [F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items")]
+    rest = sieved.where("not maybe").select("doc_id", "text", "n_words", *none)
+    return rest.unionByName(hit.select("doc_id", "text", "n_words", *(F.coalesce(F.col(c), F.expr(f"cast(array() as array<{k}>)")).alias(c) for c, k in (("hits", "int"), ("items", "string")))))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -247,15 +317,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_cove
     blocks = item_blocks(items, block_bytes)
     if len(blocks) == 1:
         return _removed(docs, blocks[0], window, most_coverage)
-    same = [F.unhex(F.md5("text")).alias("k"), F.octet_length("text").alias("size")]
-    # One row for each text that is hit, with its key: (k, size, text, new); new is null if its documents go.
-    texts = docs.select("text").where("text is not null")
-    now = texts.select(*same, F.col("text"))
+    # One row for each text that may be hit, with its key, and how many rows have it.
+    texts = _sieved(docs.select("text").where("text is not null"), items, window).where("maybe").select(*same_text(), "text")
+    now = stored(texts.groupBy("k", "size").agg(F.first("text").alias("text"), F.count("*").alias("n")), "texts")
+    copies = now.select("k", "size", "n")
     limit, done = most_coverage, None
     while True:
         found = reduce(DataFrame.unionByName, (_scanned(now, block, window, True) for block in blocks))
         # Equal texts share their hits; a text that is hit comes once from each block.
-        found = found.select("k", "size", "text", "n_words", "hits").dropDuplicates(["k", "size", "hits"])
+        found = found.select("k", "size", "text", "n_words", "hits")
         hit = found.groupBy("k", "size").agg(F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
         cut = stored(_cut_rows(hit, limit), "cut")
         if cut.isEmpty():
@@ -265,16 +335,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_cove
         else:
             later = cut.select("k", "size", F.col("new").alias("later"))
             done = stored(done.join(later, ["k", "size"], "left").select("k", "size", F.coalesce("later", "new").alias("new")), "done")
-        now, limit = cut.where("new is not null").select("k", "size", F.col("new").alias("text")), None
+        now, limit = cut.where("new is not null").select("k", "size", F.col("new").alias("text")), None  # a text is in it once
     if done is None:
         return docs
-    changed = done.select(F.col("k").alias("__k"), F.col("size").alias("__size"), F.col("new").alias("__new"), F.lit(True).alias("__hit"))
-    rows = docs.withColumns({"__own": same[0], "__octets": same[1]})
-    rows = rows.join(changed, (F.col("__own") == F.col("__k")) & (F.col("__octets") == F.col("__size")), "left").where("__hit is null or __new is not null")
-    made = {"text": F.coalesce("__new", "text")}
+    # The columns of docs travel in one struct, so that no name of theirs meets one of these.
+    rows = docs.select(*same_text(), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    changed = stored(done.join(copies, ["k", "size"]).withColumn("hit", F.lit(True)), "changed")
+    rows = spread_join(rows, changed, ["k", "size"], "left").where("hit is null or new is not null")
+    old = lambda c: F.col("row").getField(c)
+    made = {"text": F.coalesce("new", old("text"))}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.when(F.col("__hit"), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select([made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        made["n_chars"] = F.when(F.col("hit"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(old("n_chars"))
+    return rows.select([made.get(c, old(c)).alias(c) for c in docs.columns])
 
 
 def _cut_rows(hit: DataFrame, most_coverage: float | None) -> DataFrame:

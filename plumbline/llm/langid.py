@@ -8,7 +8,8 @@ the largest rest, in whole n-grams, wins.
 
 The filter is learnt from counts over a bounded sample of labelled rows (about `language_rows`
 of each language, by hash; all rows of a language with fewer) and is a broadcast of fixed size
-(m bytes a group of eight languages).
+(m bytes a group of eight languages; beyond `filter_bytes`, m is smaller, and more is taken off for false positives).
+It is made by Spark, a piece for each run of slots, and read by the driver in one job.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a text none of
 whose n-grams is known gets the most frequent language with score 1 / languages; ties go to
@@ -30,6 +31,9 @@ from pyspark.sql.types import StructType
 from plumbline.llm.text import mix, utf8
 
 SLOTS, PROBES, ORDERS, LANGUAGE_ROWS, LEAST = 1 << 22, 2, (3, 5), 5_000, 3
+LANGUAGE_BYTES, FILTER_BYTES, PIECE = 40_000_000, 1 << 26, 1 << 16
+#: Which of a byte's bits are set.
+_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 _LETTER = regex.compile(r"\p{L}")
 #: Letters lower-cased, all that separates words to a blank; UTF-8 tails stay.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -81,9 +85,8 @@ class Filter:
             found = self.bits[group][at[0]]
             for more in at[1:]:
                 found = found & self.bits[group][more]
-            each = np.bincount(found, minlength=256)
-            for i in range(8 * group, min(8 * group + 8, len(self.languages))):
-                out[i] = each[(np.arange(256) >> (i % 8) & 1) > 0].sum()
+            n = min(8, len(self.languages) - 8 * group)
+            out[8 * group : 8 * group + n] = (np.bincount(found, minlength=256) @ _BITS)[:n]
         return np.maximum(0, (out - self.false * len(codes)) / (1 - self.false))
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
@@ -96,16 +99,18 @@ class Filter:
         return self.languages[best], float(got[best] / got.sum())
 
 
-def fit(docs: DataFrame, language_rows: int = LANGUAGE_ROWS, least: int = LEAST, m: int = SLOTS, k: int = PROBES) -> Filter:
-    """From docs (doc_id, text, lang): the n-grams that each language's sample has `least` times."""
+def fit(docs: DataFrame, language_rows: int = LANGUAGE_ROWS, least: int = LEAST, m: int = SLOTS, k: int = PROBES, language_bytes: int = LANGUAGE_BYTES, filter_bytes: int = FILTER_BYTES) -> Filter:
+    """From docs (doc_id, text, lang): the n-grams that each language's sample, of about language_rows and at most about language_bytes, has `least` times."""
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    out = Filter(languages, m, k)
+    out = Filter(languages, min(m, max(PIECE, filter_bytes // max(1, -(-len(languages) // 8)))), k)
     if not languages:
         return out.close()
-    most = {x: int((1 << 30) * min(1.0, language_rows / sizes[x])) for x in languages}
-    below = F.element_at(F.create_map(*[F.lit(x) for pair in most.items() for x in pair]), F.col("lang"))
+    most = {r["lang"]: int((1 << 30) * min(1.0, language_rows / r["n"], language_bytes / max(1, r["bytes"]))) for r in found}
+    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
+    below = of(most)
     rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,15 +128,27 @@ def fit(docs: DataFrame, language_rows: int = LANGUAGE_ROWS, least: int = LEAST,
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
     each = rows.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # The sample bounds the n-grams; those with few counts are left out before they reach the driver.
-    each = each.where(F.col("n") >= least).persist()
-    try:
-        for i, lang in enumerate(languages):
-            codes = each.where(F.col("lang") == lang).select("code").toArrow().column("code")
-            out.add(i, codes.to_numpy().view(np.uint64))
-        return out.close()
-    finally:
-        each.unpersist()
+    each = each.where(F.col("n") >= least).select(of({x: i for i, x in enumerate(languages)}).alias("language"), "code")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            language = np.tile(batch.column("language").to_numpy(), k)
+            at = np.concatenate(slots(batch.column("code").to_numpy().view(np.uint64), out.m, k)) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((language // 8).astype(np.int32)), pa.array(at), pa.array((1 << language % 8).astype(np.int32))], names=["part", "slot", "bits"])
+
+    set_bits = each.mapInArrow(place, "part int, slot long, bits int").groupBy("part", "slot").agg(F.bit_or("bits").alias("bits"))
+
+    def piece(key: tuple, table: pa.Table) -> pa.Table:
+        part, n = (x.as_py() for x in key)
+        bits = np.zeros(PIECE, dtype=np.uint8)
+        bits[table.column("slot").to_numpy() - n * PIECE] = table.column("bits").to_numpy()
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    pieces = set_bits.withColumn("n", F.floor(F.col("slot") / PIECE)).groupBy("part", "n").applyInArrow(piece, "part int, n long, bits binary")
+    for part, n, bits in pieces.toLocalIterator():  # at most filter_bytes, or m for eight languages
+        own = out.bits[part, n * PIECE : (n + 1) * PIECE]
+        own[:] = np.frombuffer(bits, dtype=np.uint8)[: len(own)]
+    return out.close()
 
 
 def _merge(own: list) -> None:

@@ -156,7 +156,7 @@ def mixed(good: list[list[int]], bad: list[list[int]], rng: np.random.Generator)
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, passes: int = PASSES) -> Field:
     """From docs (doc_id, text) and labels (doc_id, quality), about as many documents of either quality.
 
-    One task learns from about `sample_rows` documents with `sample_bytes` of text at most.
+    One task learns from about `sample_rows` documents with `sample_bytes` of text at most.  Without any, all weights are 0 and every line is content.
     """
     texts = labelled_sample(docs, labels, sample_rows, sample_bytes, 9, balanced=True)
 
@@ -177,7 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
         yield pa.RecordBatch.from_arrays([pa.array([[*field.state.ravel(), *field.step.ravel()]], pa.list_(pa.float64()))], names=["w"])
 
     rows = texts.select("doc_id", "text", "y").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
-    w = np.array(rows.select("text", "y").mapInArrow(train, "w array<double>").first()[0])
+    made = rows.select("text", "y").mapInArrow(train, "w array<double>").first()
+    if made is None:  # a table without rows has no partition, and no task that learns
+        return Field()
+    w = np.array(made[0])
     return Field(w[: 2 * N_FEATURES].reshape(2, -1), w[2 * N_FEATURES :].reshape(2, 2))
 
 

@@ -92,8 +92,9 @@ def _node(s: np.ndarray, seed: int = 7) -> int:
 
 
 def row_key() -> Column:
-    """Tells rows apart by doc_id and text."""
-    return F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
+    """Tells rows apart by doc_id and text: each `-` if null, else its length, `:` and itself."""
+    parts = [F.col("doc_id").cast("string"), F.col("text")]
+    return F.unhex(F.md5(F.concat(*(F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in parts))))
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -250,9 +251,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, ba
 def deduplicate(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs without near duplicates: one row of each group stays, that with its smallest doc_id.
 
-    Rows that repeat both doc_id and text are one document, and one of them stays.
+    Rows that repeat both doc_id and text are one document, and the one whose other columns are least as JSON stays.
     """
     out = _groups(docs, percent, width, bands, rows)
     stay = out.where(F.col("first").isNull() | (F.col("row") == F.col("first.row"))).select(F.col("row").alias("key")).distinct()
-    wide = docs.select(row_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
-    return wide.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("all.*")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rank = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    wide = docs.select(row_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), rank.alias("rank"))
+    return wide.join(stay, "key", "left_semi").groupBy("key").agg(F.min_by("all", "rank").alias("all")).select([F.col("all").getField(c).alias(c) for c in docs.columns])

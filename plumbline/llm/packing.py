@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, buffer_ids: int = BUFF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer, base = encoder(tokenizer, folder), Packer(tiers, buffer_ids), TaskContext.get().partitionId() << 36
-        known: dict[int, list] = {}  # number: id, ids, ids not yet packed
+        known: dict[int, list] = {}  # number: id, ids from `first` on, first, ids not yet packed, ids of the document
         rows: list[tuple] = []
         made, dealt, n = 0, dict.fromkeys(packer.tiers, 0), 0
 
@@ -123,11 +123,11 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, buffer_ids: int = BUFF
                 at = 0
                 for number, start, length in pieces:
                     doc = known[number]
-                    part = doc[1][start : start + length]
-                    rows.append((doc[0], start, length, zlib.crc32(part), len(doc[1]), base + made, at, tier, dealt[tier]))
+                    part = doc[1][start - doc[2] : start - doc[2] + length]
+                    rows.append((doc[0], start, length, zlib.crc32(part), doc[4], base + made, at, tier, dealt[tier]))
                     at += length
-                    doc[2] -= length
-                    if not doc[2]:
+                    doc[3] -= length
+                    if not doc[3]:
                         del known[number]
                 dealt[tier] += 1
                 made += 1
@@ -142,9 +142,12 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, buffer_ids: int = BUFF
                 flat, sizes = coder.encode(batch.column("text"))
                 flat, end = flat.astype("<u4"), 0
                 for doc_id, size in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
-                    known[n] = [doc_id, flat[end : end + size].copy(), size]
-                    end += size
+                    known[n] = [doc_id, flat[end : end + size], 0, size, size]
                     place(packer.add(n, size))
+                    end += size
+                    if n in known:  # what waits for its window is the document's end, and only that is held
+                        left = known[n][3]
+                        known[n][1:3] = flat[end - left : end].copy(), size - left
                     n += 1
                 if rows:
                     yield flush()

@@ -173,6 +173,6 @@ def _with(docs: DataFrame, name: str, kind: str):
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **settings) -> DataFrame:
     """docs whose score is at least `least`."""
     weights = fit(docs, labels, **settings)
-    wide = docs.withColumn("__row", F.struct(*docs.columns)).select("text", "__row") if "score" in docs.columns else docs
-    out = score(wide, weights).where(F.col("score") >= least)
-    return out.select("__row.*") if "score" in docs.columns else out.drop("score")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    out = score(docs.select("text", whole), weights).where(F.col("score") >= least)
+    return out.select([F.col("row").getField(c).alias(c) for c in docs.columns])

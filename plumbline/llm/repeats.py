@@ -3,7 +3,8 @@
 A run of `window` words repeats only if the two runs of half as many words that make it up do.
 Lengths are halved down to `least`; at the first, runs are counted, and each later level
 hashes and counts only the runs whose halves both repeat, until the window's length is
-reached or nothing survives.  `longest` goes on doubling from there.
+reached or nothing survives.  `longest` goes on doubling from there.  `least` is not small, as
+most short runs of a large corpus repeat and would prune nothing: 35 words are 18 doubled.
 
 First level.  Of all runs of the first length only those are sent that have the least hash among
 the runs inside some window (all of them, if several have it).  Equal windows have their

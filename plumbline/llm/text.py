@@ -63,8 +63,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: i
     for r in kinds:
         rate = min(1.0, rows / parts / r["n"], most_bytes / parts / max(r["bytes"], 1))
         share = F.when(F.col("y") == r["y"], rate).otherwise(share) if balanced else F.lit(rate)
-    part = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
-    # About `rows` narrow rows: the broadcast's size is bounded whatever the labels' is.
+    part = sized.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "y").distinct()
+    # About `rows` narrow rows, as only labels of documents are among them: the broadcast is bounded whatever the size of labels.
     return docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("doc_id", "text", "y")
 
 

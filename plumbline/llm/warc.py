@@ -1,11 +1,12 @@
 """WARC archives from pages: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by page_id; a partition writes its records as gzip members and rolls
+Records are range-sorted by page_id, between bounds that follow from a sample by hash of the
+ids, so that runs over the same pages write the same files; a partition writes its records as gzip members and rolls
 to a new file when the compressed size of the current one reaches `roll_bytes`.  Headers and
 SHA-256 digests are made anew.  A file is written under a temporary name that names the attempt
 and renamed when it is whole; the partitions' rows of file names, sizes and digests form the
-manifest, written by Spark last.  Readers open what the manifest lists and nothing else, so
-that files of lost or repeated attempts do no harm.
+manifest, written by Spark last; then temporary files that dead attempts left are deleted.  Readers open what
+the manifest lists and nothing else, and hold a file against its size and digest there.
 
 Equal payloads of at least `least_bytes` are stored once: the one with the smallest page_id is
 a response, the others revisit it.  Digests are counted from (page_id, digest) rows; only
@@ -96,6 +97,22 @@ class Roller:
             self.n, self.out = self.n + 1, None
 
 
+def range_of(pages: DataFrame, parts: int, each: int = 100):
+    """The number, from 0, of a page's range: as many of the bounds as are at most its page_id; nulls are in the first.
+
+    Bounds are evenly spaced in about `each` ids a range, chosen by their hash: the same whenever the ids are the same.
+    """
+    ids = pages.where("page_id is not null").select("page_id")
+    share = min(1.0, each * parts / max(1, ids.count()))
+    sample = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("page_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect())
+    bounds = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+    if not bounds:
+        return F.lit(0)
+    known, steps = F.array(*map(F.lit, bounds)), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    fits = lambda low, s: (low + s <= len(bounds)) & (F.try_element_at(known, low + s) <= F.col("page_id"))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, s: F.when(fits(low, s), low + s).otherwise(low))
+
+
 MANIFEST = "file string, records long, bytes long, sha256 string"
 
 
@@ -109,7 +126,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_byt
     marks = revisits(pages, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to", "digest")
     # Marks sort before the page that they are about, and equal ids share a partition.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.unionByName(marks).repartitionByRange(n, "page_id").sortWithinPartitions(F.col("page_id"), F.col("html").isNotNull(), "url", "html")
+    ordered = rows.unionByName(marks).repartitionById(n, range_of(pages, n)).sortWithinPartitions(F.col("page_id"), F.col("html").isNotNull(), "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -130,6 +147,9 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_byt
 
     manifest = f"{folder}/manifest"
     ordered.mapInArrow(run, MANIFEST).write.parquet(manifest)
+    for left in fs.get_file_info(pafs.FileSelector(path)):
+        if left.base_name.startswith(".tmp-"):
+            fs.delete_file(left.path)
     return spark.read.parquet(manifest)
 
 
@@ -163,21 +183,35 @@ def records_of(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             yield head, body
 
 
+class Checked:
+    """A stream that counts and digests what is read from it."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.digest = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.digest.update(data)
+        return data
+
+
 READ = "page_id {id}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id}, html string"
 
 
 def read(spark: SparkSession, folder: str, id_type: str = "bigint", payloads: bool = False) -> DataFrame:
-    """Records of the archives that the folder's manifest lists; digests of stored payloads are checked."""
+    """Records of the archives that the folder's manifest lists; sizes and digests of files and of stored payloads are checked."""
     files = spark.read.parquet(f"{folder}/manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         number = lambda x: None if not x else int(x)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, size, whole in zip(*(batch.column(c).to_pylist() for c in ("file", "bytes", "sha256")), strict=True):
                 rows: list[tuple] = []
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
-                    for head, body in records_of(f):
+                    checked = Checked(f)
+                    for head, body in records_of(checked):
                         digest, kind = head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"]
                         if kind == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(head["X-Payload-Length"])):
                             raise ValueError(f"{name}: payload of {head['WARC-Record-ID']} differs from its digest")
@@ -185,10 +219,12 @@ def read(spark: SparkSession, folder: str, id_type: str = "bigint", payloads: bo
                         if len(rows) == 2000:
                             yield _rows(rows)
                             rows = []
+                if (checked.size, checked.digest.hexdigest()) != (size, whole):
+                    raise ValueError(f"{name} differs from its manifest")
                 if rows:
                     yield _rows(rows)
 
-    spread = files.select("file").repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000)), "file")
+    spread = files.select("file", "bytes", "sha256").repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000)), "file")
     return spread.mapInArrow(run, READ.format(id=id_type))
 
 

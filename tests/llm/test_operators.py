@@ -7,8 +7,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, grammar, langid, lines, neardup, packing, pii, quality, urls, warc
+from plumbline.llm.text import labelled_sample
 from plumbline.llm.tokens import encoder
 
 DATA = "/root/testdata/sf0.001"
@@ -585,3 +587,85 @@ def test_pipeline(spark):
         assert not pii.brute_force(r["text"]) and r["n_chars"] == len(r["text"])
         assert decontaminate.brute_force(r["text"], items)[1] == 0
     assert p.STAGES[-1][1](spark, docs, DATA).select("doc_id").distinct().count() == docs.count()
+
+
+CLASHING = "doc_id long, text string, k string, size string, n string, hit string, new string, row string, __hit string, __own string"
+
+
+def test_decontamination_of_several_blocks_with_clashing_names(spark):
+    bench = spark.createDataFrame([("1", "wort"), ("2", "other words"), ("3", None)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, t, *"abcdefgh") for i, t in ODD_TEXTS], CLASHING)
+    one, many = (sorted(map(str, decontaminate.decontaminate(docs, bench, block_bytes=b).collect())) for b in (1_000_000, 5))
+    assert one == many and len(one) == len(ODD_TEXTS) - 1
+    many = decontaminate.scan(docs, bench, block_bytes=5)
+    assert many.columns == ["doc_id", "text", "n_words", "hits", "items"] and many.where("size(hits) > 0").count() == 2
+    assert decontaminate.scan(docs.where("false"), bench, block_bytes=5).count() == 0
+    assert decontaminate.decontaminate(docs.where("false"), bench, block_bytes=5).columns == docs.columns
+
+
+ODD_TEXTS = [(1, None), (2, ""), (3, " "), (4, "a"), (4, "a"), (None, "null id"), (5, "wort " * 300), (6, "a b c other words " + "d " * 20)]
+
+
+def test_deduplicate_tells_ids_and_texts_apart(spark):
+    rows = [("a\nb", "c d e f g h"), ("a", "b\nc d e f g h i"), ("null", "x y z u v w q"), (None, "x1 y1 z1 u v w q"), ("null", None), ("null", ""), (None, None), (None, "")]
+    got = neardup.deduplicate(spark.createDataFrame([(*r, 1) for r in rows], "doc_id string, text string, row int"))
+    assert sorted(map(str, [tuple(r)[:2] for r in got.collect()])) == sorted(map(str, rows))
+    twice = spark.createDataFrame([("1", "p q r s t u", x) for x in "cab"], "doc_id string, text string, other string")
+    assert [r["other"] for r in neardup.deduplicate(twice).collect()] == ["a"]
+
+
+def test_empty_tables_of_files(spark, tmp_path):
+    """Parquet without rows has no partition: no task runs."""
+    documents, labels = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int"
+    tables = {"documents": documents, "labels": labels, "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string"}
+    for name, kind in tables.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    from plumbline.llm.queries import queries
+
+    for f in queries().values():
+        assert f(spark, str(tmp_path)).collect() == []
+    full, none = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], labels)
+    assert lines.judge(full, lines.fit(full, none)).count() == 1 and quality.keep_good(full, none).count() == 1
+
+
+def test_samples_hold_documents_labels_only(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = spark.range(30_000).select((F.col("id") % 15_000).alias("doc_id"), F.lit(1).alias("quality"))
+    got = labelled_sample(docs, labels, 8000, 1_000_000, 5)
+    assert got.count() == 50
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") >= 2  # what is broadcast are labels that met a document
+
+
+def test_packing_holds_only_what_waits(spark):
+    texts = ["word " * 30_000, "x", "é " * 5_000, None, "word " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = packing.pack(docs, buffer_ids=2048).collect()
+    own = library_tokenizer()
+    for i, t in enumerate(texts):
+        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        pieces = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in pieces) == len(ids) and all(r["doc_tokens"] == len(ids) for r in pieces)
+        assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in pieces)
+
+
+def test_language_of_many_languages(spark):
+    rng = random.Random(12)
+    words = {f"l{i:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(20)}
+    rows = [(k, " ".join(rng.choices(w, k=30)), x) for x, w in words.items() for k in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), filter_bytes=3 << 17)
+    assert model.bits.shape == (3, 1 << 17)
+    assert all(model.predict(" ".join(rng.choices(w, k=20)).encode())[0] == x for x, w in words.items())
+
+
+def test_warc_ranges_follow_from_the_ids(spark, tmp_path):
+    pages = spark.range(3000).select(F.when(F.col("id") > 3, F.col("id") * 7).alias("page_id"), F.lit("http://a/").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
+    part = pages.select("page_id", warc.range_of(pages, 8, 10).alias("part")).toPandas().sort_values("page_id", na_position="first")
+    assert part["part"].is_monotonic_increasing and part["part"].nunique() == 8 and (part["part"].value_counts() < 800).all()
+    one, two = (warc.write(x, f"file://{tmp_path}/{i}", roll_bytes=4000).collect() for i, x in enumerate((pages.repartition(7), pages.coalesce(1).orderBy(F.desc("page_id")))))
+    assert sorted(one) == sorted(two) and len(one) > 8
+    bad = f"{tmp_path}/0/{sorted(one)[0]['file']}"
+    with open(bad, "ab") as f:
+        f.write(warc.member(b""))
+    with pytest.raises(Exception, match="differs from its manifest"):
+        warc.read(spark, f"file://{tmp_path}/0").collect()
