@@ -38,6 +38,20 @@ def scope(known: dict[str, Column]) -> Iterator[None]:
         ROW.update(before)
 
 
+#: Whether the predicate that is built now stands by itself, so that it may be a Python function; inside a function of an array none can.
+_PLAIN = [False]
+
+
+@contextmanager
+def plainly(yes: bool = True) -> Iterator[None]:
+    """Predicates that are built inside are parts of a projection (or, with False, of a function of an array)."""
+    before, _PLAIN[0] = _PLAIN[0], yes
+    try:
+        yield
+    finally:
+        _PLAIN[0] = before
+
+
 #: Fixed alphabets by name.
 ALPHABETS = {
     "Letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
@@ -136,15 +150,15 @@ class OneOf(Constraint):
         self.options = list(options)
         if not self.options:
             raise ImpossibleToSatisfy("no option is left")
-        self.numeric = numeric
+        self.numeric, self.kind = numeric, None
         self.names = tuple(sorted({n for o in self.options if isinstance(o, Expression) for n in o.names}))
 
-    def bind(self, numeric: bool) -> "OneOf":
-        """Texts are expressions in numeric variables."""
+    def bind(self, numeric: bool, kind: str | None = None) -> "OneOf":
+        """Texts are expressions in numeric variables; kind is the type of options that are lists or tuples."""
         made = type(self).__new__(type(self))
         made.__dict__.update(self.__dict__)
         made.options = [Expression(o) if numeric and isinstance(o, str) else o for o in self.options]
-        made.numeric = numeric
+        made.numeric, made.kind = numeric, kind
         made.names = tuple(sorted({n for o in made.options if isinstance(o, Expression) for n in o.names}))
         return made
 
@@ -154,7 +168,7 @@ class OneOf(Constraint):
             return reduce(lambda a, b: a | b, near)
         plain = [o for o in self.options if not isinstance(o, (Real, Expression))]
         made = [o.column(ROW) for o in self.options if isinstance(o, Expression)] + [F.lit(o.floor()).cast("long") for o in self.options if isinstance(o, Real) and o.fraction.denominator == 1]
-        tests = ([_among(value, plain)] if plain else []) + [value == c for c in made]
+        tests = ([_among(value, plain, self.kind)] if plain else []) + [value == c for c in made]
         return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
     def violation(self, value: Column) -> Column:
@@ -164,10 +178,10 @@ class OneOf(Constraint):
         return "one of {" + ", ".join(map(str, self.options)) + "}"
 
 
-def _among(value: Column, options: list) -> Column:
+def _among(value: Column, options: list, kind: str | None) -> Column:
     if all(isinstance(o, (int, float, str)) for o in options):
         return value.isin(options)
-    return reduce(lambda a, b: a | b, (value == literal(o) for o in options))
+    return reduce(lambda a, b: a | b, (value == (literal(o).cast(kind) if kind else literal(o)) for o in options))
 
 
 def literal(x) -> Column:
@@ -246,7 +260,7 @@ class Custom(Constraint):
         self.given = tuple(names)
 
     def holds(self, value: Column) -> Column:
-        return self.check(value, *(ROW.get(n, F.col(f"`{n}`")) for n in self.given))
+        return self.check(value, *(ROW[n] if n in ROW else F.col(f"`{n}`") for n in self.given))
 
     def violation(self, value: Column) -> Column:
         return broken(~self.holds(value), self.name, value, self.name)
@@ -318,10 +332,12 @@ class DistinctCharacters(Constraint):
 
 
 def _pair(items: Column) -> Column:
-    """indices i and j of the first element that equals an earlier one."""
-    seen = F.transform(items, lambda x, j: F.array_position(items, x) - 1)
-    j = F.array_position(F.transform(seen, lambda i, j: i < j), F.lit(True)) - 1
-    return F.concat(F.lit("indices "), F.element_at(seen, F.greatest(j + 1, F.lit(1)).cast("int")).cast("string"), F.lit(" and "), j.cast("string"))
+    """indices i and j of the first element that equals an earlier one: among neighbours once they are sorted."""
+    ordered = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    later = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
+    twice = F.zip_with(F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), later, lambda a, b: F.when(a["x"].eqNullSafe(b["x"]), F.struct(b["i"].alias("j"), a["i"].alias("i"))))
+    first = F.array_min(F.array_compact(twice))
+    return F.concat(F.lit("indices "), first["i"].cast("string"), F.lit(" and "), first["j"].cast("string"))
 
 
 class SimplePattern(Constraint):
@@ -346,11 +362,13 @@ class Elements(Constraint):
         self.spec, self.names = spec, spec.names
 
     def violation(self, value: Column) -> Column:
-        each = F.transform(value, lambda x, i: _nested(self.spec.violation(x), F.concat(F.lit("index "), i.cast("string"))))
-        return F.try_element_at(F.filter(each, lambda v: v.isNotNull()), F.lit(1))
+        with plainly(False):
+            each = F.transform(value, lambda x, i: _nested(self.spec.violation(x), F.concat(F.lit("index "), i.cast("string"))))
+            return F.try_element_at(F.filter(each, lambda v: v.isNotNull()), F.lit(1))
 
     def holds(self, value: Column) -> Column:
-        return F.forall(value, lambda x: self.spec.violation(x).isNull())
+        with plainly(False):
+            return F.forall(value, lambda x: self.spec.violation(x).isNull())
 
     def __str__(self) -> str:
         return f"elements: {self.spec}"
@@ -418,6 +436,22 @@ class NumEdges(_Count):
         return _nested(self.inner.violation(F.size(value["edges"]).cast("long")), F.lit("number of edges"))
 
 
+class EdgeNodes(Constraint):
+    """Edges join nodes 0 ... num_nodes - 1.  Every graph has this one."""
+
+    def violation(self, value: Column) -> Column:
+        n = value["num_nodes"]
+        good = lambda e: F.coalesce((F.least(e["u"], e["v"]) >= 0) & (F.greatest(e["u"], e["v"]) < n) & e["u"].isNotNull() & e["v"].isNotNull(), F.lit(False))
+        at = F.array_position(F.transform(value["edges"], good), F.lit(False)) - 1
+        edge = F.try_element_at(value["edges"], (F.greatest(at, F.lit(0)) + 1).cast("int"))
+        shown = F.concat_ws(" ", edge["u"].cast("string"), edge["v"].cast("string"))
+        return broken(at >= 0, "EdgeNodes", shown, F.concat(F.lit("nodes below "), n.cast("string")), F.concat(F.lit("edge "), at.cast("string")))
+
+    def holds(self, value: Column) -> Column:
+        n = value["num_nodes"]
+        return F.forall(value["edges"], lambda e: F.coalesce((F.least(e["u"], e["v"]) >= 0) & (F.greatest(e["u"], e["v"]) < n) & e["u"].isNotNull() & e["v"].isNotNull(), F.lit(False)))
+
+
 class Loopless(Constraint):
     def violation(self, value: Column) -> Column:
         loops = F.filter(value["edges"], lambda e: e["u"] == e["v"])
@@ -427,7 +461,8 @@ class Loopless(Constraint):
 
 class NoParallelEdges(Constraint):
     def violation(self, value: Column) -> Column:
-        pairs = F.transform(value["edges"], lambda e: F.struct(F.least(e["u"], e["v"]).alias("a"), F.greatest(e["u"], e["v"]).alias("b")))
+        # Texts, as arrays of structs are compared pair by pair, and texts by their hashes.
+        pairs = F.transform(value["edges"], lambda e: F.concat_ws(" ", F.least(e["u"], e["v"]).cast("string"), F.greatest(e["u"], e["v"]).cast("string")))
         return broken(F.size(F.array_distinct(pairs)) != F.size(pairs), "NoParallelEdges", F.lit(None), "no parallel edges", "", _pair(pairs))
 
 
@@ -437,13 +472,17 @@ class SimpleGraph(Constraint):
 
 
 class Connected(Constraint):
-    """For graphs held in a row: labels of nodes are merged along the edges, n - 1 times at most.
+    """For graphs held in a row.  No nodes are not connected, one is.  Graphs held as edge tables: operators.graphs.
 
-    No nodes are not connected, one is.  Graphs held as edge tables: operators.graphs.
+    By disjoint sets over Arrow lists, in nearly linear time.  Inside a function of an array, where Python cannot be called, labels of
+    nodes are merged along the edges, n - 1 times at most.
     """
 
     def violation(self, value: Column) -> Column:
         n = value["num_nodes"]
+        if _PLAIN[0]:
+            ends = [F.transform(value["edges"], _end(x)) for x in ("u", "v")]
+            return broken(~connected_rows(n, *ends), "Connected", F.lit(None), "connected")
         start = F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
         def merge(labels: Column, e: Column) -> Column:
@@ -454,6 +493,21 @@ class Connected(Constraint):
         return broken((n < 1) | (F.size(F.array_distinct(labels)) > 1), "Connected", F.lit(None), "connected")
 
 
+def _end(x: str) -> Callable[[Column], Column]:
+    return lambda e: e[x]
+
+
+def connected_rows(n: Column, u: Column, v: Column) -> Column:
+    """Whether the edges (u[i], v[i]) connect nodes 0 ... n - 1; NULL where one is NULL.  Edges of other nodes join nothing."""
+    from plumbline.operators.disjoint import connected
+
+    @F.arrow_udf("boolean")
+    def run(n, u, v):
+        return connected(n, u, v)
+
+    return run(n, u, v)
+
+
 class EdgeLabels(Constraint):
     def __init__(self, spec):
         self.spec, self.names = spec, spec.names

@@ -34,7 +34,7 @@ class Spec:
         if not isinstance(c, (*self.accepts, C.Custom, C.OneOf)):
             raise TypeMismatch(f"{type(self).__name__} does not take {type(c).__name__}")
         if isinstance(c, C.OneOf):
-            c = c.bind(self.numeric)
+            c = c.bind(self.numeric, self.dtype if isinstance(self, (Array, Tuple)) else None)
         c.real = self.real
         return c
 
@@ -101,7 +101,13 @@ class Spec:
         def step(found: Column, attempt: Column) -> Column:
             return F.coalesce(found, F.element_at(F.transform(F.array(draw(attempt)), lambda v: F.when(self.holds(v), v)), 1))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(None).cast(self.dtype), step)
+        def block(first: int, end: int) -> Column:
+            return F.aggregate(F.sequence(F.lit(first), F.lit(end - 1)), F.lit(None).cast(self.dtype), step)
+
+        # A step is called even where a value is found: so in blocks, and later ones only where none is.
+        ends = [0, *(x for x in (8, 64) if x < most), most]
+        with C.plainly(False):
+            return F.coalesce(*(block(a, b) for a, b in zip(ends, ends[1:], strict=False)))
 
     def edge_cases(self) -> list["Spec"]:
         return []
@@ -123,7 +129,8 @@ class Spec:
         lists = [c for c in self.constraints if isinstance(c, C.OneOf) and c.names]
         rest = [c for c in self.constraints if c not in fixed] if options is not None else [c for c in self.constraints if c is not lists[0]]
         made = made.cast(f"array<{self.dtype}>")
-        fits = F.filter(made, lambda o: reduce(lambda a, b: a & b, (c.holds(o) for c in rest), F.lit(True)) & also(o))
+        with C.plainly(False):
+            fits = F.filter(made, lambda o: reduce(lambda a, b: a & b, (c.holds(o) for c in rest), F.lit(True)) & also(o))
         return draw.element(fits, *keys)
 
 
@@ -191,11 +198,17 @@ class Integer(_Number):
         low = F.lit(LOW).cast("long") if low is None else low
         high = F.lit(HIGH).cast("long") if high is None else high
         low, high = low if least is None else F.greatest(low, least), high if most is None else F.least(high, most)
-        if self.size() != "any":
-            low, high = size_range(low, high, self.size())
+        first_of = lambda x: x
         if mods:
             m = mods[-1].modulus.column(C.ROW)
-            first = F.try_add(low, F.pmod(F.pmod(mods[-1].remainder.column(C.ROW), m) - F.pmod(low, m), m))
+            first_of = lambda x: F.try_add(x, F.pmod(F.pmod(mods[-1].remainder.column(C.ROW), m) - F.pmod(x, m), m))
+        if self.size() != "any":
+            # A size is a wish: where it holds no value, the whole range does.
+            a, b = size_range(low, high, self.size())
+            inside = F.coalesce(first_of(a) <= b, F.lit(False))
+            low, high = F.when(inside, a).otherwise(low), F.when(inside, b).otherwise(high)
+        if mods:
+            first = first_of(low)
             if narrow:
                 return F.when(first <= high, first + m * draw.integer(F.lit(0).cast("long"), F.call_function("div", high - first, m), *keys))
             large = lambda c: c.cast("decimal(20,0)")
@@ -293,6 +306,18 @@ class Real(_Number):
             raise GenerationError(f"no bounds: {self}", retryable=False)
         return draw.real(low, high, *keys)
 
+    def unique(self, known: dict | None = None):
+        """Also the only value between bounds that meet."""
+        found = super().unique(known)
+        if found is not None:
+            return found
+        try:
+            low = max((b.low.at_least() if isinstance(b.low, Exact) else float(b.low.value(known))) for b in self.find(C._Bounds) if b.low is not None)
+            high = min((b.high.at_most() if isinstance(b.high, Exact) else float(b.high.value(known))) for b in self.find(C._Bounds) if b.high is not None)
+        except (PlumblineError, ValueError):  # a variable is not known, or there is no bound
+            return None
+        return low if low == high else None
+
 
 class String(Spec):
     dtype = "string"
@@ -379,25 +404,26 @@ class Array(Spec):
                 out = F.reverse(F.array_sort(out)) if c.descending else F.array_sort(out)
             else:
                 out = F.array_sort(out, c.compared)
-        return F.when(n.isNotNull() & ~F.exists(out, lambda x: x.isNull()), out)
+        return draw.let(out, lambda o: F.when(n.isNotNull() & ~F.exists(o, lambda x: x.isNull()), o))
 
     def aims(self) -> bool:
         return super().aims() and len(self.find(C.Sorted)) < 2
 
     def _distinct(self, element: Spec, n: Column, keys: tuple) -> Column:
-        """Different values, or NULL.  Of an integer range with few more values than places, a shuffled part; else the first n different draws."""
-        # n H(n) + 14 n draws leave a place empty with a probability of less than 1 %, even if there are no more values than places.
-        budget = (n * (F.log(n.cast("double") + 1) + 15)).cast("long")
-        drawn = F.array_distinct(F.transform(draw.numbered(budget), lambda i: element.sound(*keys, "elem", i)))
-        out = F.element_at(F.transform(F.array(drawn), lambda d: F.when(F.size(d) >= n, F.slice(d, F.lit(1), n.cast("int")))), 1)
-        if isinstance(element, Integer) and not element.find(C.Mod) and not element.find(C.OneOf) and element.aims():
+        """Different values, or NULL.  Of an integer range, places of a keyed permutation; else the first n different draws."""
+        if isinstance(element, Integer) and not element.find(C.Mod) and not element.find(C.OneOf) and element.aims() and element.size() == "any":
             low, high = element.limits()
             if low is not None and high is not None:
                 count = F.try_add(F.try_subtract(high, low), F.lit(1).cast("long"))
-                # Fewer than 16 values a place: the range itself is not much longer than the result.
-                few = F.when(n <= count, draw.distinct_integers(count, n, low, *keys, "elem"))
-                out = F.when(count < 16 * F.greatest(n, F.lit(1)), few).otherwise(out)
-        return out
+                # A range of more than 2^62 values has no number for each; draws differ there.
+                return F.when(n.isNotNull(), draw.let(count, lambda c: F.coalesce(F.when(c <= 1 << 62, draw.distinct_integers(c, n, low, *keys, "elem")), F.when(F.coalesce(c > 1 << 62, F.lit(True)), self._first_different(element, n, keys)))))
+        return self._first_different(element, n, keys)
+
+    def _first_different(self, element: Spec, n: Column, keys: tuple) -> Column:
+        # n H(n) + 14 n draws leave a place empty with a probability of less than 1 %, even if there are no more values than places.
+        budget = (n * (F.log(n.cast("double") + 1) + 15)).cast("long")
+        drawn = F.array_distinct(F.transform(draw.numbered(budget), lambda i: element.sound(*keys, "elem", i)))
+        return draw.let(drawn, lambda d: F.when(F.size(d) >= n, F.slice(d, F.lit(1), n.cast("int"))))
 
     def edge_cases(self) -> list["Array"]:
         length = self.length()
@@ -455,6 +481,8 @@ class Variant(Tuple):
         return "struct<tag:int," + ",".join(f"_{i}:{'int' if isinstance(p, Nothing) else p.dtype}" for i, p in enumerate(self.parts)) + ">"
 
     def generate(self, *keys) -> Column:
+        if self.find(C.OneOf):
+            return self._choice(keys)
         tag = (draw.draw(*keys, "tag") % len(self.parts)).cast("int")
         made = [F.lit(None).cast("int") if isinstance(p, Nothing) else F.when(tag == i, self._part(i).sound(*keys, f"<{i}>")) for i, p in enumerate(self.parts)]
         full = reduce(lambda a, b: a | b, ((tag == i) & (F.lit(True) if isinstance(p, Nothing) else made[i].isNotNull()) for i, p in enumerate(self.parts)))
@@ -464,11 +492,11 @@ class Variant(Tuple):
 class Graph(Spec):
     """Undirected, as struct(num_nodes, edges array<struct(u, v[, label])>[, node_labels]); nodes are 0-based."""
 
-    accepts = (C.NumNodes, C.NumEdges, C.SizeCategory, C.Connected, C.Loopless, C.NoParallelEdges, C.SimpleGraph, C.EdgeLabels, C.NodeLabels)
+    accepts = (C.EdgeNodes, C.NumNodes, C.NumEdges, C.SizeCategory, C.Connected, C.Loopless, C.NoParallelEdges, C.SimpleGraph, C.EdgeLabels, C.NodeLabels)
 
     def __init__(self, *constraints, edge_label: Spec | None = None, node_label: Spec | None = None, one_based: bool = False):
         self.edge_label, self.node_label, self.one_based = edge_label, node_label, one_based
-        super().__init__(*constraints)
+        super().__init__(C.EdgeNodes(), *constraints)
 
     @property
     def dtype(self) -> str:
@@ -487,35 +515,45 @@ class Graph(Spec):
         loops = not self.find((C.Loopless, C.SimpleGraph))
         parallel = not self.find((C.NoParallelEdges, C.SimpleGraph))
         connected = bool(self.find(C.Connected))
-        n = nodes.within(F.lit(1).cast("long") if connected else None, None, *keys, "num_nodes")
         zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-        # Pairs of different nodes, and the loops.
-        most = F.call_function("div", n * (n + 1 if loops else n - 1), F.lit(2).cast("long"))
+
+        def with_nodes(n: Column) -> Column:
+            # Pairs of different nodes, and the loops.
+            most = F.call_function("div", n * (n + 1 if loops else n - 1), F.lit(2).cast("long"))
+            top = F.when((n > 0) if loops else (n > 1), F.lit(HIGH).cast("long")).otherwise(zero) if parallel else most
+            m = edges.within(F.greatest(n - 1, zero) if connected else None, top, *keys, "num_edges")
+            return draw.let(m, lambda m: F.when(m.isNotNull(), self._of(n, m, most, loops, parallel, connected, keys)))
+
         if edges.limits()[1] is None and not edges.find(C.OneOf) and parallel:
             raise GenerationError("the number of edges has no upper bound", retryable=False)
-        top = F.when((n > 0) if loops else (n > 1), F.lit(HIGH).cast("long")).otherwise(zero) if parallel else most
-        m = edges.within(F.greatest(n - 1, zero) if connected else None, top, *keys, "num_edges")
+        return draw.let(nodes.within(one if connected else None, None, *keys, "num_nodes"), with_nodes)
+
+    def _of(self, n: Column, m: Column, most: Column, loops: bool, parallel: bool, connected: bool, keys: tuple) -> Column:
+        """A graph of n nodes and m edges, of `most` possible pairs."""
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
         edge = lambda u, v: F.struct(u.cast("long").alias("u"), v.cast("long").alias("v"))
         none = F.expr("cast(array() as array<struct<u:bigint,v:bigint>>)")
-        tree = F.transform(draw.numbered(F.greatest(n - 1, zero)), lambda i: edge(draw.draw(*keys, "tree", i) % (i + 1), i + 1)) if connected else none
+        parent = lambda i: draw.draw(*keys, "tree", i) % (i + 1)
+        tree = F.transform(draw.numbered(F.greatest(n - 1, zero)), lambda i: edge(parent(i), i + 1)) if connected else none
         rest = F.greatest(m - (F.greatest(n - 1, zero) if connected else zero), zero)
+        if parallel:
 
-        def far(i: Column) -> Column:
-            u, w = draw.draw(*keys, "u", i) % F.greatest(n, one), draw.draw(*keys, "v", i)
-            return edge(u, w % F.greatest(n, one) if loops else F.pmod(u + 1 + w % F.greatest(n - 1, one), F.greatest(n, one)))
+            def far(i: Column) -> Column:
+                u, w = draw.draw(*keys, "u", i) % F.greatest(n, one), draw.draw(*keys, "v", i)
+                return edge(u, w % F.greatest(n, one) if loops else F.pmod(u + 1 + w % F.greatest(n - 1, one), F.greatest(n, one)))
 
-        if parallel:
             out = F.concat(tree, F.transform(draw.numbered(rest), far))
         else:
-            ordered = lambda e: edge(F.least(e["u"], e["v"]), F.greatest(e["u"], e["v"]))
-            # Many of all pairs: those, by number, in a scrambled order.  Few: random pairs until enough differ.
-            pairs = F.flatten(F.transform(draw.numbered(n), lambda u: F.transform(draw.numbered(u + 1 if loops else u), lambda v: edge(v, u))))
-            dense = draw.shuffled(F.array_except(pairs, tree), *keys, "edges")
-            sparse = F.array_except(F.transform(draw.numbered(4 * m + 64), lambda i: ordered(far(i))), tree)
-            free = F.when(most <= 8 * m + 64, dense).otherwise(sparse)
-            out = F.concat(tree, F.slice(free, F.lit(1), rest.cast("int")))
-        out = F.when(m.isNotNull(), out)
+            # Pairs are numbers, loops follow them: all of few, shuffled, or as many places of a permutation as are needed.
+            pairs = F.call_function("div", n * (n - 1), F.lit(2).cast("long"))
+            few = draw.shuffled(F.transform(draw.numbered(F.least(most, F.lit(draw.FEW).cast("long"))), lambda i: i), *keys, "edges")
+            many = F.transform(draw.numbered(m), lambda i: draw.permuted(most, i, *keys, "edges"))
+            chosen = F.when(most <= draw.FEW, few).otherwise(many)
+            if connected:
+                chosen = F.array_except(chosen, F.transform(draw.numbered(F.greatest(n - 1, zero)), lambda i: draw.pair_number(parent(i), i + 1)))
+            place = lambda p: F.when(p < pairs, draw.pair(p)).otherwise(edge(p - pairs, p - pairs)) if loops else draw.pair(p)
+            out = F.concat(tree, F.transform(F.slice(chosen, F.lit(1), rest.cast("int")), place))
         if self.edge_label:
             out = F.transform(out, lambda e, i: F.struct(e["u"].alias("u"), e["v"].alias("v"), self.edge_label.sound(*keys, "edge_label", i).alias("label")))
         extra = [F.transform(draw.numbered(n), lambda i: self.node_label.sound(*keys, "node_label", i)).alias("node_labels")] if self.node_label else []
-        return F.when(m.isNotNull(), F.struct(n.alias("num_nodes"), out.alias("edges"), *extra))
+        return F.struct(n.alias("num_nodes"), out.alias("edges"), *extra)

@@ -12,7 +12,7 @@ from plumbline.functions.expr import Expression
 from plumbline.functions.real import Real as Exact
 from plumbline.operators import graphs
 from plumbline.operators.constraints import (
-    Alphabet, AtLeast, AtMost, Between, Custom, DistinctCharacters, DistinctElements, Element, Elements, Exactly, Length, Mod, NumEdges, NumNodes, OneOf, SimpleGraph, SimplePattern, Sorted, literal,
+    Alphabet, AtLeast, AtMost, Between, Connected, Custom, DistinctCharacters, DistinctElements, Element, Elements, Exactly, Length, Mod, NumEdges, NumNodes, OneOf, SimpleGraph, SimplePattern, SizeCategory, Sorted, literal,
 )
 from plumbline.operators.coverage import covering_array
 from plumbline.operators.specs import Array, Graph, Integer, Real, String, Tuple, Variant, size_range
@@ -394,6 +394,157 @@ def gen_permutation(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(p, lambda x: x.cast("string")), " ").alias("p"))
 
 
+@register(f"""with t as (select o_orderkey, 1 + {_draw_sql(_keys('N'))} % 10 as N0 from orders),
+u as (select *, case when N0 >= 8 then 8 + {_draw_sql(_keys('X'))} % greatest(N0 - 7, 1) end as X0 from t),
+v as (select o_orderkey, N0, X0, list_transform(range(1, 101), lambda a: 1 + {_draw_sql(_keys('N', attempt="case ' || a || '"))} % 10) as Ns from u),
+w as (select *, coalesce(list_position(list_transform(Ns, lambda x: x >= 8), true), 0) as a from v)
+select o_orderkey as "call", coalesce(case when X0 is not null then N0 end, Ns[a]) as N, coalesce(X0, 8 + {_draw_sql("'" + SEED + "|random|' || o_orderkey || '|X|case ' || a")} % greatest(Ns[a] - 7, 1)) as X from w""")
+def generate_tied(spark, sf_dir):
+    """Variables that read one another, drawn again together where the second has no value: one case for each order, by Problem.generate."""
+    p = Problem({"N": Integer(Between(1, 10)), "X": Integer(Between(8, "N"))}, seed=SEED)
+    return p.generate(spark, over=table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"))).select("call", "N", "X")
+
+
+@register(f"""select o_orderkey as "call", o_custkey % 50 + 1 as N, coalesce(case when o_orderkey % 3 <> 0 then (o_custkey % 50 + 1) * 2 end, o_custkey % 50 + 1 + {_draw_sql(_keys('X'))} % (2 * (o_custkey % 50 + 1) + 1)) as X from orders""")
+def generate_missing(spark, sf_dir):
+    """Known values stay, and unset ones are drawn with them in scope."""
+    p = Problem({"N": Integer(Between(1, 50)), "X": Integer(Between("N", "3 * N"))}, seed=SEED)
+    n = F.col("o_custkey") % 50 + 1
+    over = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), n.alias("N"), F.when(F.col("o_orderkey") % 3 != 0, n * 2).alias("X"))
+    return p.generate(spark, over=over).select("call", "N", "X")
+
+
+@register(f"""select o_orderkey as "call", 500 + 1000 * ({_draw_sql(_keys('W'))} % 1000) as W, 3 + 7 * ({_draw_sql(_keys('Y'))} % 43) as Y from orders""")
+def gen_sized_mod(spark, sf_dir):
+    """Sizes with a remainder: tiny of a million holds no 500 (mod 1000), so the whole range is drawn from; small holds 3 (mod 7)."""
+    p = Problem({"W": Integer(Between(1, 10**6), SizeCategory("tiny"), Mod(500, 1000)), "Y": Integer(Between(1, 10**6), SizeCategory("small"), Mod(3, 7))}, seed=SEED)
+    return p.generate(spark, over=table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"))).select("call", "W", "Y")
+
+
+def _feistel_sql(x: str, n: str, a: str, b: str, key: str) -> str:
+    """One pass of the keyed permutation over a * b places."""
+    l, r = f"({x}) // {b}", f"({x}) % {b}"  # noqa: E741
+    for i in range(draw.ROUNDS):
+        if i % 2:
+            r = f"(({r}) + {_draw_sql(key + f" || '|round|{i}|' || ({l})")} % {b}) % {b}"
+        else:
+            l = f"(({l}) + {_draw_sql(key + f" || '|round|{i}|' || ({r})")} % {a}) % {a}"  # noqa: E741
+    return f"({l}) * {b} + ({r})"
+
+
+_PLACES = _keys("D") + " || '|elem'"
+
+
+@register(f"""with n as (select o_orderkey, 1000 + o_custkey as n from orders), s as (select *, ceil(sqrt(n))::bigint as a from n), t as (select *, (n + a - 1) // a as b from s),
+w as (select o_orderkey, n, a, b, i, i as x, 0 as t from t, unnest(range(6)) as z(i)), 
+p1 as (select *, {_feistel_sql('x', 'n', 'a', 'b', _PLACES)} as y1 from w), p2 as (select *, case when y1 < n then y1 else {_feistel_sql('y1', 'n', 'a', 'b', _PLACES)} end as y2 from p1),
+p3 as (select *, case when y2 < n then y2 else {_feistel_sql('y2', 'n', 'a', 'b', _PLACES)} end as y3 from p2), p4 as (select *, case when y3 < n then y3 else {_feistel_sql('y3', 'n', 'a', 'b', _PLACES)} end as y4 from p3)
+select o_orderkey as "call", string_agg((1 + y4)::varchar, ' ' order by i) as D from p4 group by 1""")
+def gen_distinct(spark, sf_dir):
+    """Six different values of 1 ... 1000 + M for each order, as places of a keyed permutation."""
+    p = Problem({"D": Array(Integer(Between(1, "M + 1000")), Length(6), DistinctElements()), "M": Integer()}, seed=SEED)
+    over = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("M"))
+    return p.generate(spark, over=over).select("call", F.array_join(F.transform("D", lambda x: x.cast("string")), " ").alias("D"))
+
+
+@register("""with recursive e as (select l_orderkey as graph, l_linenumber % 6 as u, l_suppkey % 6 as v from lineitem), b as (select graph, u, v from e union all select graph, v, u from e),
+r as (select distinct graph, 0 as node from e union select r.graph, b.v from r join b on b.graph = r.graph and b.u = r.node)
+select graph as l_orderkey, case when count(*) = 6 then 'connected' else 'not' end as shape from r group by 1""")
+def graph_connected_rows(spark, sf_dir):
+    """Graphs of six nodes held in rows, one for each order: connected or not, by disjoint sets over Arrow lists."""
+    ends = F.struct((F.col("l_linenumber") % 6).cast("long").alias("u"), (F.col("l_suppkey") % 6).alias("v"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.struct(F.lit(6).cast("long").alias("num_nodes"), F.collect_list(ends).alias("edges")).alias("G"))
+    bad = Problem({"G": Graph(Connected())}).violations(rows, ["l_orderkey"]).select("l_orderkey", F.lit("not").alias("shape"))
+    good = rows.select("l_orderkey").join(bad, "l_orderkey", "left_anti").select("l_orderkey", F.lit("connected").alias("shape"))
+    return good.unionByName(bad)
+
+
+_LABELLED = "select l_orderkey % 50 as graph, 'P' || l_partkey % 30 as a, 'S' || l_suppkey % 20 as b, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem"
+
+
+@register(f"""with e as ({_LABELLED}), s as (select graph, a as label, l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 as side from e union all select graph, b, l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 from e),
+f as (select graph, label, min((l_orderkey, l_linenumber, l_partkey, l_suppkey, side)) as first from s group by 1, 2),
+n as (select graph, label, row_number() over (partition by graph order by first, label) - 1 as node from f)
+select e.graph, x.node as u, y.node as v, count(*) as n from e join n x on x.graph = e.graph and x.label = a join n y on y.graph = e.graph and y.label = b group by all""")
+def read_labelled_edges(spark, sf_dir):
+    """Edges between labels, whose nodes are numbered in the order in which the labels are first seen."""
+    df = table(spark, sf_dir, "lineitem")
+    label = lambda t, c, m: F.concat(F.lit(t), (F.col(c) % m).cast("string"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    edges = df.select((F.col("l_orderkey") % 50).alias("graph"), label("P", "l_partkey", 30).alias("a"), label("S", "l_suppkey", 20).alias("b"), *order)
+    return graphs.by_first_sight(edges, order)[0].groupBy("graph", "u", "v").agg(F.count("*").alias("n"))
+
+
+@register("""with e as (select l_orderkey as graph, l_partkey % 5 as u, l_suppkey % 5 as v, max(l_quantity)::bigint as label from lineitem where l_partkey % 5 <= l_suppkey % 5 group by 1, 2, 3),
+b as (select graph, u, v, label from e union all select graph, v, u, label from e where u <> v), n as (select distinct graph, u as node from b)
+select n.graph, n.node, string_agg(coalesce(label::varchar, '-'), ' ' order by o.node) as line from n join n o on o.graph = n.graph left join b on b.graph = n.graph and b.u = n.node and b.v = o.node group by 1, 2""")
+def write_labelled_matrix(spark, sf_dir):
+    """The largest quantity of each pair of parts and suppliers of an order, as a matrix for each order."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), (F.col("l_partkey") % 5).alias("u"), (F.col("l_suppkey") % 5).alias("v"), "l_quantity").where("u <= v")
+    e = e.groupBy("graph", "u", "v").agg(F.max("l_quantity").cast("long").alias("label"))
+    nodes = e.select("graph", F.col("u").alias("node")).unionByName(e.select("graph", F.col("v").alias("node"))).distinct()
+    return graphs.labelled_matrix(nodes, e)
+
+
+_BADLY = [("l_linenumber", "l_linenumber < 2", "at least 2"), ("l_quantity", "l_quantity > 49", "at most 49"), ("l_suppkey", "l_suppkey < 0", "at least 0")]
+
+
+@register(" union all ".join(f"""select '{v}' as variable, count(*) as cases, count(*) filter ({bad}) as violations,
+'Case ' || min((l_orderkey, l_linenumber, l_partkey)) filter ({bad})[1] || ', ' || min((l_orderkey, l_linenumber, l_partkey)) filter ({bad})[2] || ', ' || min((l_orderkey, l_linenumber, l_partkey)) filter ({bad})[3] as first from lineitem""" for v, bad, _ in _BADLY))
+def validation_results(spark, sf_dir):
+    """Bad rows of lineitem, counted while it is written: the first of each variable, by key, is named."""
+    from plumbline.plans.results import watched
+
+    p = Problem({"l_quantity": Real(AtMost(49)), "l_linenumber": Integer(AtLeast(2)), "l_suppkey": Integer(AtLeast(0))})
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    # A key that is checked is a column of its own.
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k0"), F.col("l_linenumber").alias("k1"), F.col("l_partkey").alias("k2"), *p.variables)
+    rows, seen = watched(p, df, [f"k{i}" for i in range(len(keys))])
+    rows.write.parquet(graphs.shared_folder(spark, "watched"))
+    return seen.frame(spark).withColumn("first", F.regexp_extract("first", "^(Case [-0-9]+, [-0-9]+, [-0-9]+)", 1)).withColumn("first", F.when(F.col("first") != "", F.col("first")))
+
+
+_GRAPHS = """with e as (select l_orderkey as k, l_linenumber % 5 as u, l_suppkey % 7 as v from lineitem),
+g as (select k, count(*) as m, string_agg(u || '-' || v, ' ' order by u, v) as edges, max(greatest(u, v)) as most from e group by 1)"""
+
+
+@register(f"""{_GRAPHS} select k as K, m as M, case when most < 6 then edges end as edges, most >= 6 as failed from g""")
+def read_graphs(spark, sf_dir):
+    """Edge lists of all orders as sections of large files, read by many tasks; graphs with a node outside 0 ... 5 are errors."""
+    from plumbline.sources.layout import Layout, Line, Multiline, render
+    from plumbline.sources.sections import read_sections as read
+
+    layout = Layout((Line("K", "M"), Multiline("M", "G")))
+    p = Problem({"K": Integer(), "M": Integer(AtLeast(0)), "G": Graph(NumNodes(6), NumEdges("M"))}, input=layout)
+    ends = F.struct((F.col("l_linenumber") % 5).cast("long").alias("u"), (F.col("l_suppkey") % 7).alias("v"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("K")).agg(F.array_sort(F.collect_list(ends)).alias("edges"))
+    cases = rows.select("K", F.size("edges").cast("long").alias("M"), F.struct(F.lit(6).cast("long").alias("num_nodes"), "edges").alias("G"))
+    folder = graphs.shared_folder(spark, "graphs")
+    render(p, layout, cases, ["K"]).select(F.rtrim(F.col("text"), F.lit("\n"))).write.text(folder)
+    got = read(spark, folder, p, layout, strict=False).where("case > 0")
+    edges = F.array_join(F.transform("G.edges", lambda e: F.concat_ws("-", e["u"].cast("string"), e["v"].cast("string"))), " ")
+    failed = F.col("error").isNotNull()
+    return got.select("K", "M", F.when(~failed, edges).alias("edges"), failed.alias("failed"))
+
+
+@register("""with c as (select o_custkey, count(*) as N, string_agg(o_orderkey::varchar, ' ' order by o_orderkey) as A, string_agg((o_orderkey % 9)::varchar, ' ' order by o_orderkey) as B from orders group by 1)
+select o_custkey, N, A, B, N > 12 as failed from c""")
+def read_case_files(spark, sf_dir):
+    """A file for each customer with orders, written and read through the data source; more than 12 orders break a bound."""
+    from plumbline.sources.cases import load, save
+    from plumbline.sources.layout import Layout, Line, Multiline
+
+    layout = Layout((Line("N"), Line("A"), Multiline("N", "B")))
+    p = Problem({"N": Integer(Between(1, 12)), "A": Array(Integer(AtLeast(0)), Length("N"), Sorted()), "B": Array(Integer(Between(0, 8)), Length("N"))}, input=layout)
+    cases = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("call")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("A"))
+    cases = cases.select("call", F.size("A").cast("long").alias("N"), "A", F.transform("A", lambda x: x % 9).alias("B"))
+    folder = graphs.shared_folder(spark, "cases")
+    save(p, cases, folder, "customer_cases", "{call}")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    got = load(spark, p, folder, "customer_cases", strict=False)
+    return got.select(F.regexp_extract("file", r"([0-9]+)\.in$", 1).cast("long").alias("o_custkey"), "N", text("A"), text("B"), F.col("error").isNotNull().alias("failed"))
+
+
 _SMALL = "case when n <= 100 then floor(sqrt(n))::bigint when n <= 300 then 30 when n <= 5000 then 100 when n <= 5000000 then 300 else 2000 end"
 _MEDIUM = f"case when n <= 100 then least(greatest(n // 2, {_SMALL}), n) when n <= 300 then 100 when n <= 5000 then 500 when n <= 5000000 then 5000 else 1000000 end"
 

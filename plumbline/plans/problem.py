@@ -69,7 +69,14 @@ class Problem:
     # Validation
 
     def checks(self, columns: Sequence[str], style: str = "only_set_variables") -> list[Column]:
-        """For each variable in play, a struct (variable, path, ...) of its first violation, or NULL."""
+        """For each variable in play, a struct (variable, path, ...) of its first violation, or NULL.
+
+        Variables are the columns of their names, or those that the scope has for them.
+        """
+        with C.plainly():
+            return self._checks(columns, style)
+
+    def _checks(self, columns: Sequence[str], style: str) -> list[Column]:
         if style not in STYLES:
             raise ConfigurationError(f"unknown style {style}")
         out = []
@@ -81,24 +88,32 @@ class Problem:
                 if style in ("all_variables", "everything"):
                     out.append(lacks(n, "a value"))
                 continue
-            value = F.col(f"`{n}`")
+            value = _column(n)
             v = self.variables[n].violation(value)
             full = F.when(v.isNotNull(), F.struct(F.lit(n).alias("variable"), *(v[k].alias(k) for k in VIOLATIONS[1:])))
             missing = lacks(n, "a value") if style in ("all_variables", "everything") else F.lit(None)
             out.append(F.when(value.isNull(), missing).otherwise(full))
         if style in ("only_set_values", "everything"):
             for n in sorted(set(columns) - set(self.variables) - set(self.extra.get("keys", ()))):
-                out.append(F.when(F.col(f"`{n}`").isNotNull(), lacks(n, "no variable of this name")))
+                out.append(F.when(_column(n).isNotNull(), lacks(n, "no variable of this name")))
         return out
 
+    @staticmethod
+    def message(case: Column, bad: Column) -> Column:
+        """What is wrong with a case, from its first violation; NULL if there is none."""
+        text = F.concat(F.lit("Case "), case.cast("string"), F.lit(" invalid: `"), bad["variable"], F.lit("` "), bad["path"], F.lit(" is "), F.coalesce(bad["value"], F.lit("unset")), F.lit(", expected "), bad["expected"], F.lit(" "), bad["details"])
+        return F.when(bad.isNotNull(), F.rtrim(text))
+
     def violations(self, df: DataFrame, keys: Sequence[str], style: str = "only_set_variables") -> DataFrame:
         """One row for each row and variable that is broken: keys, variable, path, constraint, value, expected, details."""
-        checks = self.checks([c for c in df.columns if c not in keys], style)
+        safe, own = _safe(df)
+        with C.scope(own):
+            checks = self.checks([c for c in df.columns if c not in keys], style)
+        given = [own[k].alias(f"k{i}") for i, k in enumerate(keys)]
         if not checks:
-            kinds = "variable string, path string, constraint string, value string, expected string, details string"
-            return df.select(*keys).where("false").select(*keys, *(F.lit("").alias(k.split()[0]) for k in kinds.split(", ")))
-        found = df.select(*keys, F.explode(F.array_compact(F.array(*checks))).alias("v"))
-        return found.select(*keys, *(F.col(f"v.{k}").alias(k) for k in VIOLATIONS))
+            return safe.where("false").select(*(own[k].alias(k) for k in keys), *(F.lit("").alias(k) for k in VIOLATIONS))
+        found = safe.select(*given, F.explode(F.array_compact(F.array(*checks))).alias("v"))
+        return found.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), *(F.col("v").getField(k).alias(k) for k in VIOLATIONS))
 
     def summary(self, df: DataFrame, style: str = "only_set_variables") -> DataFrame:
         """Broken rows of each variable and constraint; partial counts are combined before the shuffle."""
@@ -107,14 +122,18 @@ class Problem:
     def valid(self, df: DataFrame) -> DataFrame:
         """The rows that break nothing, as a filter of plain predicates."""
         here = [n for n in sorted(self.variables) if n in df.columns]
-        tests = [F.col(f"`{n}`").isNull() | reduce(lambda a, b: a & b, (c.holds(F.col(f"`{n}`")) for c in self.variables[n].constraints), F.lit(True)) for n in here]
-        return df.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
+        safe, own = _safe(df)
+        with C.scope(own), C.plainly():
+            tests = [own[n].isNull() | reduce(lambda a, b: a & b, (c.holds(own[n]) for c in self.variables[n].constraints), F.lit(True)) for n in here]
+        return safe.where(reduce(lambda a, b: a & b, tests, F.lit(True))).toDF(*df.columns)
 
     def require_valid(self, df: DataFrame, keys: Sequence[str], style: str = "only_set_variables") -> DataFrame:
         """df, or a ValidationError with the first bad row in key order, or if there is no row."""
         if df.isEmpty():
             raise ValidationError("there are no cases")
-        own = df.select(*keys, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__all"), *(F.col(f"`{c}`") for c in df.columns if c not in keys))
+        safe, own = _safe(df)
+        whole = F.struct(*(own[c].alias(c) for c in df.columns)).alias("__all")
+        own = safe.select(*(own[c].alias(c) for c in df.columns), whole)
         bad = self.violations(own, [*keys, "__all"], style).orderBy(*keys, "variable").limit(1).collect()
         if bad:
             row = bad[0].asDict()
@@ -128,9 +147,14 @@ class Problem:
     def generate(
         self, spark: SparkSession, calls: int = 1, generator: str = "random", local: dict[str, Spec] | None = None, names: Sequence[str] | None = None,
         fixed: dict[str, Column] | None = None, seed: str | None = None, most_attempts: int = 1000, most_cases: int = 100, partitions: int | None = None,
+        over: DataFrame | None = None,
     ) -> DataFrame:
         """calls rows (gen, call, idx, variables) that satisfy all constraints; every row is checked at the end.
 
+        over is a table with a column `call`, of different integers, to make a row for each of its rows; those of its other
+        columns that are variables are values that are known, and where one is NULL it is drawn.
+        Columns have the variables' names, which may differ by case alone.
+
         A value is a function of seed, generator, call, variable and attempt: the same on any
         number of partitions.  Values that the generator cannot aim at (custom predicates, several
         remainders, patterns with a length) are drawn again inside the row, up to most_attempts
@@ -143,32 +167,46 @@ class Problem:
             raise ConfigurationError("a problem needs a seed to generate")
         own = self.merged(local or {})
         order, fixed = own.needed(names or sorted(own.variables)), fixed or {}
-        rows = spark.range(0, calls, 1, partitions).select(F.lit(generator).alias("gen"), F.col("id").alias("call"), F.lit(1).alias("idx"))
+        known: dict[str, Column] = {}
+        if over is None:
+            rows = spark.range(0, calls, 1, partitions).select(F.lit(generator).alias("gen"), F.col("id").alias("call"), F.lit(1).alias("idx"))
+        else:
+            safe, mine = _safe(over)
+            given = {n: mine[n].cast(own.variables[n].dtype).alias(f"__given{i}") for i, n in enumerate(order) if n in over.columns}
+            rows = safe.select(F.lit(generator).alias("gen"), mine["call"].cast("long").alias("call"), F.lit(1).alias("idx"), *given.values())
+            known = {n: F.col(f"__given{i}") for i, n in enumerate(order) if n in given}
+        # Columns by place where names clash, as Spark does not tell them by case.
+        plain = len({n.lower() for n in order} | {"gen", "call", "idx"}) == len(order) + 3
+        at = {n: n if plain else f"v{i}" for i, n in enumerate(order)}
+        columns = {n: F.col(f"`{c}`") for n, c in at.items()}
 
         def made(n: str, case: Column | None = None) -> Column:
+            if n in known:
+                return F.coalesce(known[n], drawn(n, case))
+            return fixed[n] if n in fixed else drawn(n, case)
+
+        def drawn(n: str, case: Column | None) -> Column:
             spec = own.variables[n]
             keys = F.lit(base), F.col("gen"), F.col("call"), F.lit(n)
-            if n in fixed:
-                return fixed[n]
             if (unique := spec.unique()) is not None:
                 return C.literal(unique)
             if spec.aims():
                 return spec.generate(*keys, F.lit(0) if case is None else case)
             return spec.retried(lambda a: spec.generate(*keys, *([] if case is None else [case]), a), most_attempts)
 
-        for n in order:
-            rows = rows.withColumn(n, made(n))
-            rows = rows.withColumn(n, F.when(own.variables[n].holds(F.col(f"`{n}`")), F.col(f"`{n}`")))
+        with C.scope(columns), C.plainly():
+            for n in order:
+                rows = rows.withColumn(at[n], made(n))
+                rows = rows.withColumn(at[n], F.when(own.variables[n].holds(columns[n]), columns[n]))
         for group in own._tied(order):
-            columns = [F.col(f"`{n}`") for n in group]
-            whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in columns))
-            kind = "struct<" + ",".join(f"`{n}`:{own.variables[n].dtype}" for n in group) + ">"
+            whole = reduce(lambda a, b: a & b, (columns[n].isNotNull() for n in group))
+            kind = "struct<" + ",".join(f"v{i}:{own.variables[n].dtype}" for i, n in enumerate(group)) + ">"
             step = lambda found, t: F.coalesce(found, own._case(group, lambda n: made(n, F.concat(F.lit("case "), t.cast("string"))), kind))  # noqa: B023, E731
             again = F.aggregate(F.sequence(F.lit(1), F.lit(most_cases)), F.lit(None).cast(kind), step)
-            rows = rows.withColumn("__case", F.when(whole, F.struct(*columns).cast(kind)).otherwise(again))
-            rows = rows.withColumns({n: F.col(f"__case.`{n}`") for n in group}).drop("__case")
+            rows = rows.withColumn("__case", F.when(whole, F.struct(*(columns[n] for n in group)).cast(kind)).otherwise(again))
+            rows = rows.withColumns({at[n]: F.col("__case").getField(f"v{i}") for i, n in enumerate(group)}).drop("__case")
         error = lambda n: F.raise_error(F.lit(f"no value for {n}: {own.variables[n]}")).cast(own.variables[n].dtype)
-        return rows.select("gen", "call", "idx", *(F.coalesce(F.col(f"`{n}`"), error(n)).alias(n) for n in order))
+        return rows.select("gen", "call", "idx", *(F.coalesce(columns[n], error(n)).alias(n) for n in order))
 
     def _tied(self, order: list[str]) -> list[list[str]]:
         """Variables of order that read one another, directly or through others, in groups of two at least."""
@@ -184,7 +222,7 @@ class Problem:
 
         def after(known: dict[str, Column]) -> Column:
             if len(known) == len(order):
-                return F.struct(*(known[n].alias(n) for n in order)).cast(kind)
+                return F.struct(*(known[n].alias(f"v{i}") for i, n in enumerate(order))).cast(kind)
             n = order[len(known)]
             with C.scope(known):
                 value = made(n)
@@ -221,6 +259,16 @@ class Problem:
         return out.select(*(F.col(f"`{n}`") for n in (names or sorted(self.variables))))
 
 
+def _column(n: str) -> Column:
+    return C.ROW[n] if n in C.ROW else F.col(f"`{n}`")
+
+
+def _safe(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """df with columns named by their places, and the column of each of its names: names may differ by case alone, or hold dots."""
+    safe = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return safe, {n: F.col(f"c{i}") for i, n in enumerate(df.columns)}
+
+
 def merge_outputs(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of both by key; where both have a column, the input's value wins if it is set.  A key that one side lacks is an error."""
     shared = [c for c in outputs.columns if c in inputs.columns and c not in keys]

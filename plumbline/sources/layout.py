@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,12 +170,8 @@ def _once(parts: tuple) -> str:
     return "".join(" ".join(t.text for t in p.tokens) + "\n" for p in parts)
 
 
-def write_cases(problem: Problem, cases: DataFrame, folder: str, pattern: str = "{gen}_{call}_{idx}") -> DataFrame:
-    """Writes a file for each case, .in and, where all output values are set, .ans; returns the names (file).
-
-    Files are written by the tasks that hold the cases, once, each attempt through a temporary name of
-    its own; folder must be seen by all executors.  The names are kept beside them, in _names.
-    """
+def rendered(problem: Problem, cases: DataFrame) -> DataFrame:
+    """(gen, call, idx as far as cases have them, input, answer): texts of whole files; answer is null where an output value is unset."""
     keys = [c for c in ("gen", "call", "idx") if c in cases.columns]
     parts = [F.lit(_once(problem.input.header)), F.lit("1\n" if problem.input.counted else ""), case_text(problem, problem.input), F.lit(_once(problem.input.footer))]
     answer = F.lit(None).cast("string")
@@ -185,7 +181,17 @@ def write_cases(problem: Problem, cases: DataFrame, folder: str, pattern: str =
             complete = complete & (F.col(f"`{n}`").isNotNull() if n in cases.columns else F.lit(False))
         if all(n in cases.columns for n in problem.output.names()):
             answer = F.when(complete, F.concat(F.lit(_once(problem.output.header)), case_text(problem, problem.output), F.lit(_once(problem.output.footer))))
-    rows = cases.select(*keys, F.concat(*parts).alias("input"), answer.alias("answer"))
+    return cases.select(*keys, F.concat(*parts).alias("input"), answer.alias("answer"))
+
+
+def write_cases(problem: Problem, cases: DataFrame, folder: str, pattern: str = "{gen}_{call}_{idx}") -> DataFrame:
+    """Writes a file for each case, .in and, where all output values are set, .ans; returns the names (file).
+
+    Files are written by the tasks that hold the cases, once, each attempt through a temporary name of
+    its own; folder must be seen by all executors.  The names are kept beside them, in _names.
+    """
+    rows = rendered(problem, cases)
+    keys = [c for c in rows.columns if c not in ("input", "answer")]
 
     def put(batches: Iterator) -> Iterator:
         import pyarrow.fs as pafs
@@ -326,6 +332,9 @@ def read_row(cursor: Cursor, problem: Problem, layout: Layout) -> dict:
         if n < 0:
             raise ConfigurationError("a section has a negative number of lines")
         made: dict = {t: [] for t in part.tokens}
+        sizes = {t: problem.variables[t]._counts()[0].unique(row) for t in part.tokens if isinstance(problem.variables[t], Graph)}
+        if None in sizes.values():
+            raise ConfigurationError("a graph's number of nodes must be known before it is read")
         for _ in range(n):
             for i, t in enumerate(part.tokens):
                 if i:
@@ -333,9 +342,16 @@ def read_row(cursor: Cursor, problem: Problem, layout: Layout) -> dict:
                 spec = problem.variables[t]
                 if isinstance(spec, Graph):
                     base = 1 if spec.one_based else 0
-                    u = cursor.integer() - base
+
+                    def node() -> int:
+                        at = cursor.integer() - base
+                        if not 0 <= at < sizes[t]:
+                            cursor.fail(f"node {at + base} is not one of {base} ... {sizes[t] - 1 + base}")
+                        return at
+
+                    u = node()
                     cursor.blank(" ")
-                    edge = {"u": u, "v": cursor.integer() - base}
+                    edge = {"u": u, "v": node()}
                     if spec.edge_label:
                         cursor.blank(" ")
                         edge["label"] = read_value(cursor, spec.edge_label, row)
@@ -346,10 +362,7 @@ def read_row(cursor: Cursor, problem: Problem, layout: Layout) -> dict:
         for t, items in made.items():
             spec = problem.variables[t]
             if isinstance(spec, Graph):
-                nodes = spec._counts()[0].unique(row)
-                if nodes is None:
-                    raise ConfigurationError("a graph's number of nodes must be known before it is read")
-                items = {"num_nodes": nodes, "edges": items}
+                items = {"num_nodes": sizes[t], "edges": items}
             row[t] = items
     return row
 
@@ -407,36 +420,39 @@ def read_cases(spark: SparkSession, path: str, problem: Problem, layout: Layout,
             yield pd.DataFrame(rows, columns=["file", "case", *names, "error"])
 
     rows = texts.mapInPandas(run, f"file string, case long, {kinds}, error string")
+    return checked(problem, rows, names, strict, style)
+
+
+def checked(problem: Problem, rows: DataFrame, names: Sequence[str], strict: bool, style: str) -> DataFrame:
+    """rows (case, names, error) with the error of the first constraint that a case breaks; raised if strict."""
     checks = problem.checks(names, style)
     if not checks:
         return rows
     first = rows.withColumn("__bad", F.when(F.col("error").isNull(), F.coalesce(*checks)))
-    bad = F.col("__bad")
-    why = F.concat(F.lit("Case "), F.col("case").cast("string"), F.lit(" invalid: `"), bad["variable"], F.lit("` "), bad["path"], F.lit(" is "), F.coalesce(bad["value"], F.lit("unset")), F.lit(", expected "), bad["expected"], F.lit(" "), bad["details"])
-    why = F.when(bad.isNotNull(), F.rtrim(why))
+    why = problem.message(F.col("case"), F.col("__bad"))
     if strict:
         return first.where(F.when(why.isNull(), True).otherwise(F.raise_error(why).cast("boolean"))).select(rows.columns)
     return first.withColumn("error", F.coalesce("error", why)).select(rows.columns)
 
 
-def read_lines(lines: DataFrame, problem: Problem, names: list[str]) -> DataFrame:
-    """(value) rows of one line each -> the variables, natively; an error column where a line does not fit.
+def cell_value(spec: Spec, cell: Column) -> tuple[Column, Column]:
+    """Whether a cell is a value of the spec, by the tests of the strict reader (CAST alone takes signs, blanks and leading zeros), and the value."""
+    if isinstance(spec, Integer):
+        return cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull(), F.when(cell.rlike(INTEGER), cell.try_cast("bigint"))
+    if isinstance(spec, Real):
+        form = rf"\A-?(0|[1-9][0-9]*)\.[0-9]{{{spec.format.digits}}}\z"
+        return cell.rlike(form) & ~cell.rlike(r"\A-0\.0*\z"), F.when(cell.rlike(form), cell.try_cast("double"))
+    if isinstance(spec, String):
+        return cell != "", cell
+    raise ConfigurationError("only integers, reals and strings stand in native lines")
 
-    The tests are those of the strict reader: CAST alone takes signs, blanks and leading zeros.
-    """
+
+def read_lines(lines: DataFrame, problem: Problem, names: list[str]) -> DataFrame:
+    """(value) rows of one line each -> the variables, natively; an error column where a line does not fit."""
     cells = F.split(F.col("value"), " ", -1)
     good, out = F.size(cells) == len(names), []
     for i, n in enumerate(names):
-        spec, cell = problem.variables[n], F.try_element_at(cells, F.lit(i + 1))
-        if isinstance(spec, Integer):
-            fits, value = cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull(), F.when(cell.rlike(INTEGER), cell.try_cast("bigint"))
-        elif isinstance(spec, Real):
-            form = rf"\A-?(0|[1-9][0-9]*)\.[0-9]{{{spec.format.digits}}}\z"
-            fits, value = cell.rlike(form) & ~cell.rlike(r"\A-0\.0*\z"), F.when(cell.rlike(form), cell.try_cast("double"))
-        elif isinstance(spec, String):
-            fits, value = cell != "", cell
-        else:
-            raise ConfigurationError("only integers, reals and strings stand in native lines")
+        fits, value = cell_value(problem.variables[n], F.try_element_at(cells, F.lit(i + 1)))
         good = good & F.coalesce(fits, F.lit(False))
         out.append(value.alias(n))
     others = [c for c in lines.columns if c not in names]

@@ -42,7 +42,7 @@ def test_expressions_that_fail(text):
 
 
 PATTERNS = [
-    ("a*", "aaaa", True), ("a*a", "aaaa", False), ("a{3,4}a", "aaaa", False), ("(hello|helloworld)", "helloworld", False), ("[a-c]+x", "abcx", True), ("[^a]", "b", True), ("[^a]", "a", False),
+    ("a*", "aaaa", True), ("a*a", "aaaa", False), ("b{2,3}b", "bbb", False), ("(day|daylight)", "daylight", False), ("[a-c]+x", "abcx", True), ("[^a]", "b", True), ("[^a]", "a", False),
     ("[a-]{2}", "a-", True), ("a?b", "b", True), ("(ab|cd)e", "cde", True), ("a b", "ab", True), ("a\\ b", "a b", True), ("[0-9]{2,}", "1", False), ("a", "a\n", False), ("x{,2}", "", True),
 ]
 
