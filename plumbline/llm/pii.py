@@ -192,16 +192,20 @@ def instances(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "key", "start", "end", "kind", F.lower("text").alias("instance"), lexical.alias("patterns"))
 
 
-def discover(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE, least_share: float = LEAST_SHARE) -> DataFrame:
+def discover(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE, least_share: float = LEAST_SHARE, hide: Column | None = None) -> DataFrame:
     """New spans (doc_id, key, start, end, kind) that patterns of high confidence take.
 
     A pattern speaks for a kind if at least least_seeds different known instances of the kind
     stand in it, and they are at least least_confidence of its different known instances and
     at least least_share of all its different instances; an unknown instance takes the kind with the largest sum of
     confidence over its patterns, and needs a digit run like an identifier's or an "@".  Rounds
-    end when one finds no new instance; each but the last adds some, so they are finite.
+    end when one finds no new instance; each but the last adds some, so they are finite.  Instances for which `hide`
+    holds are not seeds, as if the base patterns had not found them.
     """
-    all_spans = stored(instances(docs), "instances")
+    spans = instances(docs)
+    if hide is not None:
+        spans = spans.withColumn("kind", F.when(~hide, F.col("kind")))
+    all_spans = stored(spans, "instances")
     edges = stored(all_spans.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "edges")
     known = all_spans.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
     fit = F.col("instance").rlike(r"@|[0-9].*[0-9].*[0-9].*[0-9]")
@@ -221,6 +225,22 @@ def discover(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence:
     return unknown.join(known, "instance").select("doc_id", "key", "start", "end", "kind")
 
 
+def recall(docs: DataFrame, one_in: int = 3, **settings) -> DataFrame:
+    """What the bootstrap finds again of instances that it is not told: hidden, found, right (of the right kind), and others, unknown to the base patterns.
+
+    Every one_in-th known instance, by hash, is hidden from the seeds.  One row.
+    """
+    hidden = F.pmod(F.xxhash64("instance", F.lit(17)), F.lit(one_in)) == 0
+    base = instances(docs)
+    known = base.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("truth"))
+    found = discover(docs, hide=hidden, **settings).join(base.select("doc_id", "key", "start", "end", "instance"), ["doc_id", "key", "start", "end"])
+    found = found.groupBy("instance").agg(F.min("kind").alias("said"))
+    both = known.where(hidden).join(found, "instance", "full_outer")
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    told = F.col("truth").isNotNull()
+    return both.agg(count(told, "hidden"), count(told & F.col("said").isNotNull(), "found"), count(F.col("truth") == F.col("said"), "right"), count(~told, "others"))
+
+
 def _with_spans(docs: DataFrame, columns: list[str], settings: dict) -> DataFrame:
     """row (the columns of docs that are asked for), base and every: its base spans, and these with the new ones."""
     one = F.struct("start", "kind", "end", F.lit("").alias("text"))

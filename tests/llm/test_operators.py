@@ -296,6 +296,23 @@ def test_personal_data_on_a_long_text_and_clashing_names(spark):
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want or "")
 
 
+def test_hidden_identifiers_are_found_again_by_their_contexts(spark):
+    rng = random.Random(9)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "quam"]
+    rows = []
+    for i in range(240):
+        name, number = "".join(rng.choices("abcdefgh", k=7)), "".join(rng.choices("123456789", k=9))
+        said = [f"mail to {name}{i}@site.org now", f"please call +49 {number}{i % 10} today"][i % 2]
+        # Every tenth identifier has chance neighbours, and every twelfth text a number in them.
+        said = said if i % 10 else f"{rng.choice(words)} {rng.choice(words)} {name}{i}@site.org {rng.choice(words)}"
+        noise = f" {rng.choice(words)} {rng.choice(words)} {number}77 {rng.choice(words)} " if i % 12 == 0 else " "
+        rows.append((i, " ".join(rng.choices(words, k=6)) + noise + said + " " + " ".join(rng.choices(words, k=6))))
+    got = pii.recall(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert got["hidden"] > 40 and got["found"] >= 0.8 * got["hidden"] and got["right"] == got["found"] and got["others"] <= 2
+    alone = spark.createDataFrame([(i, f"{rng.choice(words)}{i} x{i}y name{i}@site.org z{i}") for i in range(60)], "doc_id long, text string")
+    assert pii.recall(alone).first()["found"] == 0  # contexts without a pattern give none
+
+
 def test_personal_data_bootstrap_runs_until_nothing_is_new(spark):
     """Group g is known after g rounds: it stands in a pattern with group g - 1 alone."""
     groups = [[f"some{i}@mail.org" for i in range(3)]] + [[f"zz{g}1234{i}" for i in range(3)] for g in range(1, 7)]
