@@ -185,7 +185,9 @@ def _among(value: Column, options: list, kind: str | None) -> Column:
 
 
 def literal(x) -> Column:
-    """Python lists, tuples and scalars as array, struct and scalar columns."""
+    """Python lists, tuples, dicts and scalars as array, struct and scalar columns."""
+    if isinstance(x, dict):
+        return F.struct(*(literal(v).alias(k) for k, v in x.items()))
     if isinstance(x, tuple):
         return F.struct(*(literal(v).alias(f"_{i}") for i, v in enumerate(x)))
     if isinstance(x, list):

@@ -24,6 +24,8 @@ from plumbline.operators import constraints as C
 class Spec:
     accepts: tuple[type, ...] = ()
     real = numeric = False
+    #: How values are written, and the defaults.
+    formats: dict[str, object] = {}
 
     def __init__(self, *constraints: C.Constraint):
         self.constraints = tuple(self._adapted(c) for c in constraints)
@@ -60,10 +62,14 @@ class Spec:
         return out
 
     def merged(self, other: "Spec") -> "Spec":
-        """Both specs' constraints: the values that either allows."""
+        """Both specs' constraints: the values that both allow; of other's format, what is not as by default."""
         if type(self) is not type(other):
             raise TypeMismatch(f"{type(self).__name__} and {type(other).__name__}")
-        return self.also(*other.constraints)
+        out = self.also(*other.constraints)
+        for name, default in self.formats.items():
+            if getattr(other, name) != default:
+                setattr(out, name, getattr(other, name))
+        return out
 
     def violation(self, value: Column) -> Column:
         found = [c.violation(value) for c in self.constraints]
@@ -298,6 +304,12 @@ class Real(_Number):
         self.format = RealFormat(digits)
         super().__init__(*constraints)
 
+    def merged(self, other: "Spec") -> "Spec":
+        """As for other specs, but the digits are always other's."""
+        out = super().merged(other)
+        out.format = other.format
+        return out
+
     def generate(self, *keys) -> Column:
         if self.find(C.OneOf):
             return self._choice(keys).cast("double")
@@ -368,6 +380,7 @@ class String(Spec):
 
 class Array(Spec):
     accepts = (C._Length, C.Length, C.SizeCategory, C.Elements, C.DistinctElements, C.Sorted)
+    formats = {"separator": " "}
 
     def __init__(self, element: Spec, *constraints, separator: str = " "):
         self.element, self.separator = element, separator
@@ -432,6 +445,7 @@ class Array(Spec):
 
 class Tuple(Spec):
     accepts = (C.Element,)
+    formats = {"separator": " "}
 
     def __init__(self, *parts, separator: str = " "):
         self.parts = [p for p in parts if isinstance(p, Spec)]
@@ -492,6 +506,7 @@ class Variant(Tuple):
 class Graph(Spec):
     """Undirected, as struct(num_nodes, edges array<struct(u, v[, label])>[, node_labels]); nodes are 0-based."""
 
+    formats = {"one_based": False, "edge_label": None, "node_label": None}
     accepts = (C.EdgeNodes, C.NumNodes, C.NumEdges, C.SizeCategory, C.Connected, C.Loopless, C.NoParallelEdges, C.SimpleGraph, C.EdgeLabels, C.NodeLabels)
 
     def __init__(self, *constraints, edge_label: Spec | None = None, node_label: Spec | None = None, one_based: bool = False):
@@ -503,6 +518,20 @@ class Graph(Spec):
         label = f",label:{self.edge_label.dtype}" if self.edge_label else ""
         return f"struct<num_nodes:bigint,edges:array<struct<u:bigint,v:bigint{label}>>" + (f",node_labels:array<{self.node_label.dtype}>" if self.node_label else "") + ">"
 
+    def unique(self, known: dict | None = None):
+        """Also a graph without edges, and one node with as many loops as are asked for."""
+        found = super().unique(known)
+        if found is not None:
+            return found
+        nodes, edges = (c.unique(known) for c in self._counts())
+        if nodes is None or self.node_label and nodes:
+            return None
+        edges = 0 if nodes == 0 else edges
+        if edges == 0:
+            return {"num_nodes": nodes, "edges": []}
+        loops = not self.find((C.Loopless, C.SimpleGraph)) and not self.edge_label and (edges == 1 or not self.find((C.NoParallelEdges, C.SimpleGraph)))
+        return {"num_nodes": 1, "edges": [{"u": 0, "v": 0}] * edges} if nodes == 1 and edges is not None and loops else None
+
     def _counts(self) -> tuple[Integer, Integer]:
         nodes = Integer(*(x for c in self.find(C.NumNodes) for x in c.inner.constraints), *(C.SizeCategory(c.name) for c in self.find(C.SizeCategory)), C.AtLeast(0))
         return nodes, Integer(*(x for c in self.find(C.NumEdges) for x in c.inner.constraints), C.AtLeast(0))

@@ -189,7 +189,7 @@ class Problem:
             spec = own.variables[n]
             keys = F.lit(base), F.col("gen"), F.col("call"), F.lit(n)
             if (unique := spec.unique()) is not None:
-                return C.literal(unique)
+                return C.literal(unique).cast(spec.dtype)
             if spec.aims():
                 return spec.generate(*keys, F.lit(0) if case is None else case)
             return spec.retried(lambda a: spec.generate(*keys, *([] if case is None else [case]), a), most_attempts)
@@ -252,7 +252,7 @@ class Problem:
             which, value = F.col(f"__{i}"), F.lit(None).cast(self.variables[n].dtype)
             for j, spec in enumerate(cases[n]):
                 unique = spec.unique()
-                one = C.literal(unique) if unique is not None else spec.sound(F.lit(base), F.lit("edge"), F.lit(n), F.lit(j))
+                one = C.literal(unique).cast(self.variables[n].dtype) if unique is not None else spec.sound(F.lit(base), F.lit("edge"), F.lit(n), F.lit(j))
                 value = F.when(which == j, one).otherwise(value)
             out = out.withColumn(n, value)
             out = out.withColumn(n, F.when(self.variables[n].holds(F.col(f"`{n}`")), F.col(f"`{n}`")))

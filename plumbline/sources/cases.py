@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from plumbline.errors import ConfigurationError, ReadError
 from plumbline.plans.problem import Problem
+from plumbline.session import ship
 from plumbline.sources.layout import Layout, checked, parse, rendered
 
 TASK_BYTES, TASK_FILES, MOVES = 32_000_000, 2000, 16
@@ -166,6 +167,7 @@ class CaseFormat(DataSource):
 
 def register(spark: SparkSession, problem: Problem, name: str = "cases") -> str:
     """Makes a problem's files known to the session as the format `name`; its layouts are the problem's."""
+    ship(spark)
     used = {n for x in (problem.input, problem.output) if x is not None for n in x.names()}
     kinds = {n: T.DataType.fromDDL(problem.variables[n].dtype) for n in used}
     spark.dataSource.register(type("Cases", (CaseFormat,), {"problem": problem, "kinds": kinds, "title": name, "__module__": __name__}))

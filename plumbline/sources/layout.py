@@ -296,6 +296,8 @@ def read_value(cursor: Cursor, spec: Spec, known: dict):
         return cursor.word()
     if isinstance(spec, Array):
         n = spec.length().unique(known) if spec.length() else None
+        if n is None and (only := spec.unique(known)) is not None:
+            n = len(only)
         if n is None:
             raise ConfigurationError("an array's length must be known before it is read")
         return [read_value(cursor, spec.element, known) for i in range(n) if not i or cursor.blank(spec.separator) is None]

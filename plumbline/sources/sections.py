@@ -32,6 +32,7 @@ from plumbline.functions.expr import HIGH, LOW, Expression
 from plumbline.operators.graphs import shared_folder
 from plumbline.operators.specs import Array, Graph, Integer, Real, Spec, String
 from plumbline.plans.problem import Problem
+from plumbline.session import ship
 from plumbline.sources.layout import _INTEGER, Layout, Line, Literal, Multiline, cell_value, checked
 
 CHUNK_LINES = 1 << 16
@@ -320,7 +321,7 @@ def read_sections(spark: SparkSession, path: str, problem: Problem, layout: Layo
     if chunk_lines & (chunk_lines - 1):
         raise ConfigurationError("chunk_lines must be a power of two")
     phases, names = phases_of(problem, layout), layout.names()
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(ship(spark), path)
     skip, rest = len(layout.header) + layout.counted, len(layout.footer)
     made, files = labelled(lines, phases, skip, rest, chunk_lines)
     made = _kept(made, "labelled")

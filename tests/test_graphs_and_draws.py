@@ -189,3 +189,22 @@ def test_results_are_counted_beside_a_write(spark, tmp_path):
     assert seen.first()["N"].startswith("Case 0 invalid: `N`") and seen.first()["n"].startswith("Case 10 invalid: `n`")
     rows, seen = watched(p, df.where("false"), ["k"])
     assert rows.count() == 0 and seen.valid() and seen.cases == 0 and seen.first() == {}
+
+
+def test_graphs_that_are_known_and_arrays_of_one_value(spark):
+    assert Graph(C.NumNodes(3), C.NumEdges(0)).unique() == {"num_nodes": 3, "edges": []}
+    assert Graph(C.NumNodes("N"), C.NumEdges(2)).unique({"N": 1}) == {"num_nodes": 1, "edges": [{"u": 0, "v": 0}] * 2}
+    assert Graph(C.NumNodes(1), C.NumEdges(2), C.NoParallelEdges()).unique() is None and Graph(C.NumNodes(2), C.NumEdges(2)).unique() is None
+    p = Problem({"G": Graph(C.NumNodes(3), C.NumEdges(0)), "H": Graph(C.NumNodes(1), C.NumEdges(2))}, seed="s")
+    row = p.generate(spark, 1).first()
+    assert row["G"].asDict(True) == {"num_nodes": 3, "edges": []} and row["H"].asDict(True) == {"num_nodes": 1, "edges": [{"u": 0, "v": 0}] * 2}
+    from plumbline.sources import layout as L
+
+    fixed = Problem({"A": Array(Integer(), C.Exactly([1, 2]))})
+    assert L.parse("1 2\n", fixed, L.Layout((L.Line("A"),))) == [{"A": [1, 2]}]
+
+
+def test_formats_are_merged_where_they_are_set():
+    a, b = Array(Integer(), separator=","), Array(Integer(C.AtLeast(2)))
+    assert a.merged(b).separator == "," and b.merged(a).separator == "," and b.merged(b).separator == " "
+    assert Real(digits=3).merged(Real()).format.digits == 6 and Graph(one_based=True).merged(Graph()).one_based and Graph().merged(Graph(one_based=True)).one_based
