@@ -204,6 +204,15 @@ def test_graphs_that_are_known_and_arrays_of_one_value(spark):
     assert L.parse("1 2\n", fixed, L.Layout((L.Line("A"),))) == [{"A": [1, 2]}]
 
 
+def test_values_of_own_types_are_shown_by_hooks(monkeypatch):
+    from datetime import date
+
+    from plumbline.functions import printer
+
+    monkeypatch.setitem(printer.HOOKS, date, lambda d, width: f"day {d.toordinal()}"[:width])
+    assert printer.shown([date(1, 1, 2), 5]) == "[day 2, 5]" and printer.shown(date(1, 1, 2), 4) == "day "
+
+
 def test_formats_are_merged_where_they_are_set():
     a, b = Array(Integer(), separator=","), Array(Integer(C.AtLeast(2)))
     assert a.merged(b).separator == "," and b.merged(a).separator == "," and b.merged(b).separator == " "
