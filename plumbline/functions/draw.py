@@ -114,8 +114,9 @@ def permuted(n: Column, i: Column, *keys) -> Column:
 
     def walked(a: Column, b: Column) -> Column:
         first = _rounds(i.cast("long"), a, b, keys)
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(_rounds(x, a, b, keys)))
-        return let(found, lambda x: F.when(x < n, x))
+        # Most are below n at once, and take no steps.
+        further = lambda y: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), y, lambda x, _: F.when(x < n, x).otherwise(_rounds(x, a, b, keys)))
+        return let(first, lambda y: F.when(y < n, y).otherwise(let(further(y), lambda x: F.when(x < n, x))))
 
     return let(F.greatest(root, F.lit(1).cast("long")), with_sides)
 

@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan's rows over all cores, where its files are cut into fewer tasks: for drawing, which costs far more in a row than the shuffle of its key."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def counts(problem: Problem, df: DataFrame) -> DataFrame:
     return problem.summary(df)
 
@@ -312,7 +318,8 @@ def _draw_sql(key: str) -> str:
 def generated(spark: SparkSession, sf_dir: str, variables: dict, given: dict | None = None) -> DataFrame:
     """One case for each order, keyed by it: values follow the key and what is given alone; NULL where none fits."""
     given = given or {}
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("random").alias("gen"), F.col("o_orderkey").alias("call"), *(c.alias(n) for n, c in given.items()))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", *(c.alias(n) for n, c in given.items())), "o_orderkey")
+    orders = orders.select("o_orderkey", F.lit("random").alias("gen"), F.col("o_orderkey").alias("call"), *given)
     p = Problem(variables, seed=SEED)
     for n in p.order():
         spec, keys = p.variables[n], (F.lit(SEED), F.col("gen"), F.col("call"), F.lit(n))
@@ -391,7 +398,7 @@ def gen_tree(spark, sf_dir):
 select o_orderkey, string_agg(i::varchar, ' ' order by {_draw_sql("'" + SEED + "|' || o_orderkey || '|' || i")}, i) as p from i group by 1""")
 def gen_permutation(spark, sf_dir):
     p = draw.permutation(F.lit(6).cast("long"), F.lit(0).cast("long"), SEED, F.col("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(p, lambda x: x.cast("string")), " ").alias("p"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.array_join(F.transform(p, lambda x: x.cast("string")), " ").alias("p"))
 
 
 @register(f"""with t as (select o_orderkey, 1 + {_draw_sql(_keys('N'))} % 10 as N0 from orders),
@@ -402,7 +409,7 @@ select o_orderkey as "call", coalesce(case when X0 is not null then N0 end, Ns[a
 def generate_tied(spark, sf_dir):
     """Variables that read one another, drawn again together where the second has no value: one case for each order, by Problem.generate."""
     p = Problem({"N": Integer(Between(1, 10)), "X": Integer(Between(8, "N"))}, seed=SEED)
-    return p.generate(spark, over=table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"))).select("call", "N", "X")
+    return p.generate(spark, over=spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call")), "call")).select("call", "N", "X")
 
 
 @register(f"""select o_orderkey as "call", o_custkey % 50 + 1 as N, coalesce(case when o_orderkey % 3 <> 0 then (o_custkey % 50 + 1) * 2 end, o_custkey % 50 + 1 + {_draw_sql(_keys('X'))} % (2 * (o_custkey % 50 + 1) + 1)) as X from orders""")
@@ -411,14 +418,14 @@ def generate_missing(spark, sf_dir):
     p = Problem({"N": Integer(Between(1, 50)), "X": Integer(Between("N", "3 * N"))}, seed=SEED)
     n = F.col("o_custkey") % 50 + 1
     over = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), n.alias("N"), F.when(F.col("o_orderkey") % 3 != 0, n * 2).alias("X"))
-    return p.generate(spark, over=over).select("call", "N", "X")
+    return p.generate(spark, over=spread(over, "call")).select("call", "N", "X")
 
 
 @register(f"""select o_orderkey as "call", 500 + 1000 * ({_draw_sql(_keys('W'))} % 1000) as W, 3 + 7 * ({_draw_sql(_keys('Y'))} % 43) as Y from orders""")
 def gen_sized_mod(spark, sf_dir):
     """Sizes with a remainder: tiny of a million holds no 500 (mod 1000), so the whole range is drawn from; small holds 3 (mod 7)."""
     p = Problem({"W": Integer(Between(1, 10**6), SizeCategory("tiny"), Mod(500, 1000)), "Y": Integer(Between(1, 10**6), SizeCategory("small"), Mod(3, 7))}, seed=SEED)
-    return p.generate(spark, over=table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"))).select("call", "W", "Y")
+    return p.generate(spark, over=spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call")), "call")).select("call", "W", "Y")
 
 
 def _feistel_sql(x: str, n: str, a: str, b: str, key: str) -> str:
@@ -444,7 +451,7 @@ def gen_distinct(spark, sf_dir):
     """Six different values of 1 ... 1000 + M for each order, as places of a keyed permutation."""
     p = Problem({"D": Array(Integer(Between(1, "M + 1000")), Length(6), DistinctElements()), "M": Integer()}, seed=SEED)
     over = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("M"))
-    return p.generate(spark, over=over).select("call", F.array_join(F.transform("D", lambda x: x.cast("string")), " ").alias("D"))
+    return p.generate(spark, over=spread(over, "call")).select("call", F.array_join(F.transform("D", lambda x: x.cast("string")), " ").alias("D"))
 
 
 @register("""with recursive e as (select l_orderkey as graph, l_linenumber % 6 as u, l_suppkey % 6 as v from lineitem), b as (select graph, u, v from e union all select graph, v, u from e),
