@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from plumbline.operators import graphs
 from plumbline.operators.constraints import (
     Alphabet, AtLeast, AtMost, Between, Connected, Custom, DistinctCharacters, DistinctElements, Element, Elements, Exactly, Length, Mod, NumEdges, NumNodes, OneOf, SimpleGraph, SimplePattern, SizeCategory, Sorted, literal,
 )
-from plumbline.operators.coverage import covering_array
+from plumbline.operators.coverage import covering_array, covering_table
 from plumbline.operators.specs import Array, Graph, Integer, Real, String, Tuple, Variant, size_range
 from plumbline.plans.problem import Problem, merge_outputs
 
@@ -552,6 +556,52 @@ def read_case_files(spark, sf_dir):
     return got.select(F.regexp_extract("file", r"([0-9]+)\.in$", 1).cast("long").alias("o_custkey"), "N", text("A"), text("B"), F.col("error").isNotNull().alias("failed"))
 
 
+@register("""select o_orderkey, 'K' as variable, o_orderkey::varchar as value, 'a check digit' as expected from orders where (o_orderkey // 10 % 10 * 3 + o_orderkey // 100 % 10 * 7 + o_orderkey // 1000 % 10 * 9) % 10 <> o_orderkey % 10""")
+def sql_violations(spark, sf_dir):
+    """Order numbers whose last digit does not check the three before it: a check in Python, asked for in SQL."""
+    from plumbline.plans.tables import register_check
+
+    def good(k):
+        x = k.to_numpy(zero_copy_only=False)
+        return pa.array((x // 10 % 10 * 3 + x // 100 % 10 * 7 + x // 1000 % 10 * 9) % 10 == x % 10)
+
+    register_check(spark, Problem({"K": Integer()}), "bad_digits", "K", good, keys="o_orderkey bigint", expected="a check digit")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey is not null").select("o_orderkey", F.col("o_orderkey").alias("K"))
+    return spark.sql("select * from bad_digits(table({orders}))", orders=orders)
+
+
+@register("""select floor(l_extendedprice / pow(10, floor(log10(l_extendedprice))))::bigint as digit, count(*) as n, sum(l_quantity)::bigint as quantity from lineitem where l_extendedprice >= 1 group by 1""")
+def sql_analysis(spark, sf_dir):
+    """First digits of prices: an analysis in Python of each batch, put together by SQL."""
+    from plumbline.plans.tables import register_analysis
+
+    def digits(t):
+        x = t["l_extendedprice"].to_numpy()
+        t = t.append_column("digit", pa.array(np.floor(x / 10.0 ** np.floor(np.log10(x))).astype(np.int64)))
+        return t.group_by("digit").aggregate([("digit", "count"), ("l_quantity", "sum")]).rename_columns(["digit", "n", "quantity"])
+
+    register_analysis(spark, "first_digits", "digit bigint, n bigint, quantity double", digits)
+    lines = table(spark, sf_dir, "lineitem").where("l_extendedprice >= 1").select("l_extendedprice", "l_quantity")
+    return spark.sql("select digit, sum(n) as n, cast(sum(quantity) as bigint) as quantity from first_digits(table({lines})) group by digit", lines=lines)
+
+
+_OPTIONS = {"brand": ("part", "p_brand"), "priority": ("orders", "o_orderpriority"), "size": ("part", "p_size"), "status": ("orders", "o_orderstatus")}
+
+
+@register("with o as (" + " union all ".join(f"select '{n}' as name, count(distinct {c}) as n from {t}" for n, (t, c) in _OPTIONS.items()) + """)
+select a.name || ',' || b.name as columns, a.n * b.n as seen, 0::bigint as missing from o as a join o as b on a.name < b.name""")
+def covering_pairs(spark, sf_dir):
+    """A covering array of the values that columns of two tables have: how many pairs its rows show, and how many they lack."""
+    parts = (table(spark, sf_dir, t).where(F.col(c).isNotNull()).select(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, (t, c) in _OPTIONS.items())
+    options = reduce(DataFrame.unionByName, parts).distinct()
+    rows = covering_table(spark, options, 2)
+    pairs = F.explode(F.array(*(F.struct(F.lit(f"{a},{b}").alias("columns"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in combinations(sorted(_OPTIONS), 2)))).alias("p")
+    seen = rows.select(pairs).select("p.*").distinct().groupBy("columns", "a", "b").agg(F.count(F.lit(1)).alias("seen"))
+    n = options.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    both = seen.join(n.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
+    return both.select("columns", "seen", (F.col("na") * F.col("nb") - F.col("seen")).alias("missing"))
+
+
 _SMALL = "case when n <= 100 then floor(sqrt(n))::bigint when n <= 300 then 30 when n <= 5000 then 100 when n <= 5000000 then 300 else 2000 end"
 _MEDIUM = f"case when n <= 100 then least(greatest(n // 2, {_SMALL}), n) when n <= 300 then 100 when n <= 5000 then 500 when n <= 5000000 then 5000 else 1000000 end"
 
