@@ -43,37 +43,55 @@ def compress(ids: np.ndarray, first_free: int, least_count: int = LEAST_COUNT) -
     overlap; a pair of which no two occurrences could be replaced makes no rule.
     """
     seq, rules, made = ids.astype(np.int64), [np.zeros((0, 2), dtype=np.int64)], 0
-    while len(seq) > 1:
-        codes = seq[:-1] << 32 | seq[1:]
-        # Counts of hashes tell most rare pairs apart before the sort.
-        slots = _slots(codes)
-        near = np.flatnonzero((np.bincount(slots, minlength=1 << 20) >= least_count)[slots])
-        some = codes[near]
+    near = np.arange(max(len(seq) - 1, 0))
+    while len(near):
+        some = seq[near] << 32 | seq[near + 1]
+        slots = _slots(some)
+        if len(some) > 1 << 16:
+            # Counts of hashes tell most rare pairs apart before the sort.
+            often = (np.bincount(slots, minlength=1 << 20) >= least_count)[slots]
+            near, some, slots = near[often], some[often], slots[often]
         kinds, counts = np.unique(some, return_counts=True)
         kinds = kinds[counts >= least_count]
         if not len(kinds):
             break
-        rule = np.minimum(np.searchsorted(kinds, some), len(kinds) - 1)
+        rule = _places(some, slots, kinds)
         same = kinds[rule] == some
         at, rule = near[same], rule[same]
         # Pairs at places in a row overlap: every second is taken, from the left.
-        order = np.arange(len(at))
-        begin = np.maximum.accumulate(np.where(np.concatenate(([True], at[1:] != at[:-1] + 1)), order, 0))
-        taken = (order - begin) % 2 == 0
+        order = np.arange(len(at), dtype=np.int32)
+        begin = np.maximum.accumulate(np.where(np.concatenate(([True], at[1:] != at[:-1] + 1)), order, np.int32(0)))
+        taken = (order - begin) & 1 == 0
         used = np.bincount(rule[taken], minlength=len(kinds)) > 1
         if not used.any():
             break
         taken &= used[rule]
-        at, rule = at[taken], (np.cumsum(used) - 1)[rule[taken]]
+        left, at, rule = at[~taken], at[taken], (np.cumsum(used) - 1)[rule[taken]]
         seq[at] = first_free + made + rule
-        stay = np.ones(len(seq), dtype=bool)
-        stay[at + 1] = False
-        seq, kinds = seq[stay], kinds[used]
+        stay, fresh, held = np.ones(len(seq), dtype=bool), np.zeros(len(seq), dtype=bool), np.zeros(len(seq), dtype=bool)
+        stay[at + 1], fresh[at], held[left] = False, True, True
+        seq, fresh, held, kinds = seq[stay], fresh[stay], held[stay], kinds[used]
         rules.append(np.column_stack((kinds >> 32, kinds & 0xFFFFFFFF)))
         made += len(kinds)
+        # A pair that was rare stays rare: next are those with a new symbol, and what is left of this round's.
+        near = np.flatnonzero(fresh[:-1] | fresh[1:] | held[:-1])
     return seq, np.concatenate(rules)
 
 
+def _places(some: np.ndarray, slots: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The place in kinds (sorted) of each of some that is among them, and any place of the others; slots are some's hashes."""
+    table, own = np.zeros(1 << 20, dtype=np.int32), _slots(kinds)
+    table[own] = np.arange(len(kinds), dtype=np.int32)
+    out = table[slots]
+    lost = own[table[own] != np.arange(len(kinds))]
+    if len(lost):
+        clash = np.zeros(1 << 20, dtype=bool)
+        clash[lost] = True
+        again = np.flatnonzero(clash[slots])
+        out[again] = np.minimum(np.searchsorted(kinds, some[again]), len(kinds) - 1)
+    return out
+
+
 def lengths_of(pairs: np.ndarray, first_free: int) -> np.ndarray:
     """Ids that each rule expands to; a rule's parts are ids or earlier rules."""
     out: list[int] = []

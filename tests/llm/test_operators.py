@@ -1,17 +1,21 @@
 """Each corpus operator against brute force, a round trip or held-out accuracy, and on odd rows."""
 
 import hashlib
+import itertools
+import json
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, grammar, langid, lines, neardup, packing, pii, quality, urls, warc
 from plumbline.llm.text import labelled_sample
-from plumbline.llm.tokens import encoder
+from plumbline.llm.tokens import Encoder, encoder
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, extra string, score string"
@@ -354,6 +358,39 @@ def test_grammar_rounds_run_until_no_pair_is_frequent():
     assert len(symbols) < len(ids) // 100
 
 
+def plain_pairs(ids, first_free, least_count):
+    """Re-Pair by rounds over all places, with dictionaries."""
+    seq, rules = ids.tolist(), []
+    while True:
+        counts = Counter(itertools.pairwise(seq))
+        places, last = [], -2
+        for i, pair in enumerate(itertools.pairwise(seq)):
+            if counts[pair] >= least_count and last != i - 1:
+                places.append(i)
+                last = i
+        taken = Counter((seq[i], seq[i + 1]) for i in places)
+        kinds = sorted(p for p, n in taken.items() if n > 1)
+        if not kinds:
+            return seq, rules
+        name, here = {p: first_free + len(rules) + k for k, p in enumerate(kinds)}, set(places)
+        rules += kinds
+        out, i = [], 0
+        while i < len(seq):
+            new = name.get((seq[i], seq[i + 1])) if i in here else None
+            out.append(seq[i] if new is None else new)
+            i += 1 if new is None else 2
+        seq = out
+
+
+def test_grammar_equals_plain_rounds():
+    rng = np.random.default_rng(4)
+    cases = [np.tile(rng.integers(0, k, 1 + n // 9), 9) if k % 2 else rng.integers(0, k, n) for k, n in ((1, 50), (2, 300), (3, 900), (6, 2000), (41, 3000))]
+    cases.append(np.tile(rng.integers(0, 50_000, 15_000), 8))  # more frequent pairs than slots without clashes
+    for ids in cases:
+        symbols, pairs = grammar.compress(ids.astype(np.int32), 50_257)
+        assert (symbols.tolist(), list(map(tuple, pairs.tolist()))) == plain_pairs(ids, 50_257, grammar.LEAST_COUNT)
+
+
 def test_urls_equal_direct_rules(spark):
     from plumbline.llm.queries import RULES
 
@@ -572,6 +609,38 @@ def test_encoder_equals_the_library():
     assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
 
 
+def test_encoder_learns_each_run_of_letters_once():
+    coder, library = Encoder(public_tokenizers.path("byte_bpe_50k.json")), library_tokenizer()
+    names = ["".join(x) for x in itertools.product("abcé", repeat=3)]
+    texts = [f"{a}{mark}{b}{tail}" for a in names for b in names[::9] for mark in (",\n", ".", "##\n") for tail in ("", "!", " don't", "\n")]
+    flat, n = coder.encode(pa.array(texts))
+    want = [x.ids + [0] for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+    assert coder.pieces < 2 * len(names)  # 6144 texts, of few different runs
+
+
+def test_encoder_equals_the_library_on_random_characters():
+    rng, library = random.Random(3), library_tokenizer()
+    coder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    marks = [*"     abXY09.,#'\n\n\t\r\x0b\x1c\x7f\x85\xa0×÷éßſŸƀ日ж²ª|", "\u2003", "\u3000", "\u180e", "\u200b", "\u0301", "😀", "'s", "don't", "<|endoftext|>", " foo", "x\n"]
+    for _ in range(60):
+        some = rng.sample(marks, rng.randint(2, 12))
+        texts = ["".join(rng.choices(some, k=rng.randint(0, 14))) for _ in range(200)]
+        flat, n = coder.encode(pa.array(["é", *texts])[1:])
+        want = [x.ids + [0] for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+
+
+def test_encoder_of_a_file_with_another_pattern(tmp_path):
+    state = json.loads(library_tokenizer().to_str())
+    state["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, state["pre_tokenizer"]]}
+    (tmp_path / "plain.json").write_text(json.dumps(state))
+    coder, texts = encoder("plain.json", str(tmp_path)), ["in 2024, 1999", "a b", ""]
+    flat, n = coder.encode(pa.array(texts))
+    want = [x.ids + [0] for x in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+
+
 def test_pipeline_odd_rows(spark):
     """Nulls in any column, repeated ids and rows, clashing names and empty tables pass every stage."""
     import corpus_pipeline as p
