@@ -35,6 +35,8 @@ from plumbline.llm.text import batches_of, stored
 from plumbline.llm.tokens import encoder
 
 TIERS, BUFFER_IDS, STEP_IDS = (1024, 512, 256, 128), 1 << 20, 1 << 16
+#: Of the encoder's memory and of the texts encoded at once: a worker packs beside all that earlier operators left in its executor.
+PIECES, SLICE_BYTES = 300_000, 1_000_000
 
 
 class Packer:
@@ -112,7 +114,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, buffer_ids: int = BUFF
     names = [x.split(" ")[0] for x in OUT.format(id="x").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer, base = encoder(tokenizer, folder), Packer(tiers, buffer_ids), TaskContext.get().partitionId() << 36
+        coder, packer, base = encoder(tokenizer, folder, PIECES), Packer(tiers, buffer_ids), TaskContext.get().partitionId() << 36
         known: dict[int, list] = {}  # number: id, ids from `first` on, first, ids not yet packed, ids of the document
         rows: list[tuple] = []
         made, dealt, n = 0, dict.fromkeys(packer.tiers, 0), 0
@@ -138,7 +140,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, buffer_ids: int = BUFF
             return out
 
         for whole in batches:
-            for batch in batches_of(whole, 2_000_000):
+            for batch in batches_of(whole, SLICE_BYTES):
                 flat, sizes = coder.encode(batch.column("text"))
                 flat, end = flat.astype("<u4"), 0
                 for doc_id, size in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):

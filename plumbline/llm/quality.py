@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     texts = labelled_sample(docs, labels, sample_rows, sample_bytes, 5)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = kept("quality", Words)
         for batch in batches:
             got = [features(t, words, bits) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
             )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("quality", Words)  # what an earlier operator left goes before the sample comes
         rows = [(a.values.to_numpy(), x.values.to_numpy(), y.as_py()) for b in batches for a, x, y in zip(b.column("at"), b.column("x"), b.column("y"), strict=True)]
         model = FTRL(1 << bits)
         rng = np.random.Generator(np.random.PCG64(1))

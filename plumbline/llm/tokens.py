@@ -3,7 +3,7 @@
 A file whose pre-tokenizer is the byte-level one with its pattern cuts a text where the kind of its
 characters changes.  For texts of Latin letters, ASCII digits, marks and white space these places
 follow from the bytes alone, so they are found for a whole batch at once; each different run
-is encoded once, by the library's model, and remembered, and the ids of a text are its runs' ids in order:
+is encoded by the library's model and remembered, the more often used ones longest, and the ids of a text are its runs' ids in order:
 the same ids as from one call with the whole text.  A stretch between blanks that holds anything else
 (apostrophes, control characters, other scripts) is encoded by the library as it stands and
 remembered, too.  Texts for which these boundaries might not hold (other white space
@@ -23,18 +23,22 @@ import pyarrow.compute as pc
 from plumbline.llm.text import kept
 
 
-def encoder(name: str = "byte_bpe_50k.json", folder: str | None = None) -> "Encoder":
+#: Runs that an encoder remembers: some 200 MB.
+PIECES = 1_200_000
+
+
+def encoder(name: str = "byte_bpe_50k.json", folder: str | None = None, most_pieces: int = PIECES) -> "Encoder":
     """The encoder of a file, whose memory of pieces lasts over a Python worker's tasks."""
 
     def make() -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if folder is not None:
-            return Encoder(os.path.join(folder, name))
+            return Encoder(os.path.join(folder, name), most_pieces)
         import public_tokenizers
 
-        return Encoder(public_tokenizers.path(name))
+        return Encoder(public_tokenizers.path(name), most_pieces)
 
-    return kept(f"tokens {folder} {name}", make)
+    return kept(f"tokens {folder} {name} {most_pieces}", make)
 
 
 #: A byte's kind: all from FEED on are white space; what is ODD, or in an odd stretch, is left to the library.
@@ -88,7 +92,7 @@ def runs_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Encoder:
-    def __init__(self, path: str, most_pieces: int = 1_200_000):
+    def __init__(self, path: str, most_pieces: int = PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(str(path))
@@ -102,23 +106,37 @@ class Encoder:
         for piece, i in vocabulary.items():
             self.id_bytes[i] = len(piece)  # a character of the vocabulary stands for a byte
         self.most_pieces = most_pieces
-        self._forget()
+        self._clear()
 
-    def _forget(self) -> None:
+    def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 20, dtype=np.int32)
         self.used = self.pieces = 0
-        self.starts, self.sizes = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int32)
+        self.starts, self.sizes, self.uses = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int32), np.zeros(1 << 18, dtype=np.int32)
+
+    def _forget(self) -> None:
+        """Keep runs that more than one batch had, those of the most batches, up to half of the bound; forget all others."""
+        uses = self.uses[: self.pieces]
+        stay = np.flatnonzero(uses > 1)
+        if len(stay) > self.most_pieces // 2:
+            stay = np.sort(stay[np.argsort(-uses[stay], kind="stable")[: self.most_pieces // 2]])
+        keys = [key for key, i in self.place.items() if i >= 0]  # in order of their numbers
+        keys, sizes, uses = [keys[i] for i in stay.tolist()], self.sizes[stay].astype(np.int64), uses[stay] // 2
+        ids = self.flat[ragged(self.starts[stay], sizes)]
+        self._clear()
+        self._store(keys, ids, sizes)
+        self.uses[: len(uses)] = uses
 
     def _store(self, keys: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remember the ids of new runs, which stand in ids one after another."""
         n, k = self.pieces, len(keys)
         while n + k > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            self.starts, self.sizes, self.uses = (np.resize(x, 2 * len(x)) for x in (self.starts, self.sizes, self.uses))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[n : n + k], self.sizes[n : n + k] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.uses[n : n + k] = 0
         self.used += len(ids)
         self.pieces += k
         self.place.update(zip(keys, range(n, n + k), strict=True))
@@ -176,6 +194,11 @@ class Encoder:
             flat, n_ids = out, n_ids + 1
         return flat, n_ids
 
+    def _known(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, and which words are new."""
+        at = np.fromiter(map(self.place.get, words, repeat(-2)), dtype=np.int64, count=len(words))
+        return at, np.flatnonzero(at == -2)
+
     def _encode_runs(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, each text's number of ids, and which texts the runs do not tell them of."""
         count, none = len(texts), np.zeros(len(texts), dtype=bool)
@@ -187,17 +210,18 @@ class Encoder:
         runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(raw))), pa.py_buffer(raw)])
         coded = runs.dictionary_encode()
         words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
-        if self.pieces + len(words) > self.most_pieces:
+        at, new = self._known(words)
+        if len(self.place) + len(new) > self.most_pieces:
             self._forget()
+            at, new = self._known(words)
         place = self.place
-        at = np.fromiter(map(place.get, words, repeat(-2)), dtype=np.int64, count=len(words))
-        new = np.flatnonzero(at == -2)
         if len(new):
             strange = np.zeros(len(words), dtype=bool)
             strange[codes[odd]] = True
             self._learn_runs([words[i] for i in new[~strange[new]].tolist()])
             self._learn_stretches([words[i] for i in new[strange[new]].tolist()])
             at[new] = [place[words[i]] for i in new.tolist()]
+        self.uses[at[at >= 0]] += 1  # words are different, and so are their numbers
         at = at[codes]
         sizes = np.where(at < 0, 0, self.sizes[at]).astype(np.int64)
         flat = self.flat[ragged(self.starts[at], sizes)]

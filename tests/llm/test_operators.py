@@ -6,6 +6,7 @@ import json
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, grammar, langid, lines, neardup, packing, pii, quality, urls, warc
-from plumbline.llm.text import labelled_sample
+from plumbline.llm.text import _KEPT, kept, labelled_sample
 from plumbline.llm.tokens import Encoder, encoder
 
 DATA = "/root/testdata/sf0.001"
@@ -631,6 +632,61 @@ def test_encoder_equals_the_library_on_random_characters():
         assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
 
 
+def test_encoder_remembers_the_runs_that_are_used_most(monkeypatch):
+    coder, library, learnt = Encoder(public_tokenizers.path("byte_bpe_50k.json"), most_pieces=400), library_tokenizer(), []
+    learn = coder._learn_runs
+    monkeypatch.setattr(coder, "_learn_runs", lambda runs: (learnt.extend(runs), learn(runs)))
+    common = ["often" + "".join(x) for x in itertools.product("abcdefg", repeat=2)]
+    for i in range(30):
+        texts = [f"{w} once{'xyz'[k % 3]}{chr(97 + i)}{w[5:]} odd{i}w{k}\u00a0 end" if k % 2 else f"{w} once{chr(97 + i)}{w[5:]}" for k, w in enumerate(common)]
+        texts += [f" {w}" for w in common]
+        flat, n = coder.encode(pa.array(texts))
+        want = [x.ids + [0] for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+        assert len(coder.place) <= 400  # with those stretches whose ids it cannot tell
+    times = Counter(learnt)
+    assert len(times) > 800 and all(times[f" {w}".encode()] == times[w.encode()] == 1 for w in common)
+
+
+def test_packing_with_an_encoder_that_remembers_little(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(0, 90))) if i % 17 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    want = sorted(packing.pack(docs).collect())
+    monkeypatch.setattr(packing, "PIECES", 20)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 1000)
+    assert sorted(packing.pack(docs).collect()) == want and len(want) >= 200
+    docs.unpersist()
+
+
+def test_packing_worker_remembers_a_bounded_number_of_runs(spark, monkeypatch):
+    docs, steps = spark.createDataFrame([(1, "x")], "doc_id long, text string"), []
+    run = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a: (steps.append(f), run(self, f, *a))[1])
+    packing.pack(docs)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = [" ".join("".join(x) for x in itertools.product(a, "abcdefghijklmnop", "qrstuvwxyz", "abcdefghijklmnop", "abcd")) for a in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRS"]
+    batches = [pa.record_batch({"doc_id": pa.array([i]), "text": pa.array([t])}) for i, t in enumerate(texts)]
+    packed = sum(sum(b.column("length").to_pylist()) for b in steps[0](iter(batches)))
+    assert packed == sum(len(x) + 1 for x in library_tokenizer().encode_batch_fast(texts, add_special_tokens=False))
+    (coder,) = _KEPT.values()
+    assert len(coder.place) <= 300_000  # of 460,800 different ones
+    _KEPT.clear()
+
+
+def test_quality_fit_starts_without_what_an_earlier_operator_remembers(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a good text"), (2, "% $ bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    run, steps = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a: (steps.append(f), run(self, f, *a))[1])
+    quality.fit(docs, labels)
+    assert len(steps) == 2
+    for step in steps:
+        kept("tokens of packing", dict)
+        list(step(iter([])))
+        assert list(_KEPT) == ["quality"]
+
+
 def test_encoder_of_a_file_with_another_pattern(tmp_path):
     state = json.loads(library_tokenizer().to_str())
     state["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, state["pre_tokenizer"]]}
