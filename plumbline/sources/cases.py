@@ -5,17 +5,26 @@ A format belongs to a problem and its layouts; `register` makes it known to a se
 Reading plans tasks from the sizes of the files: small files share a task, up to `task_bytes`.  A file is
 parsed strictly, whole, by the task that has it; one file of many cases is for `sections.read_sections`.
 Writing takes rendered rows (gen, call, idx, input, answer), a file or two for each.  A task writes under
-names of its own attempt and sends what it wrote as its commit message.  When all tasks have
+names of its own attempt and lists them in files beside them, whose names are its commit message.  When all tasks have
 ended, the driver gives the files their names and lists them in `_cases`; if the job fails it deletes them.  So lost executors
 and repeated tasks leave nothing that a reader sees.
+
+The driver never holds all names: it merges the tasks' sorted lists, looks for names that meet before it moves a file, and moves
+files a block at a time.  For reading, a listing is sorted through its disk, and a task's names travel compressed.
+Only local folders are listed entry by entry; of other file systems, the entries of one folder are held at once.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -26,39 +35,76 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from plumbline.errors import ConfigurationError, ReadError
 from plumbline.plans.problem import Problem
 from plumbline.session import ship
+from plumbline.sources import runs
 from plumbline.sources.layout import Layout, checked, parse, rendered
 
-TASK_BYTES, TASK_FILES, MOVES = 32_000_000, 2000, 16
+TASK_BYTES, TASK_FILES = 32_000_000, 2000
+#: Threads that move files, and files of a block.
+MOVES, BLOCK = 16, 8000
+#: Rows of a batch that is read, and bytes of its texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Names below the path, compressed; an empty one is the path itself."""
+
+    names: bytes
+
+    @classmethod
+    def of(cls, names: list[str]) -> Files:
+        return cls(zlib.compress(json.dumps(names).encode()))
+
+    def listed(self) -> list[str]:
+        return json.loads(zlib.decompress(self.names))
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """(temporary name, name) of the files of a task."""
+    """Names of the sorted lists (name, temporary name) of a task's files."""
 
-    files: list[tuple[str, str]]
+    lists: list[str]
 
 
 def located(path: str) -> tuple[pafs.FileSystem, str]:
     """A URI's file system and path; a path without a scheme is local."""
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
-def packed(files: list[tuple[str, int]], most_bytes: int, most_files: int = TASK_FILES) -> list[list[str]]:
-    """Files in order of their names, in runs of at most most_bytes (or one file)."""
-    out: list[list[str]] = []
-    size = 0
-    for name, n in sorted(files):
-        if not out or size + n > most_bytes or len(out[-1]) == most_files:
-            out.append([])
-            size = 0
-        out[-1].append(name)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.rstrip("/") or path)
+
+
+def entries(fs: pafs.FileSystem, folder: str) -> Iterator[pafs.FileInfo]:
+    if not isinstance(fs, pafs.LocalFileSystem):
+        yield from fs.get_file_info(pafs.FileSelector(folder))
+        return
+    with os.scandir(folder) as found:
+        for part in batched((x.path for x in found), runs.LINE):
+            yield from fs.get_file_info(list(part))
+
+
+def listed(fs: pafs.FileSystem, top: str) -> Iterator[tuple[str, int]]:
+    """(name below top, size) of all files below top."""
+    opened = [("", entries(fs, top))]
+    while opened:
+        below, rest = opened[-1]
+        for x in rest:
+            if x.type == pafs.FileType.Directory:
+                opened.append((f"{below}{x.base_name}/", entries(fs, x.path)))
+                break
+            if x.type == pafs.FileType.File:
+                yield below + x.base_name, x.size
+        else:
+            opened.pop()
+
+
+def packed(files: Iterable[tuple[str, int]], most_bytes: int, most_files: int = TASK_FILES, kept: Callable[[list[str]], Any] = list) -> list:
+    """Files in order of their names, in runs of at most most_bytes (or one file), each as kept makes it."""
+    out, names, size = [], [], 0
+    for name, n in runs.arranged(files):
+        if names and (size + n > most_bytes or len(names) == most_files):
+            out.append(kept(names))
+            names, size = [], 0
+        names.append(name)
         size += n
-    return out
+    return [*out, kept(names)] if names else out
 
 
 class CaseReader(DataSourceReader):
@@ -69,28 +115,34 @@ class CaseReader(DataSourceReader):
         fs, top = located(self.options["path"])
         end = self.options.get("suffix", ".in")
         info = fs.get_file_info(top)
-        found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(top, recursive=True))
-        files = [(f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.endswith(end) and not f.base_name.startswith(("_", "."))]
-        return [Files(x) for x in packed(files, int(self.options.get("task_bytes", TASK_BYTES)))]
+        found = [("", info.size)] if info.type == pafs.FileType.File else listed(fs, top)
+        files = (x for x in found if (path := x[0] or top).endswith(end) and not path.rpartition("/")[2].startswith(("_", ".")))
+        return packed(files, int(self.options.get("task_bytes", TASK_BYTES)), kept=Files.of)
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         fs, top = located(self.options["path"])
         kinds, names = to_arrow_schema(self.schema), self.schema.names
         strict, cases = self.options.get("strict", "true").lower() == "true", int(self.options.get("cases", 1))
-        for path in partition.paths:
-            with fs.open_input_stream(path) as f:
+        batch = lambda rows: pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=kinds)
+        rows, size = [], 0
+        for below in partition.listed() if partition is not None else ():  # Spark gives None where there is no file
+            with fs.open_input_stream(f"{top}/{below}" if below else top) as f:
                 text = f.read().decode()
-            name = path.removeprefix(top).lstrip("/") or path.rpartition("/")[2]
+            name = below or top.rpartition("/")[2]
             try:
-                rows = [{"file": name, "case": i + 1, **r} for i, r in enumerate(parse(text, self.problem, self.layout, cases))]
+                rows += [{"file": name, "case": i + 1, **r} for i, r in enumerate(parse(text, self.problem, self.layout, cases))]
             except ReadError as e:
                 if strict:
                     raise
-                rows = [{"file": name, "case": 0, "error": str(e)}]
-            if rows:
-                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=kinds)
+                rows.append({"file": name, "case": 0, "error": str(e)})
+            size += len(text)
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
 
 
 class CaseWriter(DataSourceWriter):
@@ -99,8 +151,14 @@ class CaseWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Written:
         fs, top = located(self.options["path"])
-        pattern, attempt, done, made = self.options.get("pattern", "{gen}_{call}_{idx}"), uuid.uuid4().hex, [], set()
+        pattern, attempt, done, lists, made = self.options.get("pattern", "{gen}_{call}_{idx}"), uuid.uuid4().hex, [], [], set()
         fs.create_dir(top, recursive=True)
+
+        def note() -> None:
+            lists.append(f"_cases-{attempt}-{len(lists)}")
+            runs.write_run(fs, f"{top}/{lists[-1]}", sorted(done))
+            done.clear()
+
         for row in iterator:
             stem = pattern.format(**row.asDict())
             folder = stem.rpartition("/")[0]
@@ -111,26 +169,51 @@ class CaseWriter(DataSourceWriter):
                 if text is not None:
                     with fs.open_output_stream(f"{top}/{stem}{end}.{attempt}") as f:
                         f.write(text.encode())
-                    done.append((f"{stem}{end}.{attempt}", stem + end))
-        return Written(done)
+                    done.append((stem + end, f"{stem}{end}.{attempt}"))
+            if len(done) >= runs.RUN:
+                note()
+        if done:
+            note()
+        return Written(lists)
 
     def commit(self, messages: list) -> None:
         fs, top = located(self.options["path"])
-        moves = sorted((x for m in messages if m is not None for x in m.files), key=lambda x: x[1])
-        if len({name for _, name in moves}) < len(moves):  # Spark then aborts
-            raise ConfigurationError("two cases have one file name: the pattern must name all that tells cases apart")
-        with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda x: fs.move(f"{top}/{x[0]}", f"{top}/{x[1]}"), moves))
-        with fs.open_output_stream(f"{top}/_cases") as f:
-            for _, name in moves:
-                f.write(f"{name}\n".encode())
+        scratch = f"{top}/_cases-{uuid.uuid4().hex}"
+        lists = [f"{top}/{x}" for m in messages if m is not None for x in m.lists]
+
+        def apart() -> Iterator[list]:
+            last = None
+            for row in runs.merged(fs, lists, scratch):
+                if row[0] == last:  # Spark then aborts
+                    raise ConfigurationError("two cases have one file name: the pattern must name all that tells cases apart")
+                last = row[0]
+                yield row
+
+        def move(rows: tuple) -> None:
+            for name, written in rows:
+                fs.move(f"{top}/{written}", f"{top}/{name}")
+
+        fs.create_dir(scratch, recursive=True)
+        try:
+            moves = runs.write_run(fs, f"{scratch}/moves", apart())
+            with ThreadPoolExecutor(MOVES) as pool:
+                for block in batched(runs.read_run(fs, moves), BLOCK):
+                    list(pool.map(move, batched(block, -(-len(block) // MOVES))))
+            with fs.open_output_stream(f"{top}/_cases") as f:
+                for block in batched(runs.read_run(fs, moves), BLOCK):
+                    f.write("".join(f"{name}\n" for name, _ in block).encode())
+        finally:
+            fs.delete_dir(scratch)
+        for path in lists:
+            fs.delete_file(path)
 
     def abort(self, messages: list) -> None:
         fs, top = located(self.options["path"])
-        for m in messages:
-            for name, _ in m.files if m is not None else ():
+        for path in (f"{top}/{x}" for m in messages if m is not None for x in m.lists):
+            for _, name in runs.read_run(fs, path):
                 if fs.get_file_info(f"{top}/{name}").type == pafs.FileType.File:
                     fs.delete_file(f"{top}/{name}")
+            fs.delete_file(path)
 
 
 class CaseFormat(DataSource):

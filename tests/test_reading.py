@@ -1,8 +1,10 @@
 """Sections of large files, case files as a data source, and what the strict reader refuses."""
 
+import pickle
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from plumbline.errors import ConfigurationError, ReadError
@@ -11,7 +13,7 @@ from plumbline.operators.specs import Array, Graph, Integer, Real, String
 from plumbline.plans.problem import Problem
 from plumbline.sources import cases as S
 from plumbline.sources import layout as L
-from plumbline.sources import sections
+from plumbline.sources import runs, sections
 
 FULL = L.Layout(
     (L.Line("N", "M"), L.Line(L.Literal("row"), "A", "R"), L.Multiline("N", "B", "D"), L.Multiline("M", "G"), L.Line("K"), L.Multiline("K + 1", "E")),
@@ -127,3 +129,45 @@ def test_names_that_meet_and_tasks_that_fail_leave_no_file(spark, tmp_path):
 def test_files_are_packed_in_order():
     files = [("c", 5), ("a", 50), ("b", 1), ("d", 1), ("e", 90)]
     assert S.packed(files, 20) == [["a"], ["b", "c", "d"], ["e"]] and S.packed([], 5) == [] and S.packed(files, 1000, 2) == [["a", "b"], ["c", "d"], ["e"]]
+
+
+def names_of(partitions: list) -> list[str]:
+    return [x for p in partitions for x in p.listed()]
+
+
+def test_the_driver_holds_few_names(tmp_path, monkeypatch):
+    """Messages and partitions of many files are small; lists are merged in several passes."""
+    monkeypatch.setattr(runs, "RUN", 100)
+    monkeypatch.setattr(runs, "WAYS", 3)
+    top, n = tmp_path / "out", 4000
+    writer = S.CaseWriter({"path": f"file://{top}", "pattern": "{gen}/{call}"})
+    order = random.Random(5).sample(range(n), n)
+    sent = [writer.write(Row(gen="g", call=i, input=f"1\n{i}\n", answer=None) for i in order[k::4]) for k in range(4)]
+    assert sum(len(pickle.dumps(m)) for m in sent) < n
+    writer.commit([*sent, None])
+    want = sorted(f"g/{i}.in" for i in range(n))
+    assert (top / "_cases").read_text().split() == want == sorted(str(x.relative_to(top)) for x in top.rglob("*") if x.is_file() and x.name != "_cases")
+    assert all((top / f"g/{i}.in").read_text() == f"1\n{i}\n" for i in range(n)) and {x.name for x in top.iterdir()} == {"_cases", "g"}
+    planned = S.CaseReader(FILES, LAYOUT, {"path": f"{top}/", "task_bytes": "5000"}, None).partitions()
+    assert names_of(planned) == want and len(planned) > 4
+    whole = S.CaseReader(FILES, LAYOUT, {"path": f"file://{top}"}, None).partitions()
+    assert len(whole) == 2 and sum(len(pickle.dumps(x)) for x in whole) < 5 * n
+
+
+def test_names_that_meet_across_tasks_are_found_before_a_file_moves(tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "RUN", 4)
+    monkeypatch.setattr(runs, "WAYS", 2)
+    writer = S.CaseWriter({"path": f"file://{tmp_path}/out", "pattern": "{call}"})
+    sent = [writer.write(Row(call=i, input="x\n", answer="y\n") for i in part) for part in (range(20), range(40, 60), [70, 71, 7])]
+    with pytest.raises(ConfigurationError, match="one file name"):
+        writer.commit(sent)
+    writer.abort([*sent, None])
+    assert list((tmp_path / "out").iterdir()) == []
+
+
+def test_a_folder_without_files_has_no_rows(spark, tmp_path):
+    assert S.load(spark, FILES, str(tmp_path), "numbers").collect() == []
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/_x.in").write_text("1\n0\n")
+    (tmp_path / "b/c.in").write_text("1\n0\n")
+    assert [(r["file"], r["N"], r["B"]) for r in S.load(spark, FILES, f"{tmp_path}/", "numbers").collect()] == [("b/c.in", 0, [])]
